@@ -16,6 +16,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_STRETCH = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -78,10 +79,17 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.rows = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        sums = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * _power(_BASE, n), out=sums[1:])
-        value = (sums[self.end] - sums[self.start]) * _power(_INVERSE, n + 1)[self.start]
-        self.hash = mix(value + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
+        self.hash = np.empty(len(self.start), U)
+        k = 0
+        while k < len(self.start):  # stretches that stay in the cache; a word is never split
+            low = self.start[k]
+            m = max(k + 1, int(np.searchsorted(self.end, low + _STRETCH, "right")))
+            stretch, begin, end = self.data[low : self.end[m - 1]], self.start[k:m] - low, self.end[k:m] - low
+            sums = np.zeros(len(stretch) + 1, U)
+            np.cumsum((stretch.astype(U) + U(1)) * _power(_BASE, len(stretch)), out=sums[1:])
+            value = (sums[end] - sums[begin]) * _power(_INVERSE, len(stretch) + 1)[begin]
+            self.hash[k:m] = mix(value + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
+            k = m
 
     def every(self, length: int, salt: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each position on, over the ends of texts too."""
