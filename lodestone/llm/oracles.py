@@ -8,9 +8,9 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 op2_warc = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
 k AS (SELECT h, max(page_id) AS keeper FROM p GROUP BY h),
-b AS (SELECT *, list_transform(range(0, 8), g -> CAST('0x' || d[5 * g + 1:5 * g + 5] AS BIGINT)) AS v FROM p)
+b AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || d[5 * g + 1:5 * g + 5] AS BIGINT)) AS v FROM p)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), n -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((v[n // 4 + 1] >> (15 - 5 * (n % 4))) & 31)]), '') AS payload_digest,
+       array_to_string(list_transform(range(0, 32), lambda n: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((v[n // 4 + 1] >> (15 - 5 * (n % 4))) & 31)]), '') AS payload_digest,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM b JOIN k USING (h)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokenizers_at
+from .decontaminate import find_leaks
 from .gam import quality_scores
 from .lines import dedup_lines
 from .merkle import fingerprints
 from .minhash import near_duplicates
+from .pieces import encoded
 from .substrings import dedup_substrings
 from .token_files import token_file
 from .warc import archived
@@ -46,6 +48,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), tokenizers_at("piece_bpe_32k.model"), n=3, with_ids=False)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(table(spark, sf_dir, "documents"), length=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
