@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import slices, utf8, words_of
-from .packing import LAST
-from .tables import written
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "longest_word", "upper", "digits", "symbols", "bars", "bangs", "stops", "other_bytes",
@@ -173,42 +172,41 @@ def remainder(doc_id: int | None, of: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % of
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
-    """Scores of all documents by a model of ``labels.quality`` (1: good).
-
-    Returns doc_id, held_out, score (0 to 1) and predicted (1 if score >= ``threshold``). Labels whose
-    crc32(doc_id as text) mod 4 is 2 are not learned from (held_out). At most ``sample`` labelled documents
-    are, those with the least hash of doc_id: the only bounded step. Features come from the text alone, of
-    which a null is empty. Null labels are not used; of several for a doc_id, the largest is. A null doc_id
-    is scored and never learned from. Without labels every score is 0.5. An empty table gives no rows.
+    """Score all documents by a model of ``labels.quality`` (1: good).
+
+    Returns the columns of ``docs`` with held_out, score (0 to 1) and predicted (1 if score >= ``threshold``)
+    added (columns of these names are replaced). Labels whose crc32(doc_id as text) mod 4 is 2 are not
+    learned from (held_out). At most ``sample`` labels are, those with the least hash of doc_id: the only
+    bounded step. Features come from the text alone, of which a null is empty. Null labels are not used; of
+    several for a doc_id, the largest is. A null doc_id is scored and never learned from. Without labels
+    every score is 0.5. An empty table gives no rows.
     """
+    docs = docs.drop("held_out", "score", "predicted")
+    learn = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL AND pmod(crc32(CAST(doc_id AS STRING)), 4) <> 2")
+    learn = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
+    learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(learn), "doc_id")
 
     def measured(batches):
-        schema = pa.schema([("doc", pa.int64()), ("x", pa.list_(pa.float64()))])
         for got in batches:
             for part in slices(got, "text", 1 << 20):
                 x = features(part["text"])
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part["doc"], rows], schema=schema)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], rows, part["y"]], ["doc_id", "x", "y"])
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
-    table = written(docs.select(key, "text").mapInArrow(measured, "doc long, x array<double>"), "features")
-    learn = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL AND pmod(crc32(CAST(doc_id AS STRING)), 4) <> 2")
-    learn = learn.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("quality").alias("y"))
-    learn = learn.orderBy(F.xxhash64("doc"), "doc").limit(sample)
-    got = table.join(learn, "doc").orderBy(F.xxhash64("doc"), "doc").limit(sample).select("x", "y").toPandas()
+    got = known.mapInArrow(measured, "doc_id long, x array<double>, y double").toPandas()
+    got = got.assign(of=[zlib.crc32(str(k).encode()) for k in got["doc_id"]]).sort_values(["of", "doc_id"], kind="stable")
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     model = train(x, got["y"].to_numpy(float))
 
     def scored(batches):
         for got in batches:
-            x = got["x"].flatten().to_numpy().reshape(got.num_rows, -1)
-            score = model.score(x)
-            ids = got["doc"].to_pylist()
-            held = [remainder(None if d == LAST else d, 4) == 2 for d in ids]
-            yield pa.RecordBatch.from_arrays([pa.array([None if d == LAST else d for d in ids], pa.int64()), pa.array(held), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=_OUT)
+            for part in slices(got, "text", 1 << 20):
+                score = model.score(features(part["text"]))
+                held = [remainder(x, 4) == 2 for x in part["doc_id"].to_pylist()]
+                more = [pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "held_out", "score", "predicted"])
 
-    return table.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    added = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, *added]))
