@@ -16,9 +16,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from . import event_queries, memory_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(_SQL)
