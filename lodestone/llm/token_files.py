@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +90,7 @@ class EliasFano:
 #: White space other than these, which chunks don't begin with, sends a text to the tokenizer whole.
 _OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 1_000_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -120,15 +119,14 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, known = [], self.known
+        known = self.known
         if len(known) > _CACHE_ENTRIES:
             known.clear()
         chunked = [None if _OTHER_SPACE.search(x) else _CHUNK.findall(x) for x in texts]
-        new = list(set(chain.from_iterable(x for x in chunked if x)) - known.keys())
+        new = list({x for chunks in chunked if chunks for x in chunks if x not in known})
         known.update(zip(new, self._ids(new), strict=True))
-        for text, chunks in zip(texts, chunked, strict=True):
-            out.append(self._ids([text])[0] if chunks is None else b"".join(map(known.__getitem__, chunks)))
-        return out
+        get = known.__getitem__
+        return [self._ids([x])[0] if chunks is None else b"".join(map(get, chunks)) for x, chunks in zip(texts, chunked, strict=True)]
 
 
 _SHARD = "shard long, n_docs long, n_tokens long, width int, doc_ids binary, ends binary, ids binary"
