@@ -105,3 +105,46 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "src long, dst long, id long")
     assert graph.expanded(none, spark.createDataFrame([], "id long")).count() == 0
     assert memory.history(spark.createDataFrame([], "id long, superseded_by long")).count() == 0
+
+
+def test_secrets_are_redacted_by_exact_spans():
+    from lodestone.operators import redaction
+
+    key = "AKIA" + "A" * 16
+    assert redaction.redact(f"use {key} now") == "use [REDACTED:api-key] now"
+    assert redaction.redact("--password hunter2 and PASSWORD='x y'") == "--password [REDACTED:password] and PASSWORD=[REDACTED:password]"
+    assert redaction.redact("postgres://u:p@h/db next") == "[REDACTED:connection-string] next"
+    assert redaction.redact("color = red; API_KEY=abc123") == "color = red; API_KEY=[REDACTED:api-key]"
+    once = redaction.redact("GITHUB_TOKEN: abcdef Bearer " + "z" * 20)
+    assert redaction.redact(once) == once and "abcdef" not in once
+
+
+@pytest.mark.parametrize(("query", "scope"), [
+    ("what last year", ("2023-01-01", "2024-01-01")), ("3 weeks ago", ("2024-06-10", "2024-07-01")), ("in 2025-03-15", ("2025-03-01", "2025-03-15")),
+    ("before 2025", (None, "2026-01-01")), ("since 2024-12", ("2024-12-01", None)), ("in 2023-12", ("2023-12-01", "2024-01-01")),
+])
+def test_time_scopes(query, scope):
+    from datetime import datetime
+
+    from lodestone.functions.scopes import time_scope
+
+    got = time_scope(query, datetime(2024, 7, 1))
+    assert tuple(got.get(k) and got[k].strftime("%Y-%m-%d") for k in ("from", "until")) == scope
+    assert time_scope("nothing", datetime(2024, 7, 1)) is None and time_scope("now", datetime(2024, 7, 1)) == {"mode": "current"}
+
+
+def test_summaries_keep_whole_sentences(spark):
+    from lodestone.functions import scopes
+
+    say = lambda t: one(spark, scopes.summary(F.col("t"), 20), t=t)
+    assert say("One two. Three four. Five six seven.") == "One two. Three four."
+    assert say("A sentence that is much too long to fit. B.") == "A sentence that is much too long to fit."
+    assert say("  ") == ""
+    assert one(spark, scopes.label(F.col("t"), 10), t="alpha beta gamma delta") == "alpha beta…"
+
+
+def test_redaction_column_keeps_nulls(spark):
+    from lodestone.operators import redaction
+
+    rows = spark.createDataFrame([("pwd=abc",), (None,), ("plain",)], "t string").select(redaction.redacted(F.col("t")).alias("r")).collect()
+    assert [(x.r.text, len(x.r.records)) for x in rows] == [("pwd=[REDACTED:password]", 1), (None, 0), ("plain", 0)]
