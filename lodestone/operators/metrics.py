@@ -34,3 +34,11 @@ def leakage(returned: DataFrame) -> DataFrame:
     """Share of returned rows of another project, and of queries whose first row is (query_id, pos, project_id, wanted)."""
     other = F.col("project_id").isNotNull() & (F.col("project_id") != F.col("wanted"))
     return returned.agg(F.avg(other.cast("double")).alias("leakage"), F.avg(F.when(F.col("pos") == 1, other.cast("double"))).alias("top1"))
+
+
+def gated(values: DataFrame, bounds: dict[str, tuple[str, float]]) -> DataFrame:
+    """Values (metric, value) with whether each keeps its bound; a metric without one is left out."""
+    table = F.create_map(*(x for k, (side, bound) in bounds.items() for x in (F.lit(k), F.struct(F.lit(side).alias("side"), F.lit(float(bound)).alias("bound")))))
+    rows = values.withColumn("gate", F.try_element_at(table, "metric")).where("gate IS NOT NULL")
+    kept = F.when(F.col("gate.side") == "min", F.col("value") >= F.col("gate.bound")).otherwise(F.col("value") <= F.col("gate.bound"))
+    return rows.select("metric", "value", kept.alias("passed"))

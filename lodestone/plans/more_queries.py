@@ -128,3 +128,41 @@ def consolidation_quality(spark, d):
     g = views.memories(spark, d).groupBy("type", "project_id").agg(F.count("*").alias("observations"), F.count_distinct("content_hash").alias("distinct_rows"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distinct_rows") / F.col("observations")))
     return g.groupBy("type").agg(F.count("*").alias("groups"), F.round(F.avg(share), 6).alias("quality"))
+
+
+@query("session_contexts")
+def session_contexts(spark, d):
+    from ..operators import context
+
+    return context.contexts(views.memories(spark, d).where(temporal.is_current(temporal.at(views.NOW))))
+
+
+@query("project_digests")
+def project_digests(spark, d):
+    from ..operators import context
+
+    return context.digests(views.memories(spark, d).where(temporal.is_current(temporal.at(views.NOW))))
+
+
+@query("section_positions", f"""WITH {MEM} SELECT project_id, type AS section, id, row_number() OVER (PARTITION BY project_id, type ORDER BY CASE WHEN type IN ('decision','failure') THEN 0.0 ELSE importance END DESC, observed_at DESC, id DESC) AS position
+  FROM mem WHERE project_id IS NOT NULL AND type IN ('decision','failure','procedural','preference') AND status IN ('active','stale') AND valid_from <= TIMESTAMP '2024-07-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-07-01')
+  QUALIFY position <= CASE type WHEN 'decision' THEN 8 ELSE 6 END""")
+def section_positions(spark, d):
+    from ..operators import context
+
+    return context.section_lines(views.memories(spark, d).where(temporal.is_current(temporal.at(views.NOW)))).drop("line")
+
+
+_GATES = "(VALUES ('precision', 'min', 0.1), ('recall', 'min', 0.9), ('leaked', 'max', 0.2)) g(metric, side, bound)"
+
+
+@query("metric_gates", f"""WITH o AS (SELECT [doc_id, doc_id + 1, doc_id + 2, doc_id + 3, doc_id + 4, doc_id + 5] AS returned, CASE WHEN doc_id % 3 = 0 THEN [doc_id + 2, doc_id + 9] ELSE [doc_id, doc_id + 1] END AS expected, [doc_id + 5 + doc_id % 4] AS forbidden FROM documents),
+  m AS (SELECT avg(len(list_intersect(returned[1:5], expected)) / 5.0) AS p, avg(len(list_intersect(returned[1:5], expected)) / 2.0) AS r, avg(CAST(list_has_any(returned, forbidden) AS INT)) AS l FROM o),
+  v AS (SELECT 'precision' AS metric, p AS value FROM m UNION ALL SELECT 'recall', r FROM m UNION ALL SELECT 'leaked', l FROM m)
+  SELECT metric, round(value, 6) AS value, CASE WHEN side = 'min' THEN value >= bound ELSE value <= bound END AS passed FROM v JOIN {_GATES} USING (metric)""")
+def metric_gates(spark, d):
+    from ..operators import metrics
+    from .event_queries import _outcomes
+
+    m = metrics.retrieval(_outcomes(spark, d)).agg(F.avg("precision_at_k").alias("precision"), F.avg("recall_at_k").alias("recall"), F.avg(F.col("leaked").cast("double")).alias("leaked"))
+    return metrics.gated(m.unpivot([], ["precision", "recall", "leaked"], "metric", "value"), {"precision": ("min", 0.1), "recall": ("min", 0.9), "leaked": ("max", 0.2)}).withColumn("value", F.round("value", 6))

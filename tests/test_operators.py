@@ -148,3 +148,17 @@ def test_redaction_column_keeps_nulls(spark):
 
     rows = spark.createDataFrame([("pwd=abc",), (None,), ("plain",)], "t string").select(redaction.redacted(F.col("t")).alias("r")).collect()
     assert [(x.r.text, len(x.r.records)) for x in rows] == [("pwd=[REDACTED:password]", 1), (None, 0), ("plain", 0)]
+
+
+def test_contexts_and_digests_keep_their_budget():
+    from lodestone.operators import context
+
+    rng = random.Random(3)
+    for _ in range(100):
+        lines = {k: ["- " + "x" * rng.randint(0, 200) for _ in range(rng.randint(0, 8))] for k, _, _ in context.SECTIONS}
+        budget = rng.randint(20, 800)
+        parts, used = context.packed_sections(lines, budget)
+        assert used == sum(packing.estimate(x) for _, p in parts for x in p) <= budget
+        text, used = context.packed_digest("p", lines, budget)
+        assert packing.estimate(text) <= used <= budget
+        assert all(t not in text.split("\n") or text.split("\n").index(t) + 1 < len(text.split("\n")) for _, _, t in context.DIGEST)
