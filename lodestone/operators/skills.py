@@ -68,3 +68,23 @@ def reranked(ranked: DataFrame, order: DataFrame) -> DataFrame:
     """Reranked ids first in their new order, then the rest as they were (id, rank; id, position)."""
     rows = ranked.join(order, "id", "left")
     return rows.select("id", F.row_number().over(Window.orderBy(F.col("position").asc_nulls_last(), "rank")).alias("rank"))
+
+
+def freshness(skills: DataFrame, failures: DataFrame) -> DataFrame:
+    """Whether a served skill's signatures (id, signatures) still recur among the failures (signature, at).
+
+    A skill is stale if it has signatures and none recurs; without any it can't be judged.
+    """
+    seen = failures.groupBy("signature").agg(F.max("at").alias("at"))
+    each = skills.select("id", F.explode_outer(F.array_distinct("signatures")).alias("signature")).join(seen, "signature", "left")
+    got = each.groupBy("id").agg(F.count("signature").alias("signatures"), F.count("at").alias("recurring"), F.max("at").alias("last_seen_at"))
+    state = F.when(F.col("signatures") == 0, "unresolved").when(F.col("recurring") == 0, "stale").otherwise("fresh")
+    return got.withColumn("state", state)
+
+
+def hydrated(refs: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Code references (id, path, blob) with the file's commit if its version is still the one cited, and the
+    file's symbols in order. Symbols are gathered a file before the join, so each is moved once."""
+    names = symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("s"))
+    rows = refs.join(files.select("path", F.col("blob").alias("current"), "commit"), "path", "left").join(names, "path", "left")
+    return rows.select("id", "path", F.when(F.col("current") == F.col("blob"), F.col("commit")).alias("commit"), F.coalesce(F.transform("s", lambda x: x["name"]), F.array().cast("array<string>")).alias("symbols"))

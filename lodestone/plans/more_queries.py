@@ -166,3 +166,51 @@ def metric_gates(spark, d):
 
     m = metrics.retrieval(_outcomes(spark, d)).agg(F.avg("precision_at_k").alias("precision"), F.avg("recall_at_k").alias("recall"), F.avg(F.col("leaked").cast("double")).alias("leaked"))
     return metrics.gated(m.unpivot([], ["precision", "recall", "leaked"], "metric", "value"), {"precision": ("min", 0.1), "recall": ("min", 0.9), "leaked": ("max", 0.2)}).withColumn("value", F.round("value", 6))
+
+
+_COMMANDS = "(['bun test --watch src','git status','cd /tmp','npm run build && ls','python -m pytest','docker compose up -d','FOO=1 make x','\"quoted\" arg'])[event_id % 8 + 1]"
+
+
+@query("normalized_commands", f"""WITH c AS (SELECT event_id AS id, {_COMMANDS} AS t FROM events), w AS (SELECT id, string_split_regex(trim(t), '\\s+')[1:3] AS w FROM c),
+  s AS (SELECT id, w, list_position(list_transform(w, lambda x: regexp_matches(x, '^(-|/|\\./|~|"|'')|[=<>|&;]')), true) AS p FROM w),
+  n AS (SELECT id, array_to_string(CASE WHEN p > 0 THEN w[1:p - 1] ELSE w END, ' ') AS command FROM s)
+  SELECT command, command IN ('', 'cd', 'git status') AS denied, count(*) AS n FROM n GROUP BY command""")
+def normalized_commands(spark, d):
+    from ..functions import extraction
+
+    forms = ("bun test --watch src", "git status", "cd /tmp", "npm run build && ls", "python -m pytest", "docker compose up -d", "FOO=1 make x", '"quoted" arg')
+    text = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 8 + 1).cast("int"))
+    c = views.read(spark, d, "events").select(extraction.command(text).alias("command"))
+    return c.groupBy("command").agg(F.count("*").alias("n")).withColumn("denied", extraction.is_denied(F.col("command")))
+
+
+@query("stated_preferences", """WITH c AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'I prefer tabs in code. ' WHEN 1 THEN 'We always forget this. ' WHEN 2 THEN 'never commit secrets! ' WHEN 3 THEN 'upgraded to Node 22 today. ' ELSE '' END AS t FROM conversations)
+  SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'tabs in code' WHEN 2 THEN 'secrets' END AS preference, CASE conv_id % 5 WHEN 3 THEN 'Node 22' END AS version FROM c""")
+def stated_preferences(spark, d):
+    from ..functions import extraction
+
+    added = F.element_at(F.array(*map(F.lit, ("I prefer tabs in code. ", "We always forget this. ", "never commit secrets! ", "upgraded to Node 22 today. ", ""))), (F.col("conv_id") % 5 + 1).cast("int"))
+    return views.read(spark, d, "conversations").select(
+        "conv_id", "turn", extraction.statement(added, extraction.PREFERENCES, extraction.PREFERENCE_NOISE).alias("preference"), extraction.statement(added, extraction.VERSIONS).alias("version"))
+
+
+@query("skill_freshness", f"""WITH {EVENTS}, s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 1 THEN 'none' ELSE CAST(n_nationkey AS VARCHAR) END AS signature FROM nation),
+  f AS (SELECT k AS signature, max(occurred_at) AS "at" FROM ev WHERE kind = 'error' GROUP BY k)
+  SELECT id, CAST(s.signature IS NOT NULL AS BIGINT) AS signatures, CAST(f."at" IS NOT NULL AS BIGINT) AS recurring, f."at" AS last_seen_at, CASE WHEN s.signature IS NULL THEN 'unresolved' WHEN f."at" IS NULL THEN 'stale' ELSE 'fresh' END AS state FROM s LEFT JOIN f ON s.signature = f.signature""")
+def skill_freshness(spark, d):
+    k = F.col("n_nationkey")
+    signature = F.when(k % 5 == 1, "none").otherwise(k.cast("string"))
+    s = views.read(spark, d, "nation").select(k.cast("long").alias("id"), F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(signature)).alias("signatures"))
+    f = views.events(spark, d).where("kind = 'error'").select(F.col("k").alias("signature"), F.col("occurred_at").alias("at"))
+    return skills.freshness(s, f)
+
+
+@query("code_refs_hydrated", """WITH a AS (SELECT page_id, 'f/' || page_id AS path, sha1(html) AS blob FROM pages), y AS (SELECT 'f/' || (l_orderkey % 500) AS path, l_linenumber AS line_start, 's' || l_partkey AS name FROM lineitem),
+  s AS (SELECT path, list(name ORDER BY line_start, name) AS names FROM y GROUP BY path)
+  SELECT page_id AS id, path, CASE WHEN page_id % 3 <> 0 THEN 'c' || (page_id % 9) END AS commit, len(coalesce(names, [])) AS n_symbols, coalesce(names[1], '') AS first_symbol FROM a LEFT JOIN s USING (path)""")
+def code_refs_hydrated(spark, d):
+    k = F.col("page_id")
+    files = views.read(spark, d, "pages").select(k, F.concat(F.lit("f/"), k.cast("string")).alias("path"), F.sha1("html").alias("blob"), F.concat(F.lit("c"), (k % 9).cast("string")).alias("commit"))
+    refs = files.select(k.alias("id"), "path", F.when(k % 3 == 0, F.lit("old")).otherwise(F.col("blob")).alias("blob"))
+    names = views.read(spark, d, "lineitem").select(F.concat(F.lit("f/"), (F.col("l_orderkey") % 500).cast("string")).alias("path"), F.col("l_linenumber").alias("line_start"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("name"))
+    return skills.hydrated(refs, files, names).select("id", "path", "commit", F.size("symbols").alias("n_symbols"), F.coalesce(F.get("symbols", F.lit(0)), F.lit("")).alias("first_symbol"))

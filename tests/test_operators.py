@@ -162,3 +162,18 @@ def test_contexts_and_digests_keep_their_budget():
         text, used = context.packed_digest("p", lines, budget)
         assert packing.estimate(text) <= used <= budget
         assert all(t not in text.split("\n") or text.split("\n").index(t) + 1 < len(text.split("\n")) for _, _, t in context.DIGEST)
+
+
+def test_extraction_expressions(spark):
+    from lodestone.functions import extraction as e
+
+    say = lambda c, t: one(spark, c, t=t)
+    t = F.col("t")
+    assert say(e.command(t), "git commit -m x") == "git commit" and say(e.command(t), "/bin/ls a") == "" and say(e.command(t), "a b c d") == "a b c"
+    assert say(e.is_denied(t), "git log") and not say(e.is_denied(t), "git push")
+    assert say(e.technologies(t), "We moved from Next.js to golang, with postgres") == ["Next.js", "Go", "PostgreSQL"]
+    assert say(e.technologies(t), "postgresqlx") == []
+    assert say(e.slug(t), "The build (v2) FAILED: a -- twice again and again") == "the-build-v2-failed----twice"
+    assert say(e.module_of(t), "a/b/c.py") == "a/b" and say(e.module_of(t), "c.py") == "(root)"
+    assert say(e.first_symbol(t, F.array(F.lit("Credentials"), F.lit("verify"))), "verifyCredentials then verify()") == "verify"
+    assert say(e.event_text(F.lit("git.commit"), t), '{"sha":"0123456789","message":"fix"}') == "commit 01234567: fix"
