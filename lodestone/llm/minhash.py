@@ -7,8 +7,9 @@ is skipped. Collisions of the pairs that meet in the prefix are counted on whole
 or above the match threshold are confirmed on full shingle sets.
 
 Equal sets form one class and only classes are compared. In a posting list, each class is first paired
-with two leaders (the smallest document and the most typical one). Pairs still in different components
-are then compared all, so no link between components is lost; pairs inside a component need no test.
+with a few others (leaders, and the next in size). Classes whose lists then still hold
+several components are joined once more by their rarest shingles, so no link between components is lost;
+pairs inside a component need no test.
 """
 
 from __future__ import annotations
@@ -132,10 +133,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
         found = components(links)
         return written(posted.select("c").distinct().join(found.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("comp", "c").alias("comp")), "labelled")
 
-    led = posted.groupBy("key").agg(
-        F.count("*").alias("size"), F.min(F.struct("rep", "c")).alias("least"), F.max(F.struct("typical", "c")).alias("most"))
-    pairs = (posted.join(led.where("size > 1"), "key")
-             .select("c", F.explode(F.array(F.col("least.c"), F.col("most.c"))).alias("other")).where("c <> other"))
+    pairs = _meetings(posted)
     pairs = tests.counted(pairs)
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     links = tests.confirmed(best)
@@ -155,16 +153,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
         F.when(comp != LAST, comp).alias("component_id"), (doc == comp).alias("kept"))
 
 
+def _meetings(posted: DataFrame) -> DataFrame:
+    """Pairs (c, other), a few for each posting: in each list, classes of about one size are paired with the
+    smallest document, with the most typical one and with the next in order of size, and the leaders of
+    neighbouring sizes with each other. A list that a third of all documents share is so many bands."""
+    band = F.floor(F.log(F.col("n")) / float(np.log(1.1)))
+    posted = posted.withColumn("band", band)
+    led = posted.groupBy("key", "band").agg(F.count("*").alias("size"), F.min(F.struct("rep", "c")).alias("least"), F.max(F.struct("typical", "c")).alias("most"))
+    led = led.select("key", "band", "size", F.col("least.c").alias("least"), F.col("most.c").alias("most"))
+    inside = posted.join(led.where("size > 1"), ["key", "band"])
+    order = Window.partitionBy("key", "band").orderBy("n", "rep", "c")
+    inside = inside.withColumn("before", F.coalesce(F.lag("c").over(order), F.col("least")))
+    inside = inside.select("c", F.explode(F.array("least", "most", "before")).alias("other"))
+    heads = led.select("key", "band", F.col("most").alias("c"))
+    between = None
+    for step in (1, 2, 3):
+        after = led.select("key", (F.col("band") - step).alias("band"), F.col("most").alias("other"))
+        found = heads.join(after, ["key", "band"]).select("c", "other")
+        between = found if between is None else between.union(found)
+    return inside.union(between).where("c <> other")
+
+
 def _prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
-    """Postings (key, c, rep, typical) of the rarest coords - matches + 1 coordinates of each class, without
+    """Postings (key, c, rep, typical, n) of the rarest coords - matches + 1 coordinates of each class, without
     values that one class alone has; classes with fewer than ``matches`` other values have none."""
-    each = classes.select("c", "rep", F.explode("sig").alias("key"))
+    each = classes.select("c", "rep", F.col("n").alias("shingles"), F.explode("sig").alias("key"))
     common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     each = each.join(common, "key")
     by = Window.partitionBy("c")
     each = each.select("*", F.count("*").over(by).alias("n"), F.sum("df").over(by).alias("typical"), F.row_number().over(by.orderBy("df", "key")).alias("k"))
     alone = coords - F.col("n")
-    return written(each.where((F.col("n") >= matches) & (F.col("k") <= coords - matches + 1 - alone)).select("key", "c", "rep", "typical"), "posted")
+    return written(each.where((F.col("n") >= matches) & (F.col("k") <= coords - matches + 1 - alone)).select("key", "c", "rep", "typical", F.col("shingles").alias("n")), "posted")
 
 
 class _Tests:
@@ -195,12 +214,38 @@ class _Tests:
         return ends.where("comp_a <> comp_b").select("a", "b")
 
     def unmet(self, labels: DataFrame) -> DataFrame:
-        """Pairs that share a posting list but no component. Lists of one component drop out; in the others,
-        all but the largest component's classes meet the rest."""
+        """Pairs of different components that the leaders' tests may have left out.
+
+        Lists of one component drop out, and so do lists of two classes. The classes in other lists are joined on whole sets: two similar ones share one of the rarest
+        shingles of either, and a class of whose shingles too few occur elsewhere is skipped. In a shingle's
+        list, all but the largest component's classes meet the rest.
+        """
         at = self.posted.select("key", "c").join(labels, "c")
-        size = at.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        mixed = size.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("main")).where("comps > 1")
-        at = at.join(mixed.select("key", F.col("main.comp").alias("main")), "key")
-        left = at.where("comp <> main").select("key", F.col("c").alias("x"), F.col("comp").alias("comp_x"))
-        right = at.select("key", F.col("c").alias("y"), F.col("comp").alias("comp_y"), "main")
-        return left.join(right, "key").where("comp_x <> comp_y AND (comp_y = main OR x < y)").select("x", "y")
+        by_comp = at.groupBy("key", "comp").agg(F.count("*").alias("size"))
+        mixed = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("size").alias("size")).where("comps > 1 AND size > 2")
+        open_ = at.join(mixed.select("key"), "key").select("c", "comp").distinct()
+        shingles = self.sets.join(open_, "c").mapInArrow(_exploder, "c long, comp long, size long, shingle long")
+        often = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+        by = Window.partitionBy("c")
+        common = shingles.join(often, "shingle").select("*", F.count("*").over(by).alias("n"), F.row_number().over(by.orderBy("df", "shingle")).alias("k"))
+        least = F.ceil(F.col("size") * self.percent / 100)
+        alone = F.col("size") - F.col("n")
+        rare = written(common.where((F.col("n") >= least) & (F.col("k") <= F.col("size") - least + 1 - alone)).select("shingle", "c", "comp", "size", "n", (alone + F.col("k")).alias("pos")), "rare")
+        by_comp = rare.groupBy("shingle", "comp").agg(F.count("*").alias("many"))
+        mixed = by_comp.groupBy("shingle").agg(F.count("*").alias("comps"), F.max(F.struct("many", "comp")).alias("main")).where("comps > 1")
+        rare = rare.join(mixed.select("shingle", F.col("main.comp").alias("main")), "shingle")
+        side = lambda rows, k, *more: rows.select("shingle", F.col("c").alias(k), *(F.col(m).alias(f"{m}_{k}") for m in ("comp", "size", "n", "pos")), *more)
+        #: What two classes share is at most what either shares with any other and, where this is the first
+        #: shingle that both have, at most what follows it in either.
+        shared = "least(n_x, n_y, 1 + size_x - pos_x, 1 + size_y - pos_y)"
+        alike = f"100 * {shared} >= {int(self.percent)} * (size_x + size_y - {shared})"
+        met = side(rare.where("comp <> main"), "x").join(side(rare, "y", "main"), "shingle")
+        return met.where(f"comp_x <> comp_y AND (comp_y = main OR x < y) AND {alike}").select("x", "y")
+
+
+def _exploder(batches):
+    for got in batches:
+        for c, comp, blob in zip(got["c"].to_pylist(), got["comp"].to_pylist(), got["shingles"].to_pylist(), strict=True):
+            values = undeltas(blob).view(np.int64)
+            n = len(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x)) for x in (c, comp, n)] + [pa.array(values)], ["c", "comp", "size", "shingle"])
