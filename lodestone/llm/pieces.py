@@ -24,18 +24,18 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE_ENTRIES = 500_000
+_CACHE_ENTRIES = 800_000
 
 
 _total = itemgetter(0)
 
 
 class _Known:
-    """Words searched so far: where each is in the lists of best ids, scores, losses by the second, others."""
+    """Words searched so far: where each is in the lists of best ids, scores and losses by the second choice."""
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.ids, self.score, self.loss, self.others = [], [], [], []
+        self.ids, self.score, self.loss = [], [], []
 
 
 class Lattice:
@@ -48,6 +48,8 @@ class Lattice:
             raise ValueError("a piece crosses a word's end")
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces))
+        #: Every beginning of a piece, with the piece if it is one: a search stops where no piece goes on.
+        self.begun: dict[str, tuple[int, float] | None] = dict.fromkeys((x[:k] for x in pieces for k in range(1, len(x))), None) | pieces
         self.byte_score = min((s for _, s in pieces.values()), default=0.0) - 10.0
         self.normalize = normalize or (lambda x: SPACE + x.replace(" ", SPACE) if x else "")
         self.bytes_of = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
@@ -67,14 +69,17 @@ class Lattice:
     def segment(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations (score, ids) of one word, best first; equal scores in a fixed order."""
         pieces, longest, size = self.pieces, self.longest, len(text)
-        get = pieces.get
+        get = self.begun.get
         best = [-1e300] * (size + 1)
         best[0] = 0.0
         into: list[list] = [[] for _ in range(size + 1)]
         for i in range(size):
             at = best[i]
             for j in range(i + 1, min(size, i + longest) + 1):
-                if found := get(text[i:j]):
+                found = get(text[i:j], 0)
+                if found == 0:
+                    break
+                if found:
                     total = at + found[1]
                     into[j].append((-total, i, found[0], found[1]))
                     if total > best[j]:
@@ -122,17 +127,17 @@ class Lattice:
         except KeyError:
             for x in words:
                 if x not in known.at:
-                    ranked = self.segment(x, n)
+                    ranked = self.segment(x, min(n, 2))
                     known.at[x] = len(known.ids)
                     known.ids.append(np.array(ranked[0][1], "<u4").tobytes())
                     known.score.append(ranked[0][0])
                     known.loss.append(ranked[0][0] - ranked[1][0] if len(ranked) > 1 else np.inf)
-                    known.others.append(ranked[1:])
             return [known.at[x] for x in words]
 
     def nbest(self, text: str, n: int = 3) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations (score, ids as little-endian uint32) of a whole text, best first."""
-        at = self.places(_SEGMENT.findall(self.normalize(text)), n)
+        words = _SEGMENT.findall(self.normalize(text))
+        at = self.places(words, n)
         if not at:
             return [(0.0, b"")]
         known = self.known[n]
@@ -140,17 +145,20 @@ class Lattice:
         parts = [known.ids[k] for k in at]
         if n == 1:
             return [(score, b"".join(parts))]
-        #: Only the n - 1 words that lose least by their second choice can differ among the n best.
+        #: Only the n - 1 words that lose least by their second choice can differ among the n best; theirs are
+        #: the only further choices looked for.
         losses = [known.loss[k] for k in at]
         few = heapq.nsmallest(n - 1, range(len(at)), key=losses.__getitem__)
+        few = [k for k in few if losses[k] < np.inf]
+        others = {k: self.segment(words[k], n) for k in few}
         merged: list[tuple[float, tuple]] = [(0.0, ())]
-        for k in (k for k in few if losses[k] < np.inf):
-            choices = [0.0, *(known.score[at[k]] - s for s, _ in known.others[at[k]])]
+        for k in few:
+            choices = [others[k][0][0] - s for s, _ in others[k]]
             merged = sorted((loss + more, (*chosen, (k, c)) if c else chosen) for loss, chosen in merged for c, more in enumerate(choices))[:n]
         out = []
         for loss, chosen in merged:
             changed = dict(chosen)
-            out.append((score - loss, b"".join([np.array(known.others[at[k]][changed[k] - 1][1], "<u4").tobytes() if k in changed else x for k, x in enumerate(parts)]) if changed else b"".join(parts)))
+            out.append((score - loss, b"".join([np.array(others[k][changed[k]][1], "<u4").tobytes() if k in changed else x for k, x in enumerate(parts)]) if changed else b"".join(parts)))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
