@@ -18,6 +18,11 @@ _PHRASE = r"\s+(?=[aehorAEHOR]|[^A-Za-z\s])"
 _MOST_BUCKETS = 10_000
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; a null text counts as empty."""
     marks = lambda p: F.transform(F.split(p, _PHRASE), lambda x: F.right(F.lower(F.hex(F.xxhash64(x))), F.lit(8)))
@@ -27,11 +32,11 @@ def fingerprint(text: Column) -> Column:
     closed = lambda x: F.when(F.right(x["digest"], F.lit(1)).isin("0", "1"), F.lit(";")).otherwise(F.lit(""))
     leaves = F.transform(paragraphs, lambda x: F.struct(
         F.concat(x["digest"], closed(x)).alias("digest"), F.concat(F.lit(","), F.left(x["digest"], F.lit(8)), x["marks"], closed(x)).alias("marks")))
-    sections = lambda field: F.split(F.array_join(F.transform(leaves, lambda x: x[field]), ""), ";")
-    tree = F.zip_with(sections("digest"), sections("marks"), lambda d, m: F.struct(F.sha2(d, 256).alias("digest"), m.alias("marks")))
-    return F.concat(
-        F.sha2(F.array_join(F.transform(tree, lambda x: x["digest"]), ""), 256),
-        F.array_join(F.transform(tree, lambda x: F.concat(F.lit(";"), F.left(x["digest"], F.lit(8)), x["marks"])), ""))
+    sections = lambda of, field: F.split(F.array_join(F.transform(of, lambda x: x[field]), ""), ";")
+    tree = _once(leaves, lambda of: F.zip_with(sections(of, "digest"), sections(of, "marks"), lambda d, m: F.struct(F.sha2(d, 256).alias("digest"), m.alias("marks"))))
+    return _once(tree, lambda of: F.concat(
+        F.sha2(F.array_join(F.transform(of, lambda x: x["digest"]), ""), 256),
+        F.array_join(F.transform(of, lambda x: F.concat(F.lit(";"), F.left(x["digest"], F.lit(8)), x["marks"])), "")))
 
 
 def root(print_: Column) -> Column:
@@ -40,14 +45,14 @@ def root(print_: Column) -> Column:
 
 def phrases(print_: Column) -> Column:
     """The phrase digests in a fingerprint."""
-    parts = F.split(print_, " ")
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.left(x, F.lit(8)))
+    return F.transform(F.slice(F.split(print_, " "), 2, 1 << 30), lambda x: F.left(x, F.lit(8)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal roots, else twice the phrases in common by the phrases of both (distinct ones)."""
-    x, y = F.array_distinct(phrases(a)), F.array_distinct(phrases(b))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x) + F.size(y), F.lit(1)))
+    sets = F.struct(F.array_distinct(phrases(a)).alias("x"), F.array_distinct(phrases(b)).alias("y"))
+    shared = _once(sets, lambda z: 2.0 * F.size(F.array_intersect(z["x"], z["y"])) / F.greatest(F.size(z["x"]) + F.size(z["y"]), F.lit(1)))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(shared)
 
 
 def differing(a: Column, b: Column) -> Column:
