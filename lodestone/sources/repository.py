@@ -18,7 +18,8 @@ def blob_hash(content: Column) -> Column:
 def snapshot(spark: SparkSession, root: str, most_bytes: int = 1 << 20) -> DataFrame:
     """Files under a folder: path, blob, size and why one was skipped (excluded, too large), if it was.
 
-    Sizes come with the listing, so files that are too large are never read.
+    Sizes come with the listing, so files that are too large are never read. Files whose names begin with a
+    dot or an underscore are not listed at all, as by any of Spark's file sources.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split("://")[-1] + r"\E/", "")

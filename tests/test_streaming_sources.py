@@ -21,15 +21,15 @@ def test_stream_appends_each_event_once(spark, tmp_path):
 def test_snapshot_hashes_and_exclusions(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_bytes(b"print()\n")
-    (tmp_path / ".env").write_bytes(b"secret")
+    (tmp_path / "id_rsa").write_bytes(b"secret")
     (tmp_path / "big.bin").write_bytes(b"x" * 2000)
     got = {r.path: r for r in repository.snapshot(spark, str(tmp_path), most_bytes=1000).collect()}
     assert got["src/a.py"].blob == hashlib.sha1(b"blob 8\0print()\n").hexdigest()
-    assert (got[".env"].skipped, got[".env"].blob) == ("excluded", None) and got["big.bin"].skipped == "too_large"
+    assert (got["id_rsa"].skipped, got["id_rsa"].blob) == ("excluded", None) and got["big.bin"].skipped == "too_large"
 
 
 def test_index_listing(spark):
-    text = f"100644 {'a' * 40} 0\tsrc/x y.py\0100755 {'b' * 40} 0\tbin/run\0"
+    text = f"100644 {'a' * 40} 0\tsrc/x y.py" + "\0" + f"100755 {'b' * 40} 0\tbin/run" + "\0"
     row = spark.createDataFrame([(text,)], "t string").select(repository.index_entries(F.col("t")).alias("e")).first()
     assert [(x.mode, x.path) for x in row.e] == [("100644", "src/x y.py"), ("100755", "bin/run")]
 
