@@ -2,8 +2,9 @@
 
 Passages are overlapping word windows of the documents, as TF-IDF vectors over the benchmark's terms. A
 randomised SVD of all passages, whose passes are distributed and whose results are summed by term, gives
-the latent space. Passages near an item by cosine there are candidates; a candidate is a match if the
-longest common subsequence of words covers enough of the item, its answer included.
+the latent space. Passages near an item by cosine there are candidates, and so is every place that shares a
+few consecutive words with an item, whatever their weight; a candidate is a match if the longest common
+subsequence of words covers enough of the item, its answer included.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, Words, slices, utf8
+from .hashing import U, Words, mix, slices, utf8
 from .packing import LAST, ids_of, planes, unplanes
 from .tables import written
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 BLOCK = 500  #: benchmark items for each pass over the documents, which bounds what tasks are sent
+RUN, WEAK_RUN = 3, 2  #: consecutive words that make a candidate; fewer for items whose words weigh little
+FREQUENT = 256  #: terms that are summed by a matrix product, the others one by one
 
 
 def folded(column: pa.Array) -> Words:
@@ -94,21 +97,39 @@ def _passages(first: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np
     return begin, np.minimum(begin + size, first[row + 1]), row
 
 
-def _latent(numbers: np.ndarray, first: np.ndarray, size: int, stride: int, table: np.ndarray) -> np.ndarray:
+def _stretches(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and row of each stretch of ``stride`` words, and each row's first stretch."""
+    n = -(-np.diff(first) // stride)
+    row = np.repeat(np.arange(len(n)), n)
+    base = np.cumsum(n) - n
+    return first[row] + (np.arange(len(row)) - base[row]) * stride, row, base
+
+
+def _counts(numbers: np.ndarray, start: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """How often each frequent term is in each stretch."""
+    column = np.full(max(int(frequent.max(initial=0)), int(numbers.max(initial=0))) + 1, -1)
+    column[frequent] = np.arange(len(frequent))
+    column = column[numbers]
+    at = np.flatnonzero(column >= 0)
+    cell = (np.searchsorted(start, at, "right") - 1) * len(frequent) + column[at]
+    return np.bincount(cell, minlength=len(start) * len(frequent)).reshape(len(start), -1).astype(np.float32)
+
+
+def _latent(numbers: np.ndarray, first: np.ndarray, size: int, stride: int, table: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Sum of the table's rows over each passage's words: over stretches of ``stride`` words, then over those
     that make up a passage. Words of zero rows are passed over."""
     begin, _, row = _passages(first, size, stride)
-    counts = np.diff(first)
-    n = -(-counts // stride)
-    block_row = np.repeat(np.arange(len(counts)), n)
-    base = np.cumsum(n) - n
-    start = first[block_row] + (np.arange(len(block_row)) - base[block_row]) * stride
-    used = np.flatnonzero(table.any(axis=1)[numbers])
+    start, block_row, base = _stretches(first, stride)
+    n = np.bincount(block_row, minlength=len(first) - 1)
+    single = table.any(axis=1)
+    single[frequent] = False
+    used = np.flatnonzero(single[numbers])
     edge = np.searchsorted(used, start)
     blocks = np.zeros((len(start) + size // stride, table.shape[1]), np.float32)
+    blocks[: len(start)] = _counts(numbers, start, frequent) @ table[frequent]
     full = np.flatnonzero(np.diff(np.append(edge, len(used))))
     if len(full):
-        blocks[full] = np.add.reduceat(table[numbers[used]], edge[full])
+        blocks[full] += np.add.reduceat(table[numbers[used]], edge[full])
     at = base[row] + (begin - first[row]) // stride
     out = blocks[at]
     for k in range(1, size // stride):
@@ -116,6 +137,45 @@ def _latent(numbers: np.ndarray, first: np.ndarray, size: int, stride: int, tabl
     return out
 
 
+def _runs(numbers: np.ndarray, length: int) -> np.ndarray:
+    """A key for the ``length`` words from each position on."""
+    n = max(0, len(numbers) - length + 1)
+    total = np.zeros(n, U)
+    for k in range(length):
+        total = mix(total + numbers[k : k + n].astype(U) + U(1))
+    return total
+
+
+class _Anchors:
+    """Runs of consecutive words of items, by length, and where they are found."""
+
+    def __init__(self, words: list[np.ndarray], lengths: list[int]):
+        self.by_length = {}
+        for length in sorted(set(lengths)):
+            mine = [q for q, n in enumerate(lengths) if n == length]
+            keys = [_runs(words[q], length) for q in mine]
+            item = np.repeat(mine, [len(x) for x in keys])
+            offset = np.concatenate([np.arange(len(x)) for x in keys])
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")
+            self.by_length[length] = keys[order], item[order], offset[order]
+
+    def found(self, numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Row, item, position and offset in the item of each run that lies in one text, in order."""
+        out = [np.zeros((0, 4), np.int64)]
+        for length, (keys, item, offset) in self.by_length.items():
+            got = _runs(numbers, length)
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, got), len(keys) - 1)] == got) if len(keys) else np.zeros(0, int)
+            at = at[rows[at] == rows[at + length - 1]]
+            low, n = np.searchsorted(keys, got[at]), np.searchsorted(keys, got[at], "right")
+            n = n - low
+            which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at = np.repeat(at, n)
+            out.append(np.stack([rows[at], item[which], at, offset[which]], axis=1))
+        found = np.concatenate(out)
+        return found[np.lexsort(found.T[::-1])]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 48, stride: int = 24, extra_rank: int = 56, cosine: float = 0.3,
                cover: float = 0.7, answer_cover: float = 0.5, least_words: int = 8, common_share: float = 0.02) -> DataFrame:
     """Documents that hold a benchmark item, literally or reworded.
@@ -124,8 +184,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 48, stride: in
     range first_word, last_word. Words are compared in lower case, without ASCII punctuation. Items of fewer than ``least_words``
     words, null ones among them, are never found; null texts hold nothing. Null and repeated doc_ids are
     kept, of rows equal in all columns one is returned. Empty tables give no rows. Other columns are left
-    out. Terms in more than ``common_share`` of all passages have no weight in the latent space (they count in
-    the subsequence). The benchmark is read in blocks of 500 items, each with its own pass.
+    out. A text that shares three consecutive words with an item is compared with it whatever the cosine, two where the
+    item's words are so frequent that they weigh little. Terms in more than ``common_share`` of all passages
+    weigh less, in proportion to that. The benchmark is read in blocks of 500 items, each with its own pass.
     """
     if size % stride:
         raise ValueError("size must be a multiple of stride")
@@ -164,8 +225,9 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
     df[got[0]] = got[1][:, 0]
     idf = np.log((total + 1) / (df + 1)) + 0.05
     idf[0] = 0
-    idf[df > common_share * total] = 0
+    idf *= np.minimum(1, common_share * total / np.maximum(df, 1))
     heavy = idf > 0
+    frequent = 1 + np.argsort(-df[1:], kind="stable")[:FREQUENT]
     items_by_term = np.zeros((len(terms.words), n_terms))
     for k, x in enumerate(terms.words):
         np.add.at(items_by_term[k], x, 1.0)
@@ -177,18 +239,24 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
     def range_of(row):  # A'A times the probe: each word adds its passages' projections to its term
         first, numbers = unplanes(row["first"], np.int64), unplanes(row["numbers"], np.int32)
         begin, end, _ = _passages(first, size, stride)
-        y = _latent(numbers, first, size, stride, projected)
-        used = np.flatnonzero(heavy[numbers])
-        out = np.zeros((n_terms, width))
-        at = np.searchsorted(begin, used, "right") - 1
+        y = _latent(numbers, first, size, stride, projected, frequent)
+        start, _, _ = _stretches(first, stride)
+        z = np.zeros((len(start), width), np.float32)  # of each stretch, the sum over the passages that hold it
+        at = np.searchsorted(begin, start, "right") - 1
         for back in range(size // stride):
             p = np.maximum(at - back, 0)
-            inside = (at >= back) & (begin[p] <= used) & (used < end[p])
-            term, p = numbers[used[inside]], p[inside]
-            order = np.argsort(term, kind="stable")
-            if len(order):
-                starts = np.flatnonzero(np.append(True, np.diff(term[order]) > 0))
-                out[term[order][starts]] += np.add.reduceat(y[p[order]], starts)
+            inside = (at >= back) & (begin[p] <= start) & (start < end[p])
+            z[inside] += y[p[inside]]
+        out = np.zeros((n_terms, width))
+        out[frequent] = _counts(numbers, start, frequent).T @ z
+        single = heavy.copy()
+        single[frequent] = False
+        used = np.flatnonzero(single[numbers])
+        term = numbers[used]
+        order = np.argsort(term, kind="stable")
+        if len(order):
+            starts = np.flatnonzero(np.append(True, np.diff(term[order]) > 0))
+            out[term[order][starts]] += np.add.reduceat(z[np.searchsorted(start, used[order], "right") - 1], starts)
         return out * idf[:, None]
 
     got = _summed(table, range_of, width)
@@ -203,6 +271,8 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
     #: A passage's length counts all its words; those that no item has weigh as the middle benchmark term.
     weight = idf.copy()
     weight[0] = np.median(idf[heavy]) if heavy.any() else 1.0
+    light = [(weight[x] ** 2).mean() < weight[0] ** 2 / 4 for x in terms.words]
+    anchors = _Anchors(terms.words, [WEAK_RUN if x else RUN for x in light])
 
     def search(batches):
         names = [x.strip().split()[0] for x in schema.split(",")]
@@ -216,21 +286,36 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
 
     def _matches(ids, first, numbers):
         begin, end, row = _passages(first, size, stride)
-        near = _latent(numbers, first, size, stride, nearness)
+        near = _latent(numbers, first, size, stride, nearness, frequent)
         mass = np.append(0, np.cumsum(weight[numbers] ** 2))
         near /= np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9))[:, None].astype(np.float32)
         best: dict[tuple, tuple] = {}
-        for p, q in zip(*np.nonzero(near >= cosine), strict=True):
-            item, r = terms.words[q], row[p]
-            low, high = max(first[r], begin[p] - len(item)), min(first[r + 1], end[p] + len(item))
+        seen: dict[tuple, tuple] = {}  # the last stretch that was compared with an item
+
+        def compare(r, q, low, high, p):
+            low, high, item = int(max(first[r], low)), int(min(first[r + 1], high)), terms.words[q]
+            seen[r, q] = low, high
             if np.count_nonzero(np.isin(item, numbers[low:high])) < cover * len(item):
-                continue  # too few words in common for any subsequence
+                return  # too few words in common for any subsequence
             pairs = common(item.tolist(), numbers[low:high].tolist())
             answer = terms.answer[q]
             share, told = len(pairs) / len(item), sum(i >= answer for i, _ in pairs) / (len(item) - answer)
             if share >= cover and told >= answer_cover:
                 found = (share, float(near[p, q]), told, int(low - first[r] + pairs[0][1]), int(low - first[r] + pairs[-1][1]))
                 best[r, q] = max(best.get((r, q), found), found)
+
+        for p, q in zip(*np.nonzero(near >= cosine), strict=True):
+            compare(row[p], q, begin[p] - len(terms.words[q]), end[p] + len(terms.words[q]), p)
+        rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        whole = set(best)
+        seen.clear()
+        for r, q, at, offset in anchors.found(numbers, rows).tolist():
+            size_of = len(terms.words[q])
+            low, high = max(at - offset, first[r]), min(at - offset + size_of, first[r + 1])
+            before = seen.get((r, q))
+            if (r, q) in whole or before and before[0] <= low and high <= before[1]:
+                continue  # found by its cosine, or compared with what an earlier run began
+            compare(r, q, low - size_of, high + size_of, int(np.searchsorted(begin, at, "right")) - 1)
         return [(None if ids[r] == LAST else int(ids[r]), items[terms.items[q]][0], c, s, t, i, j) for (r, q), (s, c, t, i, j) in best.items()]
 
     return table.select("ids", "first", "numbers").mapInArrow(search, schema)

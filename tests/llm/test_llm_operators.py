@@ -325,6 +325,23 @@ def test_leaks_are_found_reworded_and_clean_texts_left(spark, docs, empty):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_a_leak_in_many_documents_is_found_in_each(spark):
+    rng = np.random.default_rng(4)
+    filler = [f"w{n}" for n in range(2000)]
+    item = [f"q{n}" for n in range(36)]
+    reworded = [w if n % 3 else "other" for n, w in enumerate(item)][1:] + item[:1]  # no three words in a row, 24 of 36
+    less = [w if n % 4 else "other" for n, w in enumerate(item)]
+    rows = []
+    for k in range(240):
+        words = rng.choice(filler, 150).tolist()
+        at = int(rng.integers(0, 150))
+        rows.append((k, " ".join([*words[:at], *(item if k % 3 == 0 else less if k % 30 == 1 else reworded if k % 30 == 2 else []), *words[at:]])))
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(f"q{n}" for n in range(100, 130)))], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, 0) for k in range(240) if k % 3 == 0 or k % 30 == 1}
+    assert all(r.lcs_share == 1 for r in got if r.doc_id % 3 == 0)
+
+
 def every_segmentation(lattice, text):
     out = []
 
