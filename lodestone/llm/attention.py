@@ -3,13 +3,14 @@
 A text's subwords are scored in windows of WINDOW ids that overlap by WINDOW - STRIDE, each id once, with
 one batched masked attention over all windows of a batch. The network predicts the class of the next
 subword; which of the class it is follows the counts of all training documents. A word's probability is
-that of its subwords and of ending there, mixed with its share of all training words. The network and the
-mixture are fitted on bounded samples (``SAMPLE_DOCS`` documents, ``SAMPLE_BATCHES`` batches); words and
-subwords are counted over every training document.
+that of its subwords and of ending there, mixed with its share of all training words. The network starts from
+``SAMPLE_DOCS`` documents and then learns from every training document: each task goes over all its windows, and
+the tasks' parameters are averaged. Classes, words, subwords and the mixture follow all training documents.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 from itertools import chain
@@ -26,7 +27,8 @@ from .tables import bucketed, written
 WINDOW, STRIDE, SIZE, HEAD = 32, 24, 16, 8
 STARTS, INSIDES = 20, 19  #: classes of subwords that begin a word and that don't; one more is the end
 FREQUENT = 3000  #: subwords with an input vector of their own; others have their class's
-SAMPLE_DOCS, SAMPLE_BATCHES = 1500, 6
+SAMPLE_DOCS = 1500
+MARKS = 96  #: frequent subwords by which the others' neighbours are told
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _processors: dict = {}
@@ -78,19 +80,59 @@ class Subwords:
         return hashes, of, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
 
-def _classes(sample: list[np.ndarray], counts: np.ndarray, starts: np.ndarray, rng) -> np.ndarray:
-    """A class for each subword, by what stands before and after it: 0 is the end's, then STARTS for those
-    that begin a word, then INSIDES. The last of either kind takes the subwords that the sample lacks."""
-    n = len(starts)
-    marks = np.argsort(-counts[:n], kind="stable")[:96]
+def _sequence(of: np.ndarray, flat: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's ids end to end, and where each text begins among them."""
+    starts, each = np.cumsum(sizes) - sizes, np.append(0, np.cumsum(sizes[of]))
+    return flat[np.repeat(starts[of] - each[:-1], sizes[of]) + np.arange(each[-1])], each[first]
+
+
+def _learned(model: str, row: dict) -> list[np.ndarray]:
+    """The ids of each training document of a batch."""
+    table = unpack(row["blob"])
+    w = Words(*utf8(table["text"]), lower=True)
+    _, of, flat, sizes = Subwords.get(model).distinct(w)
+    ids, at = _sequence(of, flat, sizes, w.first)
+    return [ids[i:j] for x, i, j in zip(_ids(table), at[:-1], at[1:], strict=True) if not held_out(x)]
+
+
+def _marks(counts: np.ndarray, n: int) -> np.ndarray:
     mark = np.full(n, -1)
+    marks = np.argsort(-counts[:n], kind="stable")[:MARKS]
     mark[marks] = np.arange(len(marks))
-    seen = np.zeros((n, 2 * len(marks)))
-    for ids in sample:
-        a, b = ids[:-1], ids[1:]
-        for x, y, shift in ((a, b, 0), (b, a, len(marks))):
-            known = mark[y] >= 0
-            np.add.at(seen, (x[known], mark[y[known]] + shift), 1)
+    return mark
+
+
+def _neighbours(packed: DataFrame, model: str, mark: np.ndarray) -> np.ndarray:
+    """How often each mark stands after and before each subword in all training documents."""
+
+    def run(batches):
+        total = np.zeros(len(mark) * 2 * MARKS, np.int32)
+        for got in batches:
+            for row in got.to_pylist():
+                texts = _learned(model, row)
+                if not texts:
+                    continue
+                ids, edge = np.concatenate(texts), np.cumsum([len(x) for x in texts])[:-1]
+                inside = np.ones(len(ids), bool)
+                inside[edge[edge < len(ids)]] = False  # no subword stands before a text's first
+                a, b = ids[:-1][inside[1:]], ids[1:][inside[1:]]
+                for x, y, shift in ((a, b, 0), (b, a, MARKS)):
+                    known = mark[y] >= 0
+                    at, n = np.unique(x[known].astype(np.int64) * 2 * MARKS + mark[y[known]] + shift, return_counts=True)
+                    total[at] += n.astype(np.int32)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "n"])
+
+    got = packed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(mark) * 2 * MARKS, np.float32)
+    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.float32)
+    return out.reshape(len(mark), 2 * MARKS)
+
+
+def _classes(seen: np.ndarray, counts: np.ndarray, starts: np.ndarray, rng) -> np.ndarray:
+    """A class for each subword, by what stands before and after it: 0 is the end's, then STARTS for those
+    that begin a word, then INSIDES. The last of either kind takes the subwords with few neighbours."""
+    n = len(starts)
     out = np.zeros(n + 1, np.int64)
     expected = seen.sum(0) / max(seen.sum(), 1)
     for flag, low, k in ((True, 1, STARTS), (False, 1 + STARTS, INSIDES)):
@@ -118,6 +160,53 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.ones(x.shape[-1], x.dtype)  # a product with ones is the fast sum over a short axis
 
 
+class _Adam:
+    def __init__(self, p: dict):
+        self.p, self.n = p, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def update(self, gradients: dict, rate: float) -> None:
+        self.n += 1
+        for k, d in gradients.items():
+            self.first[k] += 0.1 * (d - self.first[k])
+            self.second[k] += 0.01 * (d * d - self.second[k])
+            self.p[k] -= rate * (self.first[k] / (1 - 0.9**self.n)) / (np.sqrt(self.second[k] / (1 - 0.99**self.n)) + 1e-8)
+
+
+def _trained(packed: DataFrame, model: str, network: Network) -> int:
+    """Trains on every training document: each task from the same start over all its windows, then the mean
+    of the tasks' parameters by their targets. Returns the number of targets."""
+    names = list(network.p)
+
+    def run(batches):
+        mine, total, adam = copy.deepcopy(network), 0, None
+        for got in batches:
+            for row in got.to_pylist():
+                if texts := _learned(model, row):
+                    adam = adam or _Adam(mine.p)
+                    total += mine.learn(texts, np.random.default_rng(row["batch"]), adam)
+        if total:
+            flat = np.concatenate([mine.p[k].reshape(-1) for k in names]).astype(float) * total
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([flat.tobytes()], pa.binary())], ["n", "p"])
+
+    def summed(batches):
+        n, total = 0, 0.0
+        for got in batches:
+            for row in got.to_pylist():
+                n, total = n + row["n"], total + np.frombuffer(row["p"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
+
+    parts = packed.mapInArrow(run, "n long, p binary").repartition(8).mapInArrow(summed, "n long, p binary").collect()
+    n = sum(x["n"] for x in parts)
+    if n:
+        flat = np.sum([np.frombuffer(x["p"]) for x in parts], axis=0) / n
+        for k in names:
+            size = network.p[k].size
+            network.p[k], flat = flat[:size].reshape(network.p[k].shape).astype(np.float32), flat[size:]
+    return n
+
+
 class Network:
     """One causal attention head over class-and-subword vectors, with a residual path, to class scores."""
 
@@ -189,15 +278,21 @@ class Network:
         if not texts:
             return
         rows, targets, scored, _ = self.windows(texts)
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        adam = _Adam(self.p)
         for n in range(1, steps + 1):
             at = rng.integers(0, len(rows), batch)
             _, g = self.step(rows[at], self.classes[targets[at]], scored[at].astype(np.float32))
-            now = rate * (1 - n / (steps + 1))
-            for k, d in g.items():
-                first[k] += 0.1 * (d - first[k])
-                second[k] += 0.01 * (d * d - second[k])
-                self.p[k] -= now * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
+            adam.update(g, rate * (1 - n / (steps + 1)))
+
+    def learn(self, texts: list[np.ndarray], rng, adam: _Adam, batch: int = 96, rate: float = 0.002) -> int:
+        """One pass over all windows of the texts in any order; returns the number of targets."""
+        rows, targets, scored, _ = self.windows(texts)
+        order = rng.permutation(len(rows))
+        for k in range(0, len(order), batch):
+            at = order[k : k + batch]
+            _, g = self.step(rows[at], self.classes[targets[at]], scored[at].astype(np.float32))
+            adam.update(g, rate / np.sqrt(1 + adam.n / 100))
+        return int(scored.sum())
 
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Input rows, target ids, which targets a window scores, and each target's place among all."""
@@ -318,6 +413,7 @@ class _Scorer:
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_PARTS = pa.schema([("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("known", pa.binary()), ("by_parts", pa.binary()), ("values", pa.list_(pa.float64()))])
 _SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98)
 
 
@@ -346,8 +442,10 @@ def language_scores(docs: DataFrame, model: str) -> DataFrame:
     rng = np.random.default_rng(11)
     learn = docs.where("pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), 5) <> 1")
     sample = [x for x, _ in subwords.of([x[0] for x in learn.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()])]
-    network = Network(counts, _classes(sample, counts, subwords.starts, rng), rng)
+    seen = _neighbours(packed, model, _marks(counts, subwords.size))
+    network = Network(counts, _classes(seen, counts, subwords.starts, rng), rng)
     network.train(sample, rng)
+    _trained(packed, model, network)
     scorer = _Scorer(model, network, buckets, n, v, ends)
 
     told = told.groupBy("batch").agg(F.collect_list(F.struct("bucket", "counts")).alias("told"))
@@ -359,24 +457,27 @@ def language_scores(docs: DataFrame, model: str) -> DataFrame:
                 ids, n_words, known, by_parts = scorer.words(row)
                 use = np.repeat([not held_out(x) for x in ids], n_words + 1)
                 values = [float(scorer.mixed(known[use], by_parts[use], x, 1).sum()) for x in _SHARES]
-                yield pa.RecordBatch.from_pydict({"values": pa.array([values], pa.list_(pa.float64()))})
+                out = [[ids], [n_words.tolist()], [planes(known)], [planes(by_parts.astype(np.float32))], [values]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
 
-    few = packed.orderBy(F.xxhash64("batch")).limit(SAMPLE_BATCHES).join(told, "batch", "left")
-    values = [x[0] for x in few.mapInArrow(fitted, "values array<double>").collect()]
-    scorer.share = _SHARES[int(np.argmax(np.sum(values, axis=0)))] if values and ends else 0.5
+    #: What the network gives each token, so that the mixture can follow all of them before it is used.
+    parts = written(joined.mapInArrow(fitted, "ids array<long>, n_words array<long>, known binary, by_parts binary, values array<double>"), "parts")
+    values = parts.agg(*(F.sum(F.col("values")[k]) for k in range(len(_SHARES)))).first()
+    scorer.share = _SHARES[int(np.argmax(values))] if ends else 0.5
 
     def scored(batches):
         ten = np.log(10)
         for got in batches:
             for row in got.to_pylist():
-                ids, n_words, known, by_parts = scorer.words(row)
+                ids, n_words = row["ids"], np.array(row["n_words"], np.int64)
+                known, by_parts = unplanes(row["known"], np.int64), unplanes(row["by_parts"], np.float32).astype(float)
                 at = np.cumsum(n_words + 1) - (n_words + 1)
                 add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0)  # noqa: E731, B023
                 base = np.log10((known + 0.5) / (n + 0.5 * (v + 1)))
                 columns = [ids, [held_out(x) for x in ids], n_words + 1, add((known > 0).astype(np.int64)), np.full(len(ids), n), add(base), add(scorer.mixed(known, by_parts, scorer.share)) / ten]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
-    return joined.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return parts.drop("values").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _pieces(asks: DataFrame, size: int) -> np.ndarray:

@@ -210,6 +210,30 @@ def test_language_scores_count_every_token(docs, empty):
     assert attention.language_scores(empty, model).count() == 0
 
 
+def test_network_learns_from_every_training_document(spark, docs):
+    model = tokenizers_at("piece_bpe_32k.model")
+    subwords = attention.Subwords.get(model)
+    texts = [subwords.of([t])[0][0] for k, t in known().items() if not attention.held_out(k)]
+    packed = attention.pack(docs.select("doc_id", "text"), 4096)
+    counts = np.bincount(np.concatenate(texts), minlength=subwords.size + 1).astype(float)
+    mark = attention._marks(counts, subwords.size)
+    want = np.zeros((subwords.size, 2 * attention.MARKS))
+    for a, b in (z for x in texts for z in itertools.pairwise(x.tolist())):
+        if mark[b] >= 0:
+            want[a, mark[b]] += 1
+        if mark[a] >= 0:
+            want[b, mark[a] + attention.MARKS] += 1
+    seen = attention._neighbours(packed, model, mark)
+    assert (seen == want).all()
+    rng = np.random.default_rng(1)
+    network = attention.Network(counts, attention._classes(seen, counts, subwords.starts, rng), rng)
+    rows, targets, scored, _ = network.windows(texts)
+    loss = lambda: network.step(rows, network.classes[targets], scored.astype(np.float32))[0]
+    before = loss()
+    assert attention._trained(packed, model, network) == sum(len(x) + 1 for x in texts)
+    assert loss() < before
+
+
 def test_each_subword_is_scored_once_and_only_from_before():
     rng = np.random.default_rng(0)
     counts, classes = np.ones(51), np.append(1 + rng.integers(0, attention.STARTS + attention.INSIDES, 50), 0)
