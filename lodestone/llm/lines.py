@@ -1,9 +1,10 @@
 """Line dedup by pairwise alignment: partners share rare lines, patience diff aligns them, and the aligned
 blocks go from the later document.
 
-A line's owner is the earliest document that has it. A document's partners are the owners of the lines it
-shares, so their number is bounded by its lines however many documents share one. Partners are aligned in
-order of their rarest shared line (fewest documents first), each against the lines that earlier partners
+A line's owner is the earliest document that has it, and so is the owner of two lines in a row and of a whole
+text. A document's partners are the owners of what it shares, so their number is bounded by its lines however
+many documents share one, and a copy meets its original even where that owns no line. Partners are aligned in
+order of their rarest shared part (fewest documents first), each against the lines that earlier partners
 left unaligned, until every shared line has been tried.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import U
+from .hashing import U, mix
 from .packing import LAST
 from .tables import written
 
@@ -145,13 +146,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns), "n_lines", "n_removed")
 
 
+def _parts(lines: np.ndarray, long_enough: np.ndarray) -> np.ndarray:
+    """Distinct keys of a document's long lines, of its pairs of neighbours with a long one, and of the whole."""
+    if not long_enough.any():
+        return np.zeros(0, U)
+    pairs = mix(mix(lines[:-1] + U(1)) + lines[1:])[long_enough[:-1] | long_enough[1:]]
+    whole = mix(mix(lines + np.arange(len(lines), dtype=U) * U(0x9E3779B97F4A7C15)).sum(keepdims=True) + U(len(lines)))
+    return np.unique(np.concatenate([lines[long_enough], pairs, whole]))
+
+
 def _shared(lined: DataFrame) -> DataFrame:
-    """Rows (doc, owner, df): earlier documents that own lines of a document, with their rarest such line."""
+    """Rows (doc, owner, df): earlier documents that own parts of a document, with their rarest such part."""
 
     def each(batches):
         for got in batches:
             for doc, lines, longs in zip(got["doc"].to_pylist(), got["lines"].to_pylist(), got["long"].to_pylist(), strict=True):
-                found = np.unique(np.frombuffer(lines, U)[np.frombuffer(longs, np.uint8) > 0]).view(np.int64)
+                found = _parts(np.frombuffer(lines, U), np.frombuffer(longs, np.uint8) > 0).view(np.int64)
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc)), pa.array(found)], ["doc", "line"])
 

@@ -195,6 +195,15 @@ def test_line_dedup_deletes_common_blocks_from_the_later(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_copies_of_documents_that_own_no_line_go(spark):
+    x, y, once, other, more = (f"the long line that is called {k}" for k in ("x", "y", "once", "other", "more"))
+    rows = [(1, f"{x}\n{other}\n{y}"), (2, f"{y}\n{x}"), (3, f"{y}\n{x}"), (4, f"own words of four\n{once}\n{more}"), (5, f"{once}\n\n{once}"), (6, f"{once}\n\n{once}"), (7, f"a line of its own in seven\n{y}\n{x}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in lines.dedup_lines(table).collect()}
+    assert left[1] == rows[0][1] and left[2] in (x, y) and left[5] == rows[4][1]
+    assert (left[3], left[6], left[7]) == ("", "", "a line of its own in seven")
+
+
 def test_language_scores_count_every_token(docs, empty):
     model = tokenizers_at("piece_bpe_32k.model")
     got = {r.doc_id: r for r in attention.language_scores(docs, model).collect()}
