@@ -7,6 +7,7 @@ a polynomial in its bytes, modulo 2**64, got from prefix sums and finished by a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U = np.uint64
@@ -63,6 +64,46 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
         start = end
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range; ranges are in order and don't overlap."""
+    out, k = np.empty(len(start), U), 0
+    while k < len(start):  # stretches that stay in the cache; a range is never split
+        low = start[k]
+        m = max(k + 1, int(np.searchsorted(end, low + _STRETCH, "right")))
+        stretch, first, last = data[low : end[m - 1]], start[k:m] - low, end[k:m] - low
+        sums = np.zeros(len(stretch) + 1, U)
+        np.cumsum((stretch.astype(U) + U(1)) * _power(_BASE, len(stretch)), out=sums[1:])
+        value = (sums[last] - sums[first]) * _power(_INVERSE, len(stretch) + 1)[first]
+        out[k:m] = mix(value + (last - first).astype(U) * U(0xD6E8FEB86659FD93))
+        k = m
+    return out
+
+
+class Tiles:
+    """Ranges that cover texts end to end, from each byte that ``begins`` one and from each text's start on.
+
+    ``first`` has each text's first range (rows + 1); ``of`` says which of the distinct ranges each range is,
+    and ``words`` are the distinct ranges' bytes.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, begins: np.ndarray):
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data)) if len(start) else start
+        self.first = np.searchsorted(start, offsets)
+        self.of, distinct = pd.factorize(range_hashes(data, start, end))
+        at = np.empty(len(distinct), np.int64)
+        at[self.of[::-1]] = np.arange(len(start))[::-1]
+        raw = data.tobytes()
+        self.words = [raw[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``start``, end to end."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
 class Words:
     """Words of some texts: ``start``/``end`` byte positions, ``hash`` and ``first`` (rows + 1 word offsets)."""
 
@@ -79,17 +120,7 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.rows = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.hash = np.empty(len(self.start), U)
-        k = 0
-        while k < len(self.start):  # stretches that stay in the cache; a word is never split
-            low = self.start[k]
-            m = max(k + 1, int(np.searchsorted(self.end, low + _STRETCH, "right")))
-            stretch, begin, end = self.data[low : self.end[m - 1]], self.start[k:m] - low, self.end[k:m] - low
-            sums = np.zeros(len(stretch) + 1, U)
-            np.cumsum((stretch.astype(U) + U(1)) * _power(_BASE, len(stretch)), out=sums[1:])
-            value = (sums[end] - sums[begin]) * _power(_INVERSE, len(stretch) + 1)[begin]
-            self.hash[k:m] = mix(value + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
-            k = m
+        self.hash = range_hashes(self.data, self.start, self.end)
 
     def every(self, length: int, salt: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each position on, over the ends of texts too."""
