@@ -104,6 +104,11 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
+def room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, with room for n entries."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+
 class Words:
     """Words of some texts: ``start``/``end`` byte positions, ``hash`` and ``first`` (rows + 1 word offsets)."""
 

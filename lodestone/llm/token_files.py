@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .hashing import Tiles, gathered, slices, utf8
+from .hashing import Tiles, gathered, room, slices, utf8
 from .packing import LAST, bucket_count, planes, text_bytes, unplanes
 from .tables import new_path
 
@@ -142,8 +142,8 @@ class Encoder:
         start[order] = edge - np.diff(edge, prepend=0)
         n, m = len(self.known), len(chunks)
         self.known.update(zip(chunks, range(n, n + m), strict=True))
-        self.size, self.start = (_room(x, n + m) for x in (self.size, self.start))
-        self.flat = _room(self.flat, self.used + len(flat))
+        self.size, self.start = (room(x, n + m) for x in (self.size, self.start))
+        self.flat = room(self.flat, self.used + len(flat))
         self.size[n : n + m], self.start[n : n + m] = size, self.used + start
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
@@ -188,11 +188,6 @@ class Encoder:
         return dict(zip(rows, self._ids([column[k].as_py() for k in rows]), strict=True)) if rows else {}
 
 
-def _room(x: np.ndarray, n: int) -> np.ndarray:
-    """The array, with room for n entries."""
-    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
-
-
 _SHARD = "shard long, n_docs long, n_tokens long, width int, doc_ids binary, ends binary, ids binary"
 _SHARD_ARROW = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
 _DOC = [("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]

@@ -420,14 +420,33 @@ def test_n_best_segmentations(text, n):
     assert all(lattice.decode(np.frombuffer(x, "<u4")) == text.replace("▁", " ") for _, x in got)
 
 
+def test_many_words_are_searched_as_one_by_one():
+    lattice = pieces.Lattice.load(tokenizers_at("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    letters = list("etaoinshr▁.ßñ\n\x00ｆ一𝄞")
+    words = ["▁" + "".join(rng.choice(letters, k % 23)) for k in range(600)] + ["x" * 70, "▁" * 65 + "a"]
+    flat, start, size, score, loss = lattice.best_two(words)
+    for k, x in enumerate(words):
+        (best, ids), *rest = lattice.segment(x, 2)
+        assert (score[k], loss[k]) == (best, best - rest[0][0] if rest else math.inf)
+        assert tuple(flat[start[k] : start[k] + size[k]].tolist()) == ids
+
+
 def test_pieces_of_documents(docs, empty):
+    """Scores equal those of one search over the whole text's lattice, and ids add up to their scores."""
     model = tokenizers_at("piece_bpe_32k.model")
     got = {r.doc_id: r for r in pieces.encoded(docs, model, n=3).collect()}
     lattice = pieces.Lattice.load(model)
+    worth = dict(lattice.pieces.values()) | dict.fromkeys(lattice.byte_ids, None)
+    assert any(len(t or "") > 2000 for t in known().values())
     for k, t in known().items():
-        assert got[k].round_trip and got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
-        assert got[k].score == lattice.nbest(t or "", 1)[0][0] and got[k].n_pieces == len(got[k].ids) // 4
-        assert all(s <= got[k].score for s in got[k].next_scores)
+        r = got[k]
+        assert r.round_trip and r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        assert [r.score, *r.next_scores] == [s for s, _ in lattice.segment(lattice.normalize(t or ""), 3)]
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert r.n_pieces == len(ids) and r.ids_crc32 == zlib.crc32(r.ids) and len({r.ids_crc32, *r.next_crc32}) == 1 + len(r.next_crc32)
+        if all(worth[x] is not None for x in ids):
+            assert sum(worth[x] for x in ids) == r.score
     assert pieces.encoded(empty, model).count() == 0
 
 
