@@ -2,14 +2,15 @@
 
 Passages are overlapping word windows of the documents, as TF-IDF vectors over the benchmark's terms. A
 randomised SVD of all passages, whose passes are distributed and whose results are summed by term, gives
-the latent space. Passages near an item by cosine there are candidates, and so is every place that shares a
-few consecutive words with an item, whatever their weight; a candidate is a match if the longest common
-subsequence of words covers enough of the item, its answer included.
+a latent space of far fewer dimensions than there are items. Passages near an item by cosine there are
+candidates, and so is every place that shares a few consecutive words with an item, whatever their weight; a
+candidate is a match if the longest common subsequence of words covers enough of the item, its answer included.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from .tables import written
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
-BLOCK = 500  #: benchmark items for each pass over the documents, which bounds what tasks are sent
+BLOCK = 2000  #: benchmark items for each pass over the documents, which bounds what tasks and the driver hold
+RANK, EXTRA = 128, 8  #: most dimensions of the latent space, and how many more the sketch has
+SHORT = 8  #: items of fewer words are found where all their words stand in a row
 RUN, WEAK_RUN = 3, 2  #: consecutive words that make a candidate; fewer for items whose words weigh little
 FREQUENT = 256  #: terms that are summed by a matrix product, the others one by one
 
@@ -74,9 +77,9 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 class _Terms:
     """Benchmark words as numbers from 1 on, and items' words as numbers."""
 
-    def __init__(self, items: list[tuple], least_words: int):
+    def __init__(self, items: list[tuple]):
         w = folded(pa.array([x or "" for _, x in items], pa.string()))
-        self.items = [k for k in range(len(items)) if w.first[k + 1] - w.first[k] >= least_words]
+        self.items = [k for k in range(len(items)) if w.first[k + 1] > w.first[k]]
         self.hashes = np.unique(np.concatenate([np.zeros(0, U), *(w.hash[w.first[k] : w.first[k + 1]] for k in self.items)]))
         self.words = [self.number(w.hash[w.first[k] : w.first[k + 1]]) for k in self.items]
         self.answer = [answer_start(items[k][1]) for k in self.items]
@@ -112,7 +115,7 @@ def _counts(numbers: np.ndarray, start: np.ndarray, frequent: np.ndarray) -> np.
     column = column[numbers]
     at = np.flatnonzero(column >= 0)
     cell = (np.searchsorted(start, at, "right") - 1) * len(frequent) + column[at]
-    return np.bincount(cell, minlength=len(start) * len(frequent)).reshape(len(start), -1).astype(np.float32)
+    return np.bincount(cell, minlength=len(start) * len(frequent)).reshape(len(start), len(frequent)).astype(np.float32)
 
 
 def _latent(numbers: np.ndarray, first: np.ndarray, size: int, stride: int, table: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -176,33 +179,34 @@ class _Anchors:
         return found[np.lexsort(found.T[::-1])]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 48, stride: int = 24, extra_rank: int = 56, cosine: float = 0.3,
-               cover: float = 0.7, answer_cover: float = 0.5, least_words: int = 8, common_share: float = 0.02) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 48, stride: int = 24, cosine: float = 0.55,
+               cover: float = 0.7, answer_cover: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item, literally or reworded.
 
-    Returns a row for each document and item: doc_id, item_id, cosine, lcs_share, answer_share and the word
-    range first_word, last_word. Words are compared in lower case, without ASCII punctuation. Items of fewer than ``least_words``
-    words, null ones among them, are never found; null texts hold nothing. Null and repeated doc_ids are
-    kept, of rows equal in all columns one is returned. Empty tables give no rows. Other columns are left
-    out. A text that shares three consecutive words with an item is compared with it whatever the cosine, two where the
-    item's words are so frequent that they weigh little. Terms in more than ``common_share`` of all passages
-    weigh less, in proportion to that. The benchmark is read in blocks of 500 items, each with its own pass.
+    Returns a row for each document and item: doc_id, item_id, cosine (in the latent space), lcs_share,
+    answer_share and the word range first_word, last_word. Words are compared in lower case, without ASCII
+    punctuation. An item of fewer than ``SHORT`` words is found where it stands word for word; null ones and
+    those without words are never found. Null texts hold nothing. Null and repeated doc_ids are kept, of rows
+    equal in all columns one is returned. Empty tables give no rows. Other columns are left out.
+
+    A text that shares three consecutive words with an item is compared with it whatever the cosine, two where
+    the item's words are so frequent that they weigh little, so only rewordings that keep no such run depend
+    on the cosine. The benchmark is read in blocks of ``BLOCK`` items, each with its own passes.
     """
     if size % stride:
         raise ValueError("size must be a multiple of stride")
-    items = [tuple(x) for x in benchmark.select("item_id", "text").orderBy("item_id", "text").collect()]
+    items = (tuple(x) for x in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id long, item_id {kind}, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
-    found = None
-    for k in range(0, max(1, len(items)), BLOCK):
-        block = _leaks(docs, items[k : k + BLOCK], size, stride, extra_rank, cosine, cover, answer_cover, least_words, common_share, schema)
-        found = block if found is None else found.unionByName(block)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for block in batched(items, BLOCK):
+        found = found.unionByName(_leaks(docs, list(block), size, stride, cosine, cover, answer_cover, schema))
     return found.dropDuplicates()
 
 
-def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, least_words, common_share, schema):
-    terms = _Terms(items, least_words)
+def _leaks(docs, items, size, stride, cosine, cover, answer_cover, schema):
+    terms = _Terms(items)
     if not terms.items:
         return docs.sparkSession.createDataFrame([], schema)
     n_terms = len(terms.hashes) + 1
@@ -225,14 +229,18 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
     df[got[0]] = got[1][:, 0]
     idf = np.log((total + 1) / (df + 1)) + 0.05
     idf[0] = 0
-    idf *= np.minimum(1, common_share * total / np.maximum(df, 1))
     heavy = idf > 0
     frequent = 1 + np.argsort(-df[1:], kind="stable")[:FREQUENT]
-    items_by_term = np.zeros((len(terms.words), n_terms))
-    for k, x in enumerate(terms.words):
-        np.add.at(items_by_term[k], x, 1.0)
+    #: Items as passages too: a long item is so many of them, and a short one is not searched by cosine.
+    longest = [x if len(x) >= SHORT else x[:0] for x in terms.words]
+    query_begin, query_end, query_item = _passages(np.cumsum([0, *map(len, longest)]), size, stride)
+    words = np.concatenate(longest)
+    items_by_term = np.zeros((len(query_begin), n_terms))
+    for k, (i, j) in enumerate(zip(query_begin, query_end, strict=True)):
+        np.add.at(items_by_term[k], words[i:j], 1.0)
     items_by_term *= idf
-    width = min(n_terms - 1, len(terms.words) + extra_rank)
+    rank = min(n_terms - 1, max(8, min(RANK, len(query_begin) // 2)))
+    width = min(n_terms - 1, rank + EXTRA)
     probe = np.random.default_rng(7).standard_normal((n_terms, width)) * heavy[:, None]
     projected = (probe * idf[:, None]).astype(np.float32)
 
@@ -263,16 +271,14 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
     sketch = np.zeros((n_terms, width))
     sketch[got[0]] = got[1]
     #: The benchmark's own passages weigh as much as the corpus's, so the space holds what tells items apart.
-    sketch += (max(total, 1) / len(terms.words)) * (items_by_term.T @ (items_by_term @ probe))
-    space = _eigenvectors(sketch, probe)
+    sketch += (max(total, 1) / max(1, len(query_begin))) * (items_by_term.T @ (items_by_term @ probe))
+    space = _eigenvectors(sketch, probe, rank)
     in_space = items_by_term @ space
-    in_space /= np.maximum(np.linalg.norm(in_space, axis=1, keepdims=True), 1e-9)
-    nearness = ((space @ in_space.T) * idf[:, None]).astype(np.float32)  # what a word adds to the product with each item
-    #: A passage's length counts all its words; those that no item has weigh as the middle benchmark term.
-    weight = idf.copy()
-    weight[0] = np.median(idf[heavy]) if heavy.any() else 1.0
-    light = [(weight[x] ** 2).mean() < weight[0] ** 2 / 4 for x in terms.words]
-    anchors = _Anchors(terms.words, [WEAK_RUN if x else RUN for x in light])
+    in_space = (in_space / np.maximum(np.linalg.norm(in_space, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    folding = (space * idf[:, None]).astype(np.float32)  # what a word adds to its passage's place in the space
+    usual = np.median(idf[heavy]) if heavy.any() else 1.0
+    light = [(idf[x] ** 2).mean() < usual**2 / 4 for x in terms.words]
+    anchors = _Anchors(terms.words, [len(x) if len(x) < SHORT else WEAK_RUN if y else RUN for x, y in zip(terms.words, light, strict=True)])
 
     def search(batches):
         names = [x.strip().split()[0] for x in schema.split(",")]
@@ -286,13 +292,12 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
 
     def _matches(ids, first, numbers):
         begin, end, row = _passages(first, size, stride)
-        near = _latent(numbers, first, size, stride, nearness, frequent)
-        mass = np.append(0, np.cumsum(weight[numbers] ** 2))
-        near /= np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9))[:, None].astype(np.float32)
+        place = _latent(numbers, first, size, stride, folding, frequent)
+        place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), np.float32(1e-9))
         best: dict[tuple, tuple] = {}
         seen: dict[tuple, tuple] = {}  # the last stretch that was compared with an item
 
-        def compare(r, q, low, high, p):
+        def compare(r, q, low, high, near):
             low, high, item = int(max(first[r], low)), int(min(first[r + 1], high)), terms.words[q]
             seen[r, q] = low, high
             if np.count_nonzero(np.isin(item, numbers[low:high])) < cover * len(item):
@@ -301,11 +306,14 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
             answer = terms.answer[q]
             share, told = len(pairs) / len(item), sum(i >= answer for i, _ in pairs) / (len(item) - answer)
             if share >= cover and told >= answer_cover:
-                found = (share, float(near[p, q]), told, int(low - first[r] + pairs[0][1]), int(low - first[r] + pairs[-1][1]))
+                found = (share, near, told, int(low - first[r] + pairs[0][1]), int(low - first[r] + pairs[-1][1]))
                 best[r, q] = max(best.get((r, q), found), found)
 
-        for p, q in zip(*np.nonzero(near >= cosine), strict=True):
-            compare(row[p], q, begin[p] - len(terms.words[q]), end[p] + len(terms.words[q]), p)
+        for low in range(0, len(place), 4096):
+            near = place[low : low + 4096] @ in_space.T
+            for p, k in zip(*np.nonzero(near >= cosine), strict=True):
+                q = query_item[k]
+                compare(row[low + p], q, begin[low + p] - len(terms.words[q]), end[low + p] + len(terms.words[q]), float(near[p, k]))
         rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
         whole = set(best)
         seen.clear()
@@ -315,19 +323,20 @@ def _leaks(docs, items, size, stride, extra_rank, cosine, cover, answer_cover, l
             before = seen.get((r, q))
             if (r, q) in whole or before and before[0] <= low and high <= before[1]:
                 continue  # found by its cosine, or compared with what an earlier run began
-            compare(r, q, low - size_of, high + size_of, int(np.searchsorted(begin, at, "right")) - 1)
+            p = int(np.searchsorted(begin, at, "right")) - 1
+            compare(r, q, low - size_of, high + size_of, float((in_space[query_item == q] @ place[p]).max(initial=0.0)))
         return [(None if ids[r] == LAST else int(ids[r]), items[terms.items[q]][0], c, s, t, i, j) for (r, q), (s, c, t, i, j) in best.items()]
 
     return table.select("ids", "first", "numbers").mapInArrow(search, schema)
 
 
-def _eigenvectors(sketch: np.ndarray, probe: np.ndarray) -> np.ndarray:
-    """Leading eigenvectors of a positive matrix K from K @ probe alone (one pass over the data)."""
+def _eigenvectors(sketch: np.ndarray, probe: np.ndarray, rank: int) -> np.ndarray:
+    """At most ``rank`` leading eigenvectors of a positive matrix K from K @ probe alone (one pass over the data)."""
     shift = 1e-9 * np.linalg.norm(sketch)
     sketch = sketch + shift * probe
     values, vectors = np.linalg.eigh((m := probe.T @ sketch) / 2 + m.T / 2)
-    good = values > values.max() * 1e-10
-    return np.linalg.svd(sketch @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)[0]
+    good = values > values.max(initial=0) * 1e-10
+    return np.linalg.svd(sketch @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)[0][:, :rank]
 
 
 def _distinct(numbers, begin, end, n_terms):

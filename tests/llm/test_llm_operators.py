@@ -392,6 +392,81 @@ def test_a_leak_in_many_documents_is_found_in_each(spark):
     assert all(r.lcs_share == 1 for r in got if r.doc_id % 3 == 0)
 
 
+def longest_common(a, b):
+    """Item positions of a longest common subsequence, by the plain table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i][j - 1]:
+            j -= 1
+        elif table[i][j] == table[i - 1][j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return out
+
+
+def holds(item, words):
+    n = len(item)
+    if n < decontaminate.SHORT:
+        return any(words[k : k + n] == item for k in range(len(words) - n + 1))
+    for k in range(max(1, len(words) - n)):
+        got = longest_common(item, words[k : k + 2 * n])
+        if len(got) >= 0.7 * n and sum(i >= n // 2 for i in got) >= 0.5 * (n - n // 2):
+            return True
+    return False
+
+
+def test_leaks_equal_those_of_all_pairs(spark):
+    """Every document against every item by the plain table: an item in a tenth of them, short ones, a null doc_id."""
+    rng = np.random.default_rng(21)
+    draw = lambda n, low, high: [f"t{x}" for x in rng.integers(low, high, n)]
+    items = [draw(n, 0, 120) for n in (9, 12, 16, 20, 24, 30, 5, 2, 110)]
+    rows = []
+    for k in range(80):
+        words, planted = draw(60, 40, 900), []
+        if k % 10 == 0:
+            planted = items[2]
+        elif k % 7 == 0:
+            planted = list(items[k % len(items)])
+            for _ in range(len(planted) // 9):
+                planted[rng.integers(len(planted))] = "other"
+            for _ in range(len(planted) // 12):
+                planted.insert(int(rng.integers(len(planted))), "more")
+        elif k % 5 == 0:
+            planted = [x for x in items[k % 6] if rng.random() < 0.55]
+        elif k % 3 == 0:
+            planted = items[6][:4]
+        at = int(rng.integers(60))
+        rows.append((None if k == 30 else k, " ".join([*words[:at], *planted, *words[at:]])))
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(50, None), (51, " . ")], "item_id long, text string")
+    want = {(d, k) for d, t in rows for k, item in enumerate(items) if holds(item, t.split())}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert len(want) > 15 and (None, 2) in want and any(k == 6 for _, k in want)
+    assert got == want
+    three = [(1, "a b"), (2, " ".join(items[3])), (3, None)]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(three, "doc_id long, text string"), benchmark).collect()} == {(2, 3)}
+
+
+def test_rewordings_without_a_common_run_are_found_by_cosine(spark):
+    """No three words of an item stand in a row; what is kept (70 to 75 %) is spread over twice the length."""
+    rng = np.random.default_rng(2)
+    items = [[f"q{x}" for x in rng.integers(0, 4000, 36)] for _ in range(120)]
+    filler = [f"w{n}" for n in range(3000)]
+    rows = []
+    for k in range(120):
+        spread = [y for n, x in enumerate(items[k]) if n % 4 for y in ((x,) if n % 2 else (x, str(rng.choice(filler))))]
+        words = rng.choice(filler, 200).tolist()
+        rows.append((k, " ".join([*words[:90], *spread, *words[90:]])))
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got <= {(k, k) for k in range(120)} and len(got) >= 114
+
+
 def every_segmentation(lattice, text):
     out = []
 
