@@ -3,9 +3,13 @@
 A text's subwords are scored in windows of WINDOW ids that overlap by WINDOW - STRIDE, each id once, with
 one batched masked attention over all windows of a batch. The network predicts the class of the next
 subword; which of the class it is follows the counts of all training documents. A word's probability is
-that of its subwords and of ending there, mixed with its share of all training words. The network starts from
-``SAMPLE_DOCS`` documents and then learns from every training document: each task goes over all its windows, and
-the tasks' parameters are averaged. Classes, words, subwords and the mixture follow all training documents.
+that of its subwords and of ending there, mixed with its share of all training words, so the probabilities of
+all words and of the end sum to at most 1. The network starts from about ``SAMPLE_DOCS`` documents and then
+learns from every training document: each task goes over all its windows, and the tasks' parameters are
+averaged. Classes, words, subwords and the mixture follow all training documents.
+
+Texts are read once. What later passes read are a batch's distinct words, as subwords, and which of them each
+word is.
 """
 
 from __future__ import annotations
@@ -16,18 +20,20 @@ import zlib
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, Words, utf8
-from .packing import bucket_count, deltas, pack, planes, ranges, text_bytes, undeltas, unpack, unplanes
+from .hashing import Words, gathered, slices, words_of
+from .packing import LAST, bucket_count, deltas, ids_of, planes, ranges, text_bytes, undeltas, unplanes
 from .tables import bucketed, written
 
 WINDOW, STRIDE, SIZE, HEAD = 32, 24, 16, 8
 STARTS, INSIDES = 20, 19  #: classes of subwords that begin a word and that don't; one more is the end
 FREQUENT = 3000  #: subwords with an input vector of their own; others have their class's
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 1500  #: chosen by a bound on their hash; the start alone depends on it
 MARKS = 96  #: frequent subwords by which the others' neighbours are told
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,14 +76,20 @@ class Subwords:
 
 
     def distinct(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words' hashes, which of them each word is, their ids end to end and how many each has. No
-        piece crosses white space, so a word has the same ids in every text."""
-        hashes, index, of = np.unique(w.hash, return_index=True, return_inverse=True)
+        """Distinct words' hashes in order, which of them each word is, their ids end to end and how many each
+        has. No piece crosses white space, so a word has the same ids in every text."""
+        of, hashes = pd.factorize(w.hash)
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        index = np.empty(len(order), np.int64)
+        index[of[::-1]] = np.arange(len(of))[::-1]
+        index = index[order]
         raw = w.data.tobytes()
         words = [raw[i:j].decode("utf-8", "replace") for i, j in zip(w.start[index].tolist(), w.end[index].tolist(), strict=True)]
         lists = [x or [0] for x in self.sp.encode(words, num_threads=1)] if words else []
         sizes = np.array([len(x) for x in lists], np.int64)
-        return hashes, of, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+        return hashes[order], place[of], np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
 
 def _sequence(of: np.ndarray, flat: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +98,49 @@ def _sequence(of: np.ndarray, flat: np.ndarray, sizes: np.ndarray, first: np.nda
     return flat[np.repeat(starts[of] - each[:-1], sizes[of]) + np.arange(each[-1])], each[first]
 
 
-def _learned(model: str, row: dict) -> list[np.ndarray]:
-    """The ids of each training document of a batch."""
-    table = unpack(row["blob"])
-    w = Words(*utf8(table["text"]), lower=True)
-    _, of, flat, sizes = Subwords.get(model).distinct(w)
-    ids, at = _sequence(of, flat, sizes, w.first)
-    return [ids[i:j] for x, i, j in zip(_ids(table), at[:-1], at[1:], strict=True) if not held_out(x)]
+_BATCH = pa.schema([("batch", pa.int64()), ("docs", pa.int64()), ("learned", pa.int64()), *((x, pa.binary()) for x in ("ids", "first", "of", "flat", "sizes", "hashes", "counts", "pieces"))])
+_BATCH_DDL = "batch long, docs long, learned long, ids binary, first binary, of binary, flat binary, sizes binary, hashes binary, counts binary, pieces binary"
+
+
+def _encoder(model: str):
+    """Batches of documents: doc_ids, first words, words by number; and of the distinct words subwords, hashes
+    and counts in training documents."""
+
+    def run(batches):
+        subwords, made = Subwords.get(model), 0
+        for got in batches:
+            for part in slices(got, "text", 4 << 20):
+                ids = ids_of(part["doc_id"])
+                w = words_of(part["text"], lower=True)
+                hashes, of, flat, sizes = subwords.distinct(w)
+                learn = _learns(ids)
+                counts = np.bincount(of, learn[w.rows], len(hashes)).astype(np.int64)
+                pieces = np.bincount(flat, np.repeat(counts, sizes), subwords.size).astype(np.int64)
+                row = {
+                    "batch": TaskContext.get().partitionId() << 32 | made, "docs": len(ids), "learned": int(learn.sum()), "ids": planes(ids), "first": planes(w.first.astype(np.int64)),
+                    "of": planes(of.astype(np.int32)), "flat": planes(flat.astype(np.int32)), "sizes": planes(sizes.astype(np.int32)), "hashes": deltas(hashes), "counts": planes(counts), "pieces": planes(pieces),
+                }
+                made += 1
+                yield pa.RecordBatch.from_pylist([row], schema=_BATCH)
+
+    return run
+
+
+class _Batch:
+    """What a row of encoded batches holds."""
+
+    def __init__(self, row: dict):
+        self.ids, self.first = unplanes(row["ids"], np.int64), unplanes(row["first"], np.int64)
+        self.of, self.flat, self.sizes = (unplanes(row[x], np.int32).astype(np.int64) for x in ("of", "flat", "sizes"))
+
+    def learned(self) -> list[np.ndarray]:
+        """The subwords of each training document."""
+        ids, at = _sequence(self.of, self.flat.astype(np.int32), self.sizes, self.first)
+        return [ids[i:j] for x, i, j in zip(_learns(self.ids), at[:-1], at[1:], strict=True) if x]
+
+
+def _learns(ids: np.ndarray) -> np.ndarray:
+    return np.array([not held_out(None if x == LAST else x) for x in ids.tolist()], bool)
 
 
 def _marks(counts: np.ndarray, n: int) -> np.ndarray:
@@ -102,14 +150,14 @@ def _marks(counts: np.ndarray, n: int) -> np.ndarray:
     return mark
 
 
-def _neighbours(packed: DataFrame, model: str, mark: np.ndarray) -> np.ndarray:
+def _neighbours(encoded: DataFrame, mark: np.ndarray) -> np.ndarray:
     """How often each mark stands after and before each subword in all training documents."""
 
     def run(batches):
-        total = np.zeros(len(mark) * 2 * MARKS, np.int32)
+        total = np.zeros(len(mark) * 2 * MARKS, np.int64)
         for got in batches:
             for row in got.to_pylist():
-                texts = _learned(model, row)
+                texts = _Batch(row).learned()
                 if not texts:
                     continue
                 ids, edge = np.concatenate(texts), np.cumsum([len(x) for x in texts])[:-1]
@@ -118,12 +166,11 @@ def _neighbours(packed: DataFrame, model: str, mark: np.ndarray) -> np.ndarray:
                 a, b = ids[:-1][inside[1:]], ids[1:][inside[1:]]
                 for x, y, shift in ((a, b, 0), (b, a, MARKS)):
                     known = mark[y] >= 0
-                    at, n = np.unique(x[known].astype(np.int64) * 2 * MARKS + mark[y[known]] + shift, return_counts=True)
-                    total[at] += n.astype(np.int32)
+                    total += np.bincount(x[known].astype(np.int64) * 2 * MARKS + mark[y[known]] + shift, minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    got = packed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = encoded.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(mark) * 2 * MARKS, np.float32)
     out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.float32)
     return out.reshape(len(mark), 2 * MARKS)
@@ -156,8 +203,14 @@ def _classes(seen: np.ndarray, counts: np.ndarray, starts: np.ndarray, rng) -> n
 _MOST = np.float32(60)
 
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    return np.ones(x.shape[-1], x.dtype)  # a product with ones is the fast sum over a short axis
+def _by(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The product of all rows with one matrix, as one product of matrices."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], *w.shape[1:])
+
+
+def _total(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis: for a short one a product with ones is the fast way."""
+    return _by(x, np.ones(x.shape[-1], x.dtype))
 
 
 class _Adam:
@@ -173,7 +226,7 @@ class _Adam:
             self.p[k] -= rate * (self.first[k] / (1 - 0.9**self.n)) / (np.sqrt(self.second[k] / (1 - 0.99**self.n)) + 1e-8)
 
 
-def _trained(packed: DataFrame, model: str, network: Network) -> int:
+def _trained(encoded: DataFrame, network: Network) -> int:
     """Trains on every training document: each task from the same start over all its windows, then the mean
     of the tasks' parameters by their targets. Returns the number of targets."""
     names = list(network.p)
@@ -182,7 +235,7 @@ def _trained(packed: DataFrame, model: str, network: Network) -> int:
         mine, total, adam = copy.deepcopy(network), 0, None
         for got in batches:
             for row in got.to_pylist():
-                if texts := _learned(model, row):
+                if texts := _Batch(row).learned():
                     adam = adam or _Adam(mine.p)
                     total += mine.learn(texts, np.random.default_rng(row["batch"]), adam)
         if total:
@@ -197,7 +250,7 @@ def _trained(packed: DataFrame, model: str, network: Network) -> int:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
 
-    parts = packed.mapInArrow(run, "n long, p binary").repartition(8).mapInArrow(summed, "n long, p binary").collect()
+    parts = encoded.mapInArrow(run, "n long, p binary").repartition(8).mapInArrow(summed, "n long, p binary").collect()
     n = sum(x["n"] for x in parts)
     if n:
         flat = np.sum([np.frombuffer(x["p"]) for x in parts], axis=0) / n
@@ -228,50 +281,55 @@ class Network:
             "out": 0.1 * draw(SIZE, self.n_classes), "bias": (base - base.max()).astype(np.float32),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.scale = np.float32(HEAD**-0.5)
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def forward(self, rows: np.ndarray) -> dict:
         p = self.p
         x = p["vectors"][rows] + p["places"]
-        q, k, v = (x @ p[m] for m in "qkv")
-        a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(HEAD**-0.5)
-        np.minimum(a, _MOST, out=a)  # in the place of the greatest of each row: exp can't overflow
-        np.exp(a, out=a)
-        a *= self.mask
-        a /= (a @ _ones(a))[..., None]
-        m = a @ v
-        h = x + m @ p["o"]
-        y = h @ p["out"] + p["bias"]
+        q, k, v = _by(x, p["q"] * self.scale), _by(x, p["k"]), _by(x, p["v"])
+        e = q @ k.transpose(0, 2, 1)
+        np.minimum(e, _MOST, out=e)  # in the place of the greatest of each row: exp can't overflow
+        np.exp(e, out=e)
+        e *= self.mask
+        inverse = 1 / _total(e)[..., None]
+        m = (e @ v) * inverse  # a row's weights are divided by their sum here, where rows are short
+        h = _by(m, p["o"])
+        h += x
+        y = _by(h, p["out"])
+        y += p["bias"]
         np.minimum(y, _MOST, out=y)
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "m": m, "h": h, "y": y}
+        return {"x": x, "q": q, "k": k, "v": v, "e": e, "inverse": inverse, "m": m, "h": h, "y": y}
 
     def step(self, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of the targets' classes."""
         p, f = self.p, self.forward(rows)
-        e = np.exp(f["y"])
-        prob = e / e.sum(-1, keepdims=True)
-        b, t = np.indices(targets.shape)
-        total = max(float(weight.sum()), 1.0)
-        loss = float(-(np.log(prob[b, t, targets] + 1e-12) * weight).sum() / total)
-        dy = prob
-        dy[b, t, targets] -= 1
-        dy *= weight[..., None] / total
+        b, t = np.ogrid[: targets.shape[0], : targets.shape[1]]
+        weight = weight / max(float(weight.sum()), 1.0)
+        chosen = f["y"][b, t, targets]
+        dy = np.exp(f["y"], out=f["y"])
+        total = _total(dy)
+        loss = float((weight * (np.log(total) - chosen)).sum())
+        dy *= (weight / total)[..., None]
+        dy[b, t, targets] -= weight
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        g = {"out": flat(f["h"]).T @ flat(dy), "bias": flat(dy).sum(0)}
-        dh = dy @ p["out"].T
+        g = {"out": flat(f["h"]).T @ flat(dy), "bias": _total(flat(dy).T)}
+        dh = _by(dy, p["out"].T)
         g["o"] = flat(f["m"]).T @ flat(dh)
-        dm = dh @ p["o"].T
-        da = dm @ f["v"].transpose(0, 2, 1)
-        dv = f["a"].transpose(0, 2, 1) @ dm
-        ds = f["a"] * (da - (da * f["a"]).sum(-1, keepdims=True)) * np.float32(HEAD**-0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+        dm = _by(dh, p["o"].T) * f["inverse"]
+        ds = dm @ f["v"].transpose(0, 2, 1)
+        ds -= _total(dm * f["m"])[..., None]
+        ds *= f["e"]
+        dv = f["e"].transpose(0, 2, 1) @ dm
+        dq, dk = (ds @ f["k"]) * self.scale, ds.transpose(0, 2, 1) @ f["q"]
+        dx = dh
+        for name, d in (("q", dq), ("k", dk), ("v", dv)):
+            dx += _by(d, p[name].T)
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = flat(f["x"]).T @ flat(d)
         g["places"] = dx.sum(0)
-        g["vectors"] = np.zeros_like(p["vectors"])
-        np.add.at(g["vectors"], rows.reshape(-1), flat(dx))
+        at, dx = rows.reshape(-1), flat(dx)
+        g["vectors"] = np.stack([np.bincount(at, dx[:, k], len(p["vectors"])) for k in range(SIZE)], axis=1).astype(dx.dtype)
         return loss, g
 
     def train(self, texts: list[np.ndarray], rng, steps: int = 500, batch: int = 96, rate: float = 0.01) -> None:
@@ -284,9 +342,9 @@ class Network:
             _, g = self.step(rows[at], self.classes[targets[at]], scored[at].astype(np.float32))
             adam.update(g, rate * (1 - n / (steps + 1)))
 
-    def learn(self, texts: list[np.ndarray], rng, adam: _Adam, batch: int = 96, rate: float = 0.002) -> int:
-        """One pass over all windows of the texts in any order; returns the number of targets."""
-        rows, targets, scored, _ = self.windows(texts)
+    def learn(self, texts: list[np.ndarray], rng, adam: _Adam, batch: int = 192, rate: float = 0.003) -> int:
+        """One pass over the texts in windows that don't overlap, in any order; returns the number of targets."""
+        rows, targets, scored, _ = self.windows(texts, WINDOW)
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
@@ -294,7 +352,7 @@ class Network:
             adam.update(g, rate / np.sqrt(1 + adam.n / 100))
         return int(scored.sum())
 
-    def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, texts: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Input rows, target ids, which targets a window scores, and each target's place among all."""
         end = len(self.classes) - 1
         sizes = np.array([len(x) + 1 for x in texts])
@@ -303,16 +361,16 @@ class Network:
         inputs = np.empty_like(targets)
         inputs[1:] = targets[:-1]
         inputs[base] = end  # the end of what was before stands at the start
-        n = np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE))
+        n = np.maximum(1, -(-(sizes - (WINDOW - stride)) // stride))
         text = np.repeat(np.arange(len(texts)), n)
         k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        inside = (k * STRIDE)[:, None] + np.arange(WINDOW)
+        inside = (k * stride)[:, None] + np.arange(WINDOW)
         valid = inside < sizes[text][:, None]
         place = base[text][:, None] + np.minimum(inside, sizes[text][:, None] - 1)
-        scored = valid & ((np.arange(WINDOW) >= WINDOW - STRIDE) | (k == 0)[:, None])
+        scored = valid & ((np.arange(WINDOW) >= WINDOW - stride) | (k == 0)[:, None])
         return self.row[inputs[place]], targets[place], scored, place
 
-    def score(self, texts: list[np.ndarray], chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: list[np.ndarray], chunk: int = 192) -> tuple[np.ndarray, np.ndarray]:
         """Of every target (each text's ids and its end, end to end): log probability, and the log probability
         that a word begins (or the text ends) there."""
         rows, targets, scored, place = self.windows(texts)
@@ -320,49 +378,36 @@ class Network:
         for i in range(0, len(rows), chunk):
             on = scored[i : i + chunk]
             y = self.forward(rows[i : i + chunk])["y"][on]
-            e = np.exp(y)
-            total = np.log(e @ _ones(e))
             t, at = targets[i : i + chunk][on], place[i : i + chunk][on]
-            logp[at] = y[np.arange(len(t)), self.classes[t]] - total + self.within[t]
+            chosen = y[np.arange(len(t)), self.classes[t]] + self.within[t]
+            e = np.exp(y, out=y)
+            total = np.log(_total(e))
+            logp[at] = chosen - total
             begin[at] = np.log(e @ self.begins.astype(e.dtype)) - total
         return logp, begin
 
 
-_ASKS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("pieces", pa.binary()), ("docs", pa.int64())])
+_ASKS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _TOLD = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
 
 
-def _ids(table: pa.Table) -> list:
-    return table["doc_id"].to_pylist()
-
-
-def _asker(model: str, buckets: int):
+def _asker(buckets: int):
     """Each batch's distinct words with their counts in its training documents, by hash range."""
 
     def run(batches):
-        subwords = Subwords.get(model)
         for got in batches:
             for row in got.to_pylist():
-                table = unpack(row["blob"])
-                learn = np.array([not held_out(x) for x in _ids(table)])
-                w = Words(*utf8(table["text"]), lower=True)
-                hashes, of, ids, sizes = subwords.distinct(w)
-                counts = np.bincount(of, learn[w.rows], len(hashes)).astype(np.int64)
-                pieces = np.bincount(ids, np.repeat(counts, sizes), subwords.size).astype(np.int64)
+                hashes, counts = undeltas(row["hashes"]), unplanes(row["counts"], np.int64)
                 edge = ranges(hashes, buckets)
-                out = [(k, row["batch"], deltas(hashes[i:j]), planes(counts[i:j]), None, 0) for k, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if i < j]
-                out = out or [(0, row["batch"], None, None, None, 0)]
-                out[0] = (*out[0][:4], planes(pieces), int(learn.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ASKS, strict=True)], schema=_ASKS)
+                out = [(k, row["batch"], deltas(hashes[i:j]), planes(counts[i:j])) for k, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if i < j]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ASKS, strict=True)], schema=_ASKS)
 
     return run
 
 
 def _owner(table: pa.Table) -> pa.Table:
     """Sums the counts of a hash range's words, for every batch that asked."""
-    table = table.filter(table["hashes"].is_valid())
-    if not table.num_rows:
-        return _TOLD.empty_table()
     asked = [undeltas(x) for x in table["hashes"].to_pylist()]
     counts = np.concatenate([unplanes(x, np.int64) for x in table["counts"].to_pylist()])
     hashes, of = np.unique(np.concatenate(asked), return_inverse=True)
@@ -374,29 +419,26 @@ def _owner(table: pa.Table) -> pa.Table:
 
 
 class _Scorer:
-    def __init__(self, model: str, network: Network, buckets: int, n: int, v: int, ends: int, share: float = 0.5):
-        self.model, self.network, self.buckets, self.n, self.v, self.ends, self.share = model, network, buckets, n, v, ends, share
+    def __init__(self, network: Network, buckets: int, n: int, v: int, ends: int, share: float = 0.5):
+        self.network, self.buckets, self.n, self.v, self.ends, self.share = network, buckets, n, v, ends, share
 
     def words(self, row: dict):
         """Of a batch: doc_ids, word counts, and each token's training count (ends included) and log
         probability by subwords."""
-        table = unpack(row["blob"])
-        w = Words(*utf8(table["text"]), lower=True)
-        subwords = Subwords.get(self.model)
-        hashes, of, flat, sizes = subwords.distinct(w)
+        b, hashes = _Batch(row), undeltas(row["hashes"])
         counts = np.zeros(len(hashes), np.int64)
         edge = ranges(hashes, self.buckets)
         for x in row["told"] or []:
             counts[edge[x["bucket"]] : edge[x["bucket"] + 1]] = unplanes(x["counts"], np.int64)
-        n_words = np.diff(w.first)
-        known = np.insert(counts[of], w.first[1:], self.ends) if len(n_words) else counts[of]
-        starts, out = np.cumsum(sizes) - sizes, []
+        n_words = np.diff(b.first)
+        known = np.insert(counts[b.of], b.first[1:], self.ends) if len(n_words) else counts[b.of]
+        starts, out = np.cumsum(b.sizes) - b.sizes, []
         for k in range(0, len(n_words), 100):
-            at = w.first[k : k + 101]
-            mine = of[at[0] : at[-1]]
+            at = b.first[k : k + 101]
+            mine = b.of[at[0] : at[-1]]
             at = at - at[0]
-            each = np.append(0, np.cumsum(sizes[mine]))
-            ids = flat[np.repeat(starts[mine] - each[:-1], sizes[mine]) + np.arange(each[-1])]
+            each = np.append(0, np.cumsum(b.sizes[mine]))
+            ids = gathered(b.flat, starts[mine], b.sizes[mine])
             bounds = each[at]
             logp, begin = self.network.score([ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
             texts = np.arange(len(at) - 1)
@@ -405,10 +447,13 @@ class _Scorer:
             value = np.add.reduceat(logp.astype(float), first) - begin[first]
             value += np.where(is_end, 0.0, np.append(begin, 0)[np.append(first[1:], len(begin))])
             out.append(value)
-        return _ids(table), n_words, known, np.concatenate(out) if out else np.zeros(0)
+        return b.ids, n_words, known, np.concatenate(out) if out else np.zeros(0)
 
     def mixed(self, known: np.ndarray, by_parts: np.ndarray, share: float, less: int = 0) -> np.ndarray:
-        whole = np.log(np.maximum(known - less, 0) + 0.5) - np.log(self.n - less + 0.5 * (self.v + 1))
+        """Log probability of tokens: of a known one by its share of training tokens and by its subwords, of any
+        other by its subwords alone. ``less`` of each token's own occurrences are left out of its share."""
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(known - less, 0)) - np.log(max(self.n - less, 1))
         return np.logaddexp(whole + np.log(share), by_parts + np.log1p(-share))
 
 
@@ -428,34 +473,38 @@ def language_scores(docs: DataFrame, model: str) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(total := text_bytes(docs))
-    packed = bucketed(pack(docs, 4 << 20), "batch", bucket_count(total, 16 << 20), "language")
-    asks = written(packed.mapInArrow(_asker(model, buckets), "bucket int, batch long, hashes binary, counts binary, pieces binary, docs long"), "words")
-    told = written(asks.drop("pieces", "docs").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_owner, "batch long, bucket int, counts binary, distinct long, total long"), "counts")
+    encoded = bucketed(docs.mapInArrow(_encoder(model), _BATCH_DDL), "batch", bucket_count(total, 16 << 20), "language")
+    asks = encoded.select("batch", "hashes", "counts").mapInArrow(_asker(buckets), "bucket int, batch long, hashes binary, counts binary")
+    told = written(asks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_owner, "batch long, bucket int, counts binary, distinct long, total long"), "counts")
     sums = told.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
-    ends = asks.agg(F.sum("docs")).first()[0] or 0
+    rows = encoded.agg(F.sum("docs").alias("docs"), F.sum("learned").alias("learned")).first()
+    ends = rows["learned"] or 0
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + bool(ends)
 
     subwords = Subwords.get(model)
     counts = np.zeros(subwords.size + 1)
-    counts[:-1] = _pieces(asks, subwords.size)
+    counts[:-1] = _pieces(encoded, subwords.size)
     counts[-1] = ends
     rng = np.random.default_rng(11)
-    learn = docs.where("pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), 5) <> 1")
-    sample = [x for x, _ in subwords.of([x[0] for x in learn.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()])]
-    seen = _neighbours(packed, model, _marks(counts, subwords.size))
+    bound = int(min(1.0, SAMPLE_DOCS / max(ends, 1)) * (1 << 63))
+    learn = docs.where("pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), 5) <> 1").where(F.abs(F.xxhash64("doc_id", "text") / 2) <= bound / 2)
+    sample = [x for x, _ in subwords.of(sorted(x[0] or "" for x in learn.select("text").limit(2 * SAMPLE_DOCS).collect()))]
+    batches = encoded.select("ids", "first", "of", "flat", "sizes")
+    seen = _neighbours(batches, _marks(counts, subwords.size))
     network = Network(counts, _classes(seen, counts, subwords.starts, rng), rng)
     network.train(sample, rng)
-    _trained(packed, model, network)
-    scorer = _Scorer(model, network, buckets, n, v, ends)
+    _trained(batches.withColumn("batch", F.pmod(F.xxhash64("ids"), F.lit(1000))), network)
+    scorer = _Scorer(network, buckets, n, v, ends)
 
     told = told.groupBy("batch").agg(F.collect_list(F.struct("bucket", "counts")).alias("told"))
-    joined = packed.join(told.hint("shuffle_hash"), "batch", "left")
+    joined = encoded.drop("counts", "pieces").join(told.hint("shuffle_hash"), "batch", "left")
 
     def fitted(batches):
         for got in batches:
             for row in got.to_pylist():
                 ids, n_words, known, by_parts = scorer.words(row)
-                use = np.repeat([not held_out(x) for x in ids], n_words + 1)
+                use = np.repeat(_learns(ids), n_words + 1)
+                ids = [None if x == LAST else x for x in ids.tolist()]
                 values = [float(scorer.mixed(known[use], by_parts[use], x, 1).sum()) for x in _SHARES]
                 out = [[ids], [n_words.tolist()], [planes(known)], [planes(by_parts.astype(np.float32))], [values]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
@@ -480,19 +529,18 @@ def language_scores(docs: DataFrame, model: str) -> DataFrame:
     return parts.drop("values").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _pieces(asks: DataFrame, size: int) -> np.ndarray:
+def _pieces(encoded: DataFrame, size: int) -> np.ndarray:
     """Subword counts of all training documents: a task sends one vector of the model's size."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for got in batches:
             for x in got["pieces"].to_pylist():
-                if x is not None:
-                    total += unplanes(x, np.int64)
+                total += unplanes(x, np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    got = asks.select("pieces").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = encoded.select("pieces").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size)
     out[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     return out

@@ -236,11 +236,38 @@ def test_language_scores_count_every_token(docs, empty):
     assert attention.language_scores(empty, model).count() == 0
 
 
+def test_word_probabilities_sum_to_at_most_one(docs):
+    """Of all words of up to two subwords out of a few, and of the end, after a start of text."""
+    model = tokenizers_at("piece_bpe_32k.model")
+    subwords = attention.Subwords.get(model)
+    texts = [x for x, _ in subwords.of([t for t in known().values() if t])]
+    counts = np.bincount(np.concatenate(texts), minlength=subwords.size + 1).astype(float)
+    counts[-1] = len(texts)
+    rng = np.random.default_rng(1)
+    used = np.flatnonzero(counts[:-1])
+    classes = np.append(np.where(subwords.starts, 1 + rng.integers(0, attention.STARTS, subwords.size), 1 + attention.STARTS + rng.integers(0, attention.INSIDES, subwords.size)), 0)
+    counts[np.setdiff1d(np.arange(subwords.size), used)] = -0.0999999  # what was never seen has next to no share
+    network = attention.Network(counts, classes, rng)
+    network.train(texts[:20], rng, steps=30)
+    words = [[k] for k in used if subwords.starts[k]]
+    insides = [k for k in used if not subwords.starts[k]]
+    words += [[a[0], b] for a in words for b in insides[:40]]
+    logp, begin = network.score([np.array(x, np.int32) for x in words])
+    at = np.cumsum([0, *(len(x) + 1 for x in words)])
+    by_parts = np.add.reduceat(logp, at[:-1]) - logp[at[1:] - 1] + begin[at[1:] - 1]  # its subwords, and then a begin
+    by_parts -= begin[at[:-1]]
+    end = network.score([np.zeros(0, np.int32)])
+    known_of = rng.integers(0, 9, len(words))
+    scorer = attention._Scorer(network, 8, int(known_of.sum()) + 7, 1, 7)
+    total = sum(np.exp(scorer.mixed(known_of, by_parts.astype(float), s)).sum() + np.exp(scorer.mixed(np.array([7]), (end[0] - end[1]).astype(float), s))[0] for s in (0.3,))
+    assert 0.5 < total <= 1.001
+
+
 def test_network_learns_from_every_training_document(spark, docs):
     model = tokenizers_at("piece_bpe_32k.model")
     subwords = attention.Subwords.get(model)
     texts = [subwords.of([t])[0][0] for k, t in known().items() if not attention.held_out(k)]
-    packed = attention.pack(docs.select("doc_id", "text"), 4096)
+    encoded = docs.select("doc_id", "text").mapInArrow(attention._encoder(model), attention._BATCH_DDL)
     counts = np.bincount(np.concatenate(texts), minlength=subwords.size + 1).astype(float)
     mark = attention._marks(counts, subwords.size)
     want = np.zeros((subwords.size, 2 * attention.MARKS))
@@ -249,14 +276,14 @@ def test_network_learns_from_every_training_document(spark, docs):
             want[a, mark[b]] += 1
         if mark[a] >= 0:
             want[b, mark[a] + attention.MARKS] += 1
-    seen = attention._neighbours(packed, model, mark)
+    seen = attention._neighbours(encoded, mark)
     assert (seen == want).all()
     rng = np.random.default_rng(1)
     network = attention.Network(counts, attention._classes(seen, counts, subwords.starts, rng), rng)
     rows, targets, scored, _ = network.windows(texts)
     loss = lambda: network.step(rows, network.classes[targets], scored.astype(np.float32))[0]
     before = loss()
-    assert attention._trained(packed, model, network) == sum(len(x) + 1 for x in texts)
+    assert attention._trained(encoded, network) == sum(len(x) + 1 for x in texts)
     assert loss() < before
 
 
