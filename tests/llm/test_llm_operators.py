@@ -12,6 +12,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +321,35 @@ def test_attention_gradients():
         assert grad[name][at] == pytest.approx((up - down) / (2 * h), rel=2e-3, abs=1e-7)
 
 
+def tree(text):
+    """Root, and sections as (digest, paragraphs as (digest, phrase marks))."""
+    sections, closed = [[[], []]], True
+    for line in text.split("\n"):
+        if not closed:
+            sections.append([[], []])
+        digest = hashlib.sha256(line.encode()).hexdigest()
+        marks = tuple(f"{xxhash.xxh64_intdigest(x.encode(), 42) & 0xFFFF:04x}" for x in regex.split(r"\s+(?=[aehorAEHOR]|[^\u0000-\u024F\s])", line))
+        sections[-1][0].append(digest)
+        sections[-1][1].append((digest[:8], marks))
+        closed = digest[-1] not in "01"
+    digests = [hashlib.sha256("".join(x).encode()).hexdigest() for x, _ in sections]
+    if not closed:
+        digests.append(hashlib.sha256(b"").hexdigest())
+        sections.append([[], []])
+    return hashlib.sha256("".join(digests).encode()).hexdigest(), [(d[:8], tuple(p)) for d, (_, p) in zip(digests, sections, strict=True)]
+
+
+def tree_likeness(a, b):
+    (root_a, a), (root_b, b) = tree(a), tree(b)
+    if root_a == root_b:
+        return 1.0
+    a, b = set(a), set(b)
+    pa, pb = ({p for _, ps in x - y for p in ps} for x, y in ((a, b), (b, a)))
+    same = sum(len(p[1]) for _, ps in a & b for p in ps) + sum(len(p[1]) for p in pa & pb)
+    fa, fb = ({m for p in x - y for m in p[1]} for x, y in ((pa, pb), (pb, pa)))
+    return 2 * (same + len(fa & fb)) / (2 * same + len(fa) + len(fb))
+
+
 def test_fingerprints_of_edited_texts(docs, empty):
     got = {r.doc_id: r for r in merkle.fingerprints(docs).collect()}
     order = sorted(known().items(), key=lambda x: last(x[0]))
@@ -327,12 +358,17 @@ def test_fingerprints_of_edited_texts(docs, empty):
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
         assert got[k].n_chars == len(t) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
+        assert got[k].near_edited == pytest.approx(tree_likeness(t, edited)) and got[k].near_next == pytest.approx(tree_likeness(t, after))
+        mine, theirs = tree(t)[1], set(tree(edited)[1])
+        assert got[k].first_edit == next((n for n, x in enumerate(mine) if x not in theirs), None)
+        assert got[k].fingerprint == tree(t)[0] + "".join(f";{d}" + "".join(f",{p}" + "".join(m) for p, m in ps) for d, ps in mine)
     prints = collections.defaultdict(set)
     for k, t in order:
         prints[t or ""].add(got[k].fingerprint)
     assert all(len(x) == 1 for x in prints.values()) and len({min(x) for x in prints.values()}) == len(prints)
     assert np.mean([r.near_edited for r in got.values()]) > 0.6
+    long = [k for k, t in known().items() if len(t or "") > 1000]
+    assert sum(len(got[k].fingerprint) for k in long) < 0.5 * sum(got[k].n_chars for k in long)
     assert merkle.fingerprints(empty).count() == 0
 
 
@@ -346,8 +382,9 @@ def test_next_documents_over_many_buckets(spark):
 def test_differing_branches(spark):
     a, b = "one paragraph here\nanother one there\nand a third", "one paragraph here\nanother changed there\nand a third"
     row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differing(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("d")).first()
-    changed = hashlib.sha256(b"another one there").hexdigest()[:8]
-    assert [p for s in row.d for p in s.paragraphs] == [changed]
+    sections = tree(a)[1]
+    at = [(k, [n for n, p in enumerate(s[1]) if p[0] == hashlib.sha256(b"another one there").hexdigest()[:8]]) for k, s in enumerate(sections)]
+    assert [(s.position, s.digest, s.paragraphs) for s in row.d] == [(k, sections[k][0], x) for k, x in at if x]
 
 
 def test_quality_model_learns_and_scores_all(spark, empty):
