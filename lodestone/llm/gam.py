@@ -179,7 +179,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s
     added (columns of these names are replaced). Labels whose crc32(doc_id as text) mod 4 is 2 are not
     learned from (held_out). At most ``sample`` labels are, those with the least hash of doc_id: the only
     bounded step. Features come from the text alone, of which a null is empty. Null labels are not used; of
-    several for a doc_id, the largest is. A null doc_id is scored and never learned from. Without labels
+    several for a doc_id, the largest is; of several texts for one, the first in order is learned. A null doc_id is scored and never learned from. Without labels
     every score is 0.5. An empty table gives no rows.
     """
     docs = docs.drop("held_out", "score", "predicted")
@@ -187,6 +187,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s
     learn = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
     learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(learn), "doc_id")
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def measured(batches):
         for got in batches:

@@ -14,9 +14,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a local one where it is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(shared_dir, "own", None)
         if not base:
             base = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
