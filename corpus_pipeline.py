@@ -2,66 +2,22 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, in the columns of documents; the
 last one returns their pieces. Each works on all that the one before it kept, and reads the tables beside
-the documents (labels, benchmark) from ``sf_dir``. Decisions are by doc_id: rows that share one stay or go
-together. A null doc_id is a document of its own. An empty table passes through as one.
+the documents (labels, benchmark) from ``sf_dir``. The stages are in ``lodestone.llm.stages``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm import tokenizers_at
-from lodestone.llm.decontaminate import find_leaks
-from lodestone.llm.gam import quality_scores
-from lodestone.llm.lines import dedup_lines
-from lodestone.llm.minhash import near_duplicates
-from lodestone.llm.pieces import encoded
+from lodestone.llm import stages
 from lodestone.llm.tables import written
 
-
-def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
-    return scored.where("predicted = 1").select(*docs.columns)
-
-
-def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line blocks of earlier ones; those of which nothing is left go."""
-    left = dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''")
-    return _recounted(left.select(*docs.columns))
-
-
-def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8), that with the smallest doc_id."""
-    return _without(docs, near_duplicates(docs, shingle=5, percent=80).where("NOT kept"))
-
-
-def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-
-
-def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentations of each document, and whether the best decodes to it."""
-    return encoded(docs, tokenizers_at("piece_bpe_32k.model"), n=3, with_ids=False)
-
-
-def _recounted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = gone.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 STAGES = [
-    ("quality", good),
-    ("lines", unrepeated_lines),
-    ("near duplicates", distinct_documents),
-    ("decontamination", unleaked),
-    ("pieces", in_pieces),
+    ("quality", stages.good),
+    ("lines", stages.unrepeated_lines),
+    ("near duplicates", stages.distinct_documents),
+    ("decontamination", stages.unleaked),
+    ("pieces", stages.in_pieces),
 ]
 
 #: Boosted trees, patience diff, MinHash, a singular value decomposition and A* search are not SQL.
