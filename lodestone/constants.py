@@ -41,11 +41,14 @@ INTENTS = {  # in the order that settles ties
     "context": ("context", "overview", "summarize", "summary", "onboard", "catch up", "project digest", "what is this project", "what are we building", "tell me about the project"),
     "fact": ("what", "which", "when", "where", "who", "how many", "version", "uses", "running on", "does the project"),
 }
-STOPWORDS = tuple(
-    "a an the this that these those is are was were be been being am do does did have has had i we you he she it they me us him her them my our your "
-    "his its their of in on at to for with by from up down out off over under again and or but if then than so because as all any both each few more "
-    "most other some such no nor not only own same too very can will just should now into about there here what which who whom whose when where why how".split()
-)
+STOPWORDS = (
+    "a", "an", "the", "this", "that", "these", "those", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "have", "has",
+    "had", "i", "we", "you", "he", "she", "it", "they", "me", "us", "him", "her", "them", "my", "our", "your", "his", "its", "their", "of", "in",
+    "on", "at", "to", "for", "with", "by", "from", "up", "down", "out", "off", "over", "under", "again", "and", "or", "but", "if", "then", "than",
+    "so", "because", "as", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same",
+    "too", "very", "can", "will", "just", "should", "now", "into", "about", "there", "here", "what", "which", "who", "whom", "whose", "when", "where",
+    "why", "how",
+)
 ERROR_CLASSES = (  # in order: the first that matches names the class
     ("NETWORK_ERROR", r"\b(?:econnrefused|econnreset|econnaborted|etimedout|ehostunreach|enetunreach|eai_again|enotfound|socket\s+hang\s+up|connection\s+refused)\b"),
     ("PERMISSION_DENIED", r"\b(?:eacces|eperm|permission\s+denied|access\s+denied|operation\s+not\s+permitted)\b"),
@@ -62,7 +65,7 @@ ERROR_CLASSES = (  # in order: the first that matches names the class
     ("DEADLOCK", r"\bdeadlock\b"),
     ("TIMEOUT", r"\b(?:timeout|timed\s+out|exceeded\s+.{0,20}time)\b"),
 )
-FALLBACK_CLASS = {"build": "BUILD_ERROR", "test": "TEST_FAILURE", "tool": "TOOL_ERROR", "terminal": "COMMAND_FAILURE", "runtime": "RUNTIME_ERROR"}
+FALLBACK_CLASS = {"command": "NONZERO_EXIT", "build": "BUILD_ERROR", "test": "TEST_FAILURE", "tool": "TOOL_ERROR", "terminal": "COMMAND_FAILURE", "runtime": "RUNTIME_ERROR"}
 PROMOTION_IMPORTANCE = 0.5
 GATE = {"min_importance": 0.45, "min_confidence": 0.5, "min_length": 8}
 SUMMARY_WINDOW_DAYS, RETENTION_WINDOW_DAYS = 30, 90

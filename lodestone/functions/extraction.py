@@ -8,29 +8,108 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Technologies and their names in prose, statement patterns, commands whose repetition says nothing.
+# Technologies and their names in prose (a technology's own name in lower case is one as well),
+# statement patterns, commands whose repetition says nothing.
 TECHNOLOGIES = {
-    "PostgreSQL": "postgres postgresql psql pglite", "pgvector": "pgvector", "SQLite": "sqlite sqlite-vec", "MySQL": "mysql mariadb", "Redis": "redis",
-    "Docker": "docker dockerfile compose", "Kubernetes": "kubernetes k8s helm", "Node": "node nodejs node.js", "Bun": "bun", "Deno": "deno",
-    "TypeScript": "typescript tsc", "JavaScript": "javascript", "Python": "python pytest", "Go": "go golang", "Rust": "rust cargo", "React": "react reactjs",
-    "Next.js": "next.js nextjs", "Vue": "vue vuejs", "Svelte": "svelte sveltekit", "Vite": "vite", "Vitest": "vitest", "Jest": "jest", "ESLint": "eslint",
-    "Prisma": "prisma", "Express": "express", "GraphQL": "graphql", "Kafka": "kafka", "Terraform": "terraform", "AWS": "aws s3 lambda ec2", "GCP": "gcp bigquery",
-    "Azure": "azure", "OAuth": "oauth oauth2", "JWT": "jwt",
-}
+    "PostgreSQL": ("postgres", "postgresql", "psql", "pglite"),
+    "pgvector": ("pgvector",),
+    "SQLite": ("sqlite", "sqlite-vec"),
+    "MySQL": ("mysql", "mariadb"),
+    "Redis": ("redis",),
+    "Docker": ("docker", "dockerfile", "compose"),
+    "Kubernetes": ("kubernetes", "k8s", "helm"),
+    "Node": ("node", "nodejs", "node.js"),
+    "Bun": ("bun",),
+    "Deno": ("deno",),
+    "TypeScript": ("typescript", "tsc"),
+    "JavaScript": ("javascript",),
+    "Python": ("python", "pytest"),
+    "Go": ("golang",),
+    "Rust": ("rust", "cargo"),
+    "React": ("react", "reactjs"),
+    "Next.js": ("next.js", "nextjs"),
+    "Vue": ("vue", "vuejs"),
+    "Svelte": ("svelte", "sveltekit"),
+    "Tailwind": ("tailwind", "tailwindcss"),
+    "Vite": ("vite",),
+    "Vitest": ("vitest",),
+    "Jest": ("jest",),
+    "ESLint": ("eslint",),
+    "Biome": ("biome",),
+    "Drizzle": ("drizzle",),
+    "Prisma": ("prisma",),
+    "Kysely": ("kysely",),
+    "Hono": ("hono",),
+    "Fastify": ("fastify",),
+    "Express": ("express",),
+    "Zod": ("zod",),
+    "GraphQL": ("graphql",),
+    "tRPC": ("trpc",),
+    "REST": ("rest", "openapi", "swagger"),
+    "gRPC": ("grpc",),
+    "Kafka": ("kafka",),
+    "RabbitMQ": ("rabbitmq",),
+    "Temporal": ("temporal",),
+    "Terraform": ("terraform",),
+    "AWS": ("aws", "s3", "lambda", "ec2", "cloudrun", "cloud-run"),
+    "GCP": ("gcp", "google-cloud", "bigquery"),
+    "Azure": ("azure",),
+    "Ollama": ("ollama",),
+    "LMStudio": ("lm studio", "lmstudio"),
+    "llama": ("llama.cpp", "llamacpp"),
+    "vLLM": ("vllm",),
+    "pgBoss": ("pg-boss", "pgboss"),
+    "TreeSitter": ("tree-sitter", "treesitter"),
+    "WebAuthn": ("webauthn",),
+    "OAuth": ("oauth", "oauth2"),
+    "JWT": ("jwt",),
+}
+DECISIONS = (
+    r"\b(?:we|i)\s+(?:have\s+)?decided\s+(?:to\s+)?([^.!?\n]{5,200})",
+    r"\b(?:we|i)\s+(?:chose|choose|picked|selected|went\s+with|going\s+with)\s+([^.!?\n]{2,120}?)\s+over\s+([^.!?\n]{2,120})",
+    r"\b(?:we|i)\s+(?:settled\s+on|settle\s+on)\s+([^.!?\n]{2,160})",
+    r"\blet'?s\s+(?:go\s+with|use)\s+([^.!?\n]{2,160})",
+    r"\bdecision:\s*([^.!?\n]{5,300})",
+    r"\bthe\s+decision\s+is\s+([^.!?\n]{5,200})",
+)
+DECISION_NOISE = (r"\bdecided\s+(?:to\s+)?(?:skip|stop|wait|sleep|eat|take\s+a\s+break)\b",)
+RATIONALE = r"(?:because|since|due\s+to|owing\s+to|given\s+that|so\s+that)"
+CLAUSE_BREAK = r"[,;]\s+(?:and|but|so|then|while|plus)\b|[,;]|—"
+REJECTION = r"\b(?:rejected|ruled\s+out|decided\s+against|dropped|excluded|avoided)\s+([^.!?\n]{2,120}?)(?:\s+because\s+([^.!?\n]{3,200}))?(?:[.!?\n]|$)"
+OPTION_NOISE = ("it", "this", "that", "them", "those", "these", "both", "either", "neither", "nothing", "anything", "the other", "the alternative", "something else")
 PREFERENCES = (
-    r"\b(?:i|we)\s+prefer\s+([^.!?\n]{3,160})", r"\bprefer\s+([^.!?\n]{2,120}?)\s+over\s+[^.!?\n]{2,120}", r"\b(?:i|we)\s+always\s+([^.!?\n]{3,160})",
-    r"\b(?:i|we)\s+never\s+([^.!?\n]{3,160})", r"\b(?:always|never)\s+(?:use|write|commit|push|run|name|prefer)\s+([^.!?\n]{2,160})",
-    r"\b(?:make\s+sure|be\s+sure|remember)\s+to\s+([^.!?\n]{3,160})", r"\b(?:don'?t|do\s+not)\s+(?:ever\s+)?(?:use|commit|push|edit|touch|modify)\s+([^.!?\n]{2,160})",
-)
+    r"\b(?:i|we)\s+prefer\s+([^.!?\n]{3,160})",
+    r"\bprefer\s+([^.!?\n]{2,120}?)\s+over\s+([^.!?\n]{2,120})",
+    r"\b(?:i|we)\s+always\s+([^.!?\n]{3,160})",
+    r"\b(?:i|we)\s+never\s+([^.!?\n]{3,160})",
+    r"\b(?:always|never)\s+(?:use|write|commit|push|run|name|prefer)\s+([^.!?\n]{2,160})",
+    r"\b(?:make\s+sure|be\s+sure|remember)\s+to\s+([^.!?\n]{3,160})",
+    r"\b(?:don'?t|do\s+not)\s+(?:ever\s+)?(?:use|commit|push|edit|touch|modify)\s+([^.!?\n]{2,160})",
+)
 PREFERENCE_NOISE = (
     r"\b(?:always|never)\s+(?:forget|forgot|worry|worried|know|knew|think|thought|wanted|want|liked|like|seem|seemed|have|had|do|did)\b",
-    r"\bprefer\s+(?:to\s+)?(?:talk|discuss|think|say|hear)\b", r"\b(?:make\s+sure|be\s+sure)\s+to\s+(?:have|be|do)\b",
-)
+    r"\bprefer\s+(?:to\s+)?(?:talk|discuss|think|say|hear)\b",
+    r"\b(?:make\s+sure|be\s+sure)\s+to\s+(?:have|be|do)\b",
+)
 VERSIONS = (
     r"\b(?:upgraded|downgraded|bumped|pinned|moved|switched)\s+(?:us\s+)?to\s+([A-Za-z][\w.+-]*(?:\s+v?\d[\w.+-]*)?)",
     r"\b(?:now|currently)\s+(?:on|using|running)\s+([A-Za-z][\w.+-]*\s+v?\d[\w.+-]*)",
+    r"\b([A-Za-z][\w.+-]*)\s+(?:is\s+)?(?:now\s+)?(?:at|on)\s+v?(\d+\.\d+(?:\.\d+)?)\b",
+)
+VERSION_NOISE = (r"\bversion\s+\d+\s+of\s+the\s+docs?\b",)
+HYPOTHESES = (
+    r"\b(?:hypothesis|i\s+think\s+the\s+(?:issue|problem|cause)|maybe\s+the|my\s+guess\s+is)\b",
+    r"\blet\s+me\s+try\b",
 )
-TASKS = (r"\b(?:next|now|then)\s+(?:i'?ll|we'?ll|let'?s)\s+([^.!?\n]{3,200})", r"\b(?:todo|next\s+step):\s*([^.!?\n]{3,200})")
+TASKS = (
+    r"\b(?:next|now|then)\s+(?:i'?ll|we'?ll|let'?s)\s+([^.!?\n]{3,200})",
+    r"\b(?:todo|next\s+step):\s*([^.!?\n]{3,200})",
+)
+QUESTIONS = (r"\b(?:should\s+we|how\s+do\s+we|why\s+(?:is|does)|what\s+if)\b[^.!?\n]{0,200}\?",)
+PLAIN_TOKENS = (
+    "the", "and", "for", "with", "that", "this", "from", "not", "but", "was", "were", "are",
+    "is", "it", "in", "on", "to", "of", "a", "an", "error", "failed", "failure", "command",
+)
 DENIED_COMMANDS = ("ls", "cd", "pwd", "cat", "echo", "which", "head", "tail", "open", "code", "clear", "export", "git status", "git diff", "git log", "git add", "git stash", "node -e")
 
 
@@ -70,19 +149,41 @@ def event_text(kind: Column, payload: Column) -> Column:
 
 
 def technologies(text: Column) -> Column:
-    """Technologies that a text names, in order of first mention."""
-    found = []
-    for name, aliases in TECHNOLOGIES.items():
-        pattern = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(sorted(map(re.escape, {name.lower(), *aliases.split()}), key=len, reverse=True)) + r")(?:[^a-z0-9]|$)"
-        found.append(F.when(text.rlike(pattern), F.struct(F.char_length(F.regexp_substr(text, F.lit(r"(?is)^.*?" + pattern.removeprefix("(?i)")))).alias("at"), F.lit(name).alias("name"))))
-    return F.transform(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())), lambda x: x["name"])
+    """Technologies that a text names, in order of first mention.
 
+    One scan finds every name; a technology counts where its first name stands.
+    """
+    names = {x: name for name, aliases in TECHNOLOGIES.items() for x in (name.lower(), *aliases)}
+    longest = sorted(names, key=lambda x: (-len(x), x))
+    pattern = r"(?<![a-z0-9])(" + "|".join(map(re.escape, longest)) + r")(?![a-z0-9])"
+    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), 1), lambda x: F.element_at(table, x)))
 
-def statement(text: Column, patterns: tuple[str, ...], noise: tuple[str, ...] = ()) -> Column:
-    """What the first pattern that matches captures, null for none or for noise."""
-    hits = [F.when(text.rlike(f"(?i){p}"), F.trim(F.regexp_extract(text, f"(?i){p}", 1))) for p in patterns]
+
+def matched(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether any of the patterns is in the text."""
+    return reduce(lambda a, b: a | b, (text.rlike(f"(?i){p}") for p in patterns))
+
+
+def statement(text: Column, patterns: tuple[str, ...], noise: tuple[str, ...] = (), group: int = 1) -> Column:
+    """What the first pattern that matches captures (0: all of it), null for none or for noise."""
+    hits = [F.when(text.rlike(f"(?i){p}"), F.trim(F.regexp_extract(text, f"(?i){p}", group))) for p in patterns]
     found = F.coalesce(*hits)
-    return F.when(~reduce(lambda a, b: a | b, (text.rlike(f"(?i){p}") for p in noise), F.lit(False)), found) if noise else found
+    return F.when(~matched(text, noise), found) if noise else found
+
+
+def version(text: Column) -> Column:
+    """A stated version: a name with its number, null for none. The third form has them apart."""
+    *first, last = (f"(?i){p}" for p in VERSIONS)
+    hits = [F.when(text.rlike(p), F.trim(F.regexp_extract(text, p, 1))) for p in first]
+    hits.append(F.when(text.rlike(last), F.concat_ws(" ", F.regexp_extract(text, last, 1), F.regexp_extract(text, last, 2))))
+    return F.when(~matched(text, VERSION_NOISE), F.coalesce(*hits))
+
+
+def significant(text: Column) -> Column:
+    """Tokens that tell texts apart: of three characters at least and none of the plain ones."""
+    plain = F.array(*map(F.lit, PLAIN_TOKENS))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9_.\-/]+"), lambda x: (F.char_length(x) >= 3) & ~F.array_contains(plain, x)))
 
 
 def slug(problem: Column, most: int = 6) -> Column:

@@ -34,15 +34,32 @@ def keywords(text: Column, limit: int = 32) -> Column:
     return F.slice(F.array_distinct(F.filter(tokens(text), lambda x: ~F.array_contains(words, x))), 1, limit)
 
 
-def _phrase(phrase: str) -> str:
-    return r"(?i)\b" + r"\s+".join(re.escape(x) for x in phrase.split()) + r"\b"
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def phrases_in(text: Column, phrases: list[str]) -> Column:
+    """The distinct phrases that a text holds, by one scan: at each word the longest phrase that begins there
+    and, with it, those that are its beginnings."""
+    ordered = sorted(phrases, key=lambda p: -len(p))
+    pattern = r"(?i)\b(?=(" + "|".join(r"\s+".join(map(re.escape, p.split())) for p in ordered) + r")\b)"
+    within = F.create_map(*(x for p in phrases for x in (F.lit(p), F.array(*(F.lit(q) for q in phrases if f"{p} ".startswith(f"{q} "))))))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))))
+    return F.array_distinct(F.flatten(F.transform(found, lambda x: F.try_element_at(within, x))))
 
 
 def intent(text: Column) -> Column:
     """The intent with most phrases in the text; the earlier in the table wins a tie, none is 'fact'."""
-    scores = [F.struct(sum((text.rlike(_phrase(p)).cast("int") for p in phrases), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, phrases) in enumerate(INTENTS.items())]
-    best = F.greatest(*scores)
-    return F.when(best["n"] > 0, best["name"]).otherwise("fact")
+
+    def best(found):
+        scores = [
+            F.struct(F.size(F.array_intersect(found, F.array(*map(F.lit, phrases)))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name"))
+            for k, (name, phrases) in enumerate(INTENTS.items())
+        ]
+        return once(F.greatest(*scores), lambda x: F.when(x["n"] > 0, x["name"]).otherwise("fact"))
+
+    return F.coalesce(once(phrases_in(text, [p for phrases in INTENTS.values() for p in phrases]), best), F.lit("fact"))
 
 
 def template(text: Column) -> Column:
@@ -73,13 +90,17 @@ def failure_message(text: Column, cap: int = 300) -> Column:
 
 
 def failure_class(message: Column, origin: Column) -> Column:
-    """The first error class whose pattern the normalised message matches, else by the failure's origin."""
+    """The first error class whose pattern the normalised message matches, else by the failure's origin.
+
+    Origins are error origins (build, test, tool, terminal, runtime) and incidents (command, test, tool); a null
+    one is a runtime error's.
+    """
     first = reduce(lambda c, x: c.when(message.rlike(x[1]), x[0]), ERROR_CLASSES[1:], F.when(message.rlike(ERROR_CLASSES[0][1]), ERROR_CLASSES[0][0]))
     fallback = F.create_map(*(F.lit(x) for kv in FALLBACK_CLASS.items() for x in kv))
-    return first.otherwise(F.coalesce(F.try_element_at(fallback, origin), F.lit("RUNTIME_ERROR")))
+    return first.otherwise(F.coalesce(F.try_element_at(fallback, F.coalesce(origin, F.lit("runtime"))), F.lit("ERROR")))
 
 
-def failure_signature(kind: Column, message: Column, version: str = "1") -> Column:
+def failure_signature(kind: Column, message: Column, version: str = "failure-v1") -> Column:
     return F.left(F.sha2(F.concat(F.lit(version), F.lit("\0"), kind, F.lit("\0"), message), 256), F.lit(16))
 
 

@@ -17,15 +17,16 @@ def contradictions(memories: DataFrame) -> DataFrame:
     A pair needs equal scope and template, so the join is on those; statements without numbers never pair.
     """
     m = memories.select(
-        "id", F.coalesce("project_id", F.lit("")).alias("p"), F.coalesce("user_id", F.lit("")).alias("u"), text.template(F.col("content")).alias("template"),
+        "id", F.struct("project_id", "user_id").alias("scope"), text.template(F.col("content")).alias("template"),
         text.numbers(F.col("content")).alias("numbers"), "valid_from", "valid_until").where(F.size("numbers") > 0)
-    a, b = (m.select("p", "u", "template", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "numbers", "valid_from", "valid_until"))) for s in "ab")
+    a, b = (m.select("scope", "template", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "numbers", "valid_from", "valid_until"))) for s in "ab")
     holds = (
         (F.col("id_a") < F.col("id_b")) & (F.col("numbers_a") != F.col("numbers_b"))
         & (F.col("valid_until_b").isNull() | (F.col("valid_from_a") < F.col("valid_until_b")))
         & (F.col("valid_until_a").isNull() | (F.col("valid_from_b") < F.col("valid_until_a")))
     )
-    return a.join(b, ["p", "u", "template"]).where(holds).select("id_a", "id_b", "template")
+    same = a["scope"].eqNullSafe(b["scope"]) & (a["template"] == b["template"])
+    return a.join(b, same).where(holds).select("id_a", "id_b", a["template"], a["scope"])
 
 
 def authority_rule(a: str, b: str) -> Column:
@@ -49,7 +50,7 @@ def resolved(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda s: m.select(F.col("id").alias(f"id_{s}"), F.struct(*m.columns).alias(s))
     rows = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     rows = rows.withColumn("rule", authority_rule("a", "b")).withColumn("since", F.greatest("a.observed_at", "b.observed_at"))
-    rows = rows.select("template", "id_a", "id_b", "rule", "since", F.col("a.observed_at").alias("at_a"), F.col("b.observed_at").alias("at_b"), F.col("a.valid_from").alias("from_a"), F.col("b.valid_from").alias("from_b"))
+    rows = rows.select("scope", "template", "id_a", "id_b", "rule", "since", F.col("a.observed_at").alias("at_a"), F.col("b.observed_at").alias("at_b"), F.col("a.valid_from").alias("from_a"), F.col("b.valid_from").alias("from_b"))
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         gone, out = set(), []
@@ -67,7 +68,7 @@ def resolved(memories: DataFrame, pairs: DataFrame) -> DataFrame:
                 out.append((r.id_a, "superseded", r.id_b, max(r.at_b, r.from_a)))
         return pd.DataFrame(out, columns=["id", "outcome", "winner", "valid_until"]).astype({"winner": "Int64", "valid_until": "datetime64[us]"})
 
-    return rows.groupBy("template").applyInPandas(fold, "id long, outcome string, winner long, valid_until timestamp_ntz")
+    return rows.groupBy("scope", "template").applyInPandas(fold, "id long, outcome string, winner long, valid_until timestamp_ntz")
 
 
 def decayed(memories: DataFrame, now: Column, below: float = ARCHIVE_BELOW) -> DataFrame:
@@ -107,14 +108,26 @@ def promotion(working: DataFrame) -> DataFrame:
     return working.withColumn("decision", reason)
 
 
-def first_success_after(events: DataFrame, failure: Column, success: Column, keys: list[str]) -> DataFrame:
-    """For each failure the first later success in its group, by one sort of the group's events.
+def first_success_after(events: DataFrame, failure: Column, success: Column, keys: list[str], related: Column | None = None) -> DataFrame:
+    """For each failure the first success of its group at a strictly later time, by one sort of the group.
 
-    The next success is carried backward over the sorted events, so no pairs are made.
+    From the last event to the first, the success met last is carried along: no pairs are made and each event
+    is looked at once. At one time failures come first, so they see later successes only, and the smallest id
+    of several successes is met last. ``related`` is an array of what a failure and its success must share one
+    of; events are then followed once for each entry, and a failure takes the earliest success of all.
     """
-    order = Window.partitionBy(*keys).orderBy("occurred_at", "id").rowsBetween(1, Window.unboundedFollowing)
-    later = F.first(F.when(success, F.struct(F.col("id").alias("id"), F.col("occurred_at").alias("at"))), ignorenulls=True).over(order)
-    return events.withColumn("fixed", later).where(failure).select(*keys, F.col("id").alias("failure_id"), F.col("fixed.id").alias("success_id"), F.col("fixed.at").alias("success_at"))
+    rows = events.withColumn("__failed", failure).withColumn("__passed", success).where("__failed OR __passed")
+    by = [*keys]
+    if related is not None:
+        rows, by = rows.withColumn("__shared", F.explode_outer(F.array_distinct(related))), [*keys, "__shared"]
+    order = Window.partitionBy(*by).orderBy(F.col("occurred_at").desc(), F.col("__failed").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(F.col("__passed"), F.struct(F.col("occurred_at").alias("at"), F.col("id").alias("id"))), ignorenulls=True).over(order)
+    if related is not None:
+        later = F.when(F.col("__shared").isNotNull(), later)
+    rows = rows.withColumn("fixed", later).where("__failed")
+    if related is not None:
+        rows = rows.groupBy(*keys, "id").agg(F.min("fixed").alias("fixed"))
+    return rows.select(*keys, F.col("id").alias("failure_id"), F.col("fixed.id").alias("success_id"), F.col("fixed.at").alias("success_at"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:

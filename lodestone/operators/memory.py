@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,17 +14,29 @@ from ..functions import scoring, temporal, text
 
 
 def lexical(memories: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
-    """Memories with any of the terms, ranked by term counts, then the newest, then the largest id.
+    """Memories that match any of the terms, ranked by token counts, then the newest, then the largest id.
 
-    The rank is over the top ``limit`` rows only: Spark keeps that many of each task before the one that
-    numbers them. Adds lexical_rank and ts_rank. A null content has no terms.
+    A term of several tokens matches where all of them are; the rank adds up the distinct tokens of all terms.
+    Only contents that hold a term's first token as a substring are split, once each. The rank is over the top
+    ``limit`` rows: Spark keeps that many of each task before the one that numbers them. Adds lexical_rank and
+    ts_rank. A null content has no terms.
     """
-    words = text.tokens(F.col("content"))
-    count = lambda t: F.size(F.filter(words, lambda x: x == F.lit(t)))
-    counts = [count(t) for t in terms]
-    rank = sum((scoring.ts_rank(c, len(terms)) for c in counts), F.lit(0.0))
+    parts = [re.findall("[a-z0-9.]+", t.lower()) for t in terms]
+    parts = [p for p in parts if p]
+    if not parts:
+        return memories.limit(0).withColumn("ts_rank", F.lit(0.0)).withColumn("lexical_rank", F.lit(0))
+    distinct = sorted({x for p in parts for x in p})
+    count = lambda words, t: F.size(F.filter(words, lambda x: x == F.lit(t)))
+
+    def rank(words):
+        return text.once(F.array(*(count(words, t) for t in distinct)), lambda n: F.when(
+            reduce(or_, (reduce(and_, (n[distinct.index(x)] > 0 for x in p)) for p in parts)),
+            sum((scoring.ts_rank(n[k], len(distinct)) for k in range(len(distinct))), F.lit(0.0))).otherwise(0.0))
+
+    low = F.lower("content")
+    near = memories.where(reduce(or_, (low.contains(p[0]) for p in parts)))
     order = [F.col("ts_rank").desc(), F.col("observed_at").desc(), F.col("id").desc()]
-    hits = memories.withColumn("ts_rank", F.round(rank, 9)).where("ts_rank > 0").orderBy(*order).limit(limit)
+    hits = near.withColumn("ts_rank", F.round(text.once(text.tokens(F.col("content")), rank), 9)).where("ts_rank > 0").orderBy(*order).limit(limit)
     return hits.withColumn("lexical_rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -104,8 +120,9 @@ def folded(log: DataFrame, fields: list[str], until: str | None = None) -> DataF
 
 def inserted(rows: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that are new by ``keys`` (null equals null), one for each key: what an append may add."""
-    first = Window.partitionBy(*keys).orderBy("occurred_at", "id")
-    once = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    first = F.min(F.struct("occurred_at", "id", F.struct(*(c for c in rows.columns if c not in (*keys, "occurred_at", "id"))).alias("rest"))).alias("first")
+    once = rows.groupBy(*keys).agg(first)  # combined before it is moved, so a hot key is no hot task
+    once = once.select(*(F.col(c) if c in keys else F.col(f"first.{c}" if c in ("occurred_at", "id") else f"first.rest.{c}").alias(c) for c in rows.columns))
     known = present.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return once.join(known, same, "left_anti")

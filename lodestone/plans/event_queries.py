@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..constants import ERROR_CLASSES, FALLBACK_CLASS
 from ..functions import temporal, text
 from ..operators import lifecycle, memory, metrics, packing
 from ..sources import views
@@ -46,26 +47,67 @@ def command_bigrams(spark, d):
     return b.groupBy("first", "second").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")).where("n >= 2")
 
 
-@query("failure_resolution", f"""WITH {EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at, id) AS rn FROM ev), p AS (SELECT user_id, rn, id, occurred_at FROM s WHERE kind = 'purchase')
-  SELECT f.user_id, f.id AS failure_id, p.id AS success_id, p.occurred_at AS success_at FROM s f ASOF LEFT JOIN p ON f.user_id = p.user_id AND f.rn < p.rn WHERE f.kind = 'error'""")
+@query("failure_resolution", f"""WITH {EVENTS}, p AS (SELECT user_id, occurred_at, min(id) AS id FROM ev WHERE kind = 'purchase' GROUP BY user_id, occurred_at)
+  SELECT f.user_id, f.id AS failure_id, p.id AS success_id, p.occurred_at AS success_at FROM ev f ASOF LEFT JOIN p ON f.user_id = p.user_id AND f.occurred_at < p.occurred_at WHERE f.kind = 'error'""")
 def failure_resolution(spark, d):
     return lifecycle.first_success_after(views.events(spark, d), F.col("kind") == "error", F.col("kind") == "purchase", ["user_id"])
 
 
-_MESSAGE = "(['ETIMEDOUT at 10.0.0.' || (event_id % 9) || ' after ' || (event_id % 50) || 'ms','Permission denied: open file ' || (event_id % 20),'TypeError: undefined is not a function ' || (event_id % 30),'exit code ' || (event_id % 4)])[event_id % 4 + 1]"
+@query("related_resolution", f"""WITH {EVENTS}, x AS (SELECT *, unnest(list_distinct([CAST(k AS INT) % 7, id % 5])) AS shared FROM ev WHERE kind IN ('error', 'purchase')),
+  j AS (SELECT f.user_id, f.id AS failure_id, min((p.occurred_at, p.id)) AS s FROM x f LEFT JOIN x p ON f.user_id = p.user_id AND f.shared = p.shared AND p.kind = 'purchase' AND f.occurred_at < p.occurred_at WHERE f.kind = 'error' GROUP BY f.user_id, f.id)
+  SELECT user_id, failure_id, s[2] AS success_id, s[1] AS success_at FROM j""")
+def related_resolution(spark, d):
+    """The first later success that shares something with the failure (a command, a tool, a token)."""
+    shared = F.array(F.col("k").cast("long") % 7, F.col("id") % 5)
+    return lifecycle.first_success_after(views.events(spark, d), F.col("kind") == "error", F.col("kind") == "purchase", ["user_id"], shared)
 
 
-@query("failure_signature", f"""WITH e AS (SELECT event_id AS id, lower({_MESSAGE}) AS m FROM events WHERE event_type = 'error'),
-  n AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(m, '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', '<host>', 'g'), '\\b\\d+(?:\\.\\d+)?\\s?(?:ms|s|min|h)\\b', '<duration>', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', '<n>', 'g') AS message FROM e),
-  c AS (SELECT id, message, CASE WHEN message LIKE '%etimedout%' THEN 'NETWORK_ERROR' WHEN message LIKE '%permission denied%' THEN 'PERMISSION_DENIED' WHEN message LIKE '%typeerror%' THEN 'TYPE_ERROR' ELSE 'COMMAND_FAILURE' END AS class FROM n)
-  SELECT id, message, class, substr(sha256('1' || chr(0) || class || chr(0) || message), 1, 16) AS signature FROM c""")
+#: Failure messages around values of the events, in the forms that the rewrites and error classes are about.
+_FORMS = (
+    ("Error: connect ECONNREFUSED 10.0.", "k", ".7:54", "n", " after ", "value", "ms"), ("EACCES: permission denied, open '/srv/app-", "k", "/data/", "n", ".json'", "", ""),
+    ("\x1b[31mENOENT\x1b[0m: no such file or directory, stat ./src/mod", "k", "/file", "n", ".ts:12:", "k", ""), ("Cannot find module './lib/part-", "n", "' imported from packages/core/src/", "k", ".ts", "", ""),
+    ("src/a", "k", ".ts:4:5 - error TS23", "k", "45: type", "n", " mismatch"), ("SyntaxError: Unexpected token at position ", "n", "", "", "", "", ""), ("TypeError:   undefined is not a function ", "k", "", "", "", "", ""),
+    ("AssertionError: expected ", "value", " to equal ", "k", "", "", ""), ("JavaScript heap out of memory at 0x7ffe", "k", "ab", "", "", "", ""), ("duplicate key value violates unique constraint u_", "k", "", "", "", "", ""),
+    ("deadlock detected by process ", "n", "", "", "", "", ""), ("request timed out after ", "value", " s", "", "", "", ""), ("exit code ", "k", " from job 123e4567-e89b-12d3-a456-4266141740", "two", "", "", ""), ("unknown trouble ", "n", "", "", "", "", ""),
+)
+_ORIGINS = ("build", "test", "tool", "terminal", "runtime", "command", "other")
+_VALUES = {"k": "k", "n": "CAST(n AS VARCHAR)", "value": "v", "two": "lpad(CAST(n % 100 AS VARCHAR), 2, '0')"}
+
+
+def _message_sql() -> str:
+    say = lambda part: _VALUES[part] if part in _VALUES else "'" + part.replace("'", "''").replace("\x1b", "' || chr(27) || '") + "'"
+    return "CASE n % 14 " + " ".join(f"WHEN {i} THEN " + " || ".join(map(say, form)) for i, form in enumerate(_FORMS)) + " END"
+
+
+def _rewritten_sql(text: str) -> str:
+    """The rewrites in a dialect without lookbehind: what stands before a path is kept by a group."""
+    forms = (
+        (r"\x1b\[[0-9;?]*[ -/]*[@-~]", " "), (r"\s+", " "), None,
+        (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"), (r"\b0x[0-9a-f]+\b|\b[0-9a-f]{16,}\b", "<hex>"), (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<host>"),
+        (r"(^|[^\w.-])(?:\.{1,2}/|/)[\w.@~-]+(?:/[\w.@~-]+)*(?:\.[a-z0-9]{1,8})?", r"\1<path>"), (r"(^|[^\w./-])(?:[\w.@~-]+/)+[\w.@-]+(?:\.[a-z0-9]{1,8})?", r"\1<path>"),
+        (r":(\d+):(\d+)\b", ":<line>:<col>"), (r":\d{2,5}\b", ":<port>"), (r"\b\d+(?:\.\d+)?\s?(?:ms|s|min|h)\b", "<duration>"), (r"\b\d+(?:\.\d+)?\b", "<n>"), (r"\s+", " "),
+    )
+    for form in forms:
+        text = f"lower(trim({text}))" if form is None else f"regexp_replace({text}, '{form[0]}', '{form[1]}', 'g')"
+    return f"left(trim({text}), 300)"
+
+
+_CLASSES = " ".join(f"WHEN regexp_matches(message, '{p}') THEN '{c}'" for c, p in ERROR_CLASSES)
+_FALLBACKS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FALLBACK_CLASS.items())
+
+
+@query("failure_signature", f"""WITH e AS (SELECT event_id AS id, event_id AS n, json_extract_string(props, '$.k') AS k, CAST(round(value) AS INT)::VARCHAR AS v, ({list(_ORIGINS)})[event_id % 7 + 1] AS origin FROM events WHERE event_type = 'error'),
+  m AS (SELECT id, origin, {_rewritten_sql(_message_sql())} AS message FROM e),
+  c AS (SELECT id, message, CASE {_CLASSES} ELSE coalesce(CASE origin {_FALLBACKS} END, 'ERROR') END AS class FROM m)
+  SELECT id, message, class, substr(sha256('failure-v1' || chr(0) || class || chr(0) || message), 1, 16) AS signature FROM c""")
 def failure_signature(spark, d):
-    n = lambda k: (F.col("event_id") % k).cast("string")
-    message = F.element_at(F.array(
-        F.concat(F.lit("ETIMEDOUT at 10.0.0."), n(9), F.lit(" after "), n(50), F.lit("ms")), F.concat(F.lit("Permission denied: open file "), n(20)),
-        F.concat(F.lit("TypeError: undefined is not a function "), n(30)), F.concat(F.lit("exit code "), n(4))), (F.col("event_id") % 4 + 1).cast("int"))
-    e = views.read(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"), text.failure_message(message).alias("message"))
-    e = e.withColumn("class", text.failure_class(F.col("message"), F.lit("terminal")))
+    say = lambda part: F.expr(_VALUES[part].replace("VARCHAR", "STRING")) if part in _VALUES else F.lit(part)
+    e = views.read(spark, d, "events").where("event_type = 'error'").select(
+        F.col("event_id").alias("id"), F.col("event_id").alias("n"), F.get_json_object("props", "$.k").alias("k"), F.round("value").cast("int").cast("string").alias("v"),
+        F.element_at(F.array(*map(F.lit, _ORIGINS)), (F.col("event_id") % 7 + 1).cast("int")).alias("origin"))
+    message = F.element_at(F.array(*(F.concat(*map(say, form)) for form in _FORMS)), (F.col("n") % 14 + 1).cast("int"))
+    e = e.select("id", "origin", text.failure_message(message).alias("message"))
+    e = e.withColumn("class", text.failure_class(F.col("message"), F.col("origin"))).drop("origin")
     return e.withColumn("signature", text.failure_signature(F.col("class"), F.col("message")))
 
 

@@ -103,7 +103,7 @@ def supersession_history(spark, d):
     docs = views.read(spark, d, "documents").select(F.col("doc_id").alias("id"))
     n = docs.agg(F.count("*").alias("n"))
     chain = docs.crossJoin(F.broadcast(n)).select("id", F.when((F.col("id") % 5 < 4) & (F.col("id") + 1 < F.col("n")), F.col("id") + 1).alias("superseded_by"))
-    return memory.history(chain, 16)
+    return memory.history(chain)
 
 
 VECTORS = """near AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings),
@@ -139,12 +139,12 @@ def entity_round_robin(spark, d):
     return graph.interleaved(views.memory_entities(spark, d), views.memories(spark, d).select("id", "observed_at"), [3, 24, 10])
 
 
-@query("graph_expand_2hop", f"""WITH {EDGES}, e AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h1 AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (1, 2)),
+@query("graph_expand_2hop", f"""WITH {EDGES}, v AS (SELECT * FROM edges WHERE valid_from <= TIMESTAMP '2001-01-01'), e AS (SELECT src, dst FROM v UNION SELECT dst, src FROM v), h1 AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (1, 2)),
   h2 AS (SELECT DISTINCT dst AS id FROM e JOIN h1 ON src = h1.id), a AS (SELECT id, 0 AS hop FROM (VALUES (1), (2)) t(id) UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)
   SELECT CAST(id AS BIGINT) AS id, min(hop) AS hop, round(pow(0.8::DOUBLE, min(hop)), 6) AS boost FROM a GROUP BY id""")
 def graph_expand_2hop(spark, d):
     seeds = views.read(spark, d, "documents").where("doc_id IN (1, 2)").select(F.col("doc_id").alias("id"))
-    return graph.expanded(views.edges(spark, d), seeds).withColumn("boost", F.round("boost", 6))
+    return graph.expanded(views.edges(spark, d), seeds, at=temporal.at("2001-01-01 00:00:00")).withColumn("boost", F.round("boost", 6))
 
 
 @query("graph_neighbours", f"""WITH {MEM}, {EDGES} SELECT n.id, relation, direction, type, importance FROM (SELECT dst AS id, relation, 'out' AS direction FROM edges WHERE src = 7
@@ -153,14 +153,14 @@ def graph_neighbours(spark, d):
     return graph.neighbours(views.edges(spark, d), views.memories(spark, d), 7).select("id", "relation", "direction", "type", "importance")
 
 
-PAIRS = """t AS (SELECT *, coalesce(project_id, '') AS p, coalesce(user_id, '') AS u, trim(regexp_replace(regexp_replace(lower(content), '\\d+(?:\\.\\d+)*', '<#>', 'g'), '\\s+', ' ', 'g')) AS template,
-  regexp_extract_all(content, '\\d+(?:\\.\\d+)*') AS nums FROM claims), pairs AS (SELECT a.id AS id_a, b.id AS id_b, a.template FROM t a JOIN t b ON a.p = b.p AND a.u = b.u AND a.template = b.template
+PAIRS = """t AS (SELECT *, trim(regexp_replace(regexp_replace(lower(content), '\\d+(?:\\.\\d+)*', '<#>', 'g'), '\\s+', ' ', 'g')) AS template,
+  regexp_extract_all(content, '\\d+(?:\\.\\d+)*') AS nums FROM claims), pairs AS (SELECT a.id AS id_a, b.id AS id_b, a.template FROM t a JOIN t b ON a.project_id IS NOT DISTINCT FROM b.project_id AND a.user_id IS NOT DISTINCT FROM b.user_id AND a.template = b.template
   AND a.id < b.id AND a.nums <> b.nums WHERE len(a.nums) > 0 AND (b.valid_until IS NULL OR a.valid_from < b.valid_until) AND (a.valid_until IS NULL OR b.valid_from < a.valid_until))"""
 
 
 @query("contradiction_pairs", f"WITH {STATEMENTS}, {PAIRS} SELECT * FROM pairs")
 def contradiction_pairs(spark, d):
-    return lifecycle.contradictions(views.statements(spark, d))
+    return lifecycle.contradictions(views.statements(spark, d)).drop("scope")
 
 
 @query("contradiction_resolution")

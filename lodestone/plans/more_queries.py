@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scopes, temporal
+from ..functions import extraction, scopes, temporal
 from ..operators import redaction, skills
 from ..sources import views
 from .registry import query
-from .views_sql import BOUND, EVENTS, MEM
+from .views_sql import BOUND, EVENTS, MEM, NOW
 
 
 @query("redaction_scan")
@@ -168,30 +168,113 @@ def metric_gates(spark, d):
     return metrics.gated(m.unpivot([], ["precision", "recall", "leaked"], "metric", "value"), {"precision": ("min", 0.1), "recall": ("min", 0.9), "leaked": ("max", 0.2)}).withColumn("value", F.round("value", 6))
 
 
-_COMMANDS = "(['bun test --watch src','git status','cd /tmp','npm run build && ls','python -m pytest','docker compose up -d','FOO=1 make x','\"quoted\" arg'])[event_id % 8 + 1]"
+_HEADS = ("bun test --watch ", "git status ", "cd /tmp ", "npm run build && ", "python -m ", "docker compose up ", "FOO=1 make ", '"quoted" ', "", "git  log ")
+_SAID = ("I prefer tabs in code. ", "We always forget this. ", "never commit secrets! ", "upgraded to Node 22 today. ", "We decided to use Postgres and Docker because of next.js. ", "The api is now on v1.2.3; ",
+         "Maybe the cache is stale. ", "What if k8s fails? ", "TODO: write the Kafka and sqlite-vec docs ", "")
 
 
-@query("normalized_commands", f"""WITH c AS (SELECT event_id AS id, {_COMMANDS} AS t FROM events), w AS (SELECT id, string_split_regex(trim(t), '\\s+')[1:3] AS w FROM c),
-  s AS (SELECT id, w, list_position(list_transform(w, lambda x: regexp_matches(x, '^(-|/|\\./|~|"|'')|[=<>|&;]')), true) AS p FROM w),
-  n AS (SELECT id, array_to_string(CASE WHEN p > 0 THEN w[1:p - 1] ELSE w END, ' ') AS command FROM s)
-  SELECT command, command IN ('', 'cd', 'git status') AS denied, count(*) AS n FROM n GROUP BY command""")
+def _lines(spark, d, heads):
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("conv_id") % len(heads) + 1).cast("int"))
+    return views.read(spark, d, "conversations").select("conv_id", "turn", F.concat(head, F.col("text")).alias("text"))
+
+
+def _lines_sql(heads) -> str:
+    return "SELECT conv_id, turn, ([" + ", ".join("'" + h.replace("'", "''") + "'" for h in heads) + f"])[conv_id % {len(heads)} + 1] || text AS text FROM conversations"
+
+
+_DENIED = ", ".join(f"('{x}')" for x in extraction.DENIED_COMMANDS)
+
+
+@query("normalized_commands", f"""WITH c AS ({_lines_sql(_HEADS)}), w AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')[1:3] AS w FROM c),
+  s AS (SELECT *, list_position(list_transform(w, lambda x: regexp_matches(x, '^(-|/|\\./|~|"|'')|[=<>|&;]')), true) AS p FROM w),
+  n AS (SELECT conv_id, turn, array_to_string(CASE WHEN p > 0 THEN w[1:p - 1] ELSE w END, ' ') AS command FROM s)
+  SELECT conv_id, turn, command, command = '' OR EXISTS (SELECT 1 FROM (VALUES {_DENIED}) d(x) WHERE lower(trim(command)) = x OR starts_with(lower(trim(command)), x || ' ')) AS denied FROM n""")
 def normalized_commands(spark, d):
-    from ..functions import extraction
+    c = _lines(spark, d, _HEADS).select("conv_id", "turn", extraction.command(F.col("text")).alias("command"))
+    return c.withColumn("denied", extraction.is_denied(F.col("command")))
 
-    forms = ("bun test --watch src", "git status", "cd /tmp", "npm run build && ls", "python -m pytest", "docker compose up -d", "FOO=1 make x", '"quoted" arg')
-    text = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 8 + 1).cast("int"))
-    c = views.read(spark, d, "events").select(extraction.command(text).alias("command"))
-    return c.groupBy("command").agg(F.count("*").alias("n")).withColumn("denied", extraction.is_denied(F.col("command")))
 
+def _any_sql(patterns) -> str:
+    return "(" + " OR ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')" for p in patterns) + ")"
 
-@query("stated_preferences", """WITH c AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'I prefer tabs in code. ' WHEN 1 THEN 'We always forget this. ' WHEN 2 THEN 'never commit secrets! ' WHEN 3 THEN 'upgraded to Node 22 today. ' ELSE '' END AS t FROM conversations)
-  SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'tabs in code' WHEN 2 THEN 'secrets' END AS preference, CASE conv_id % 5 WHEN 3 THEN 'Node 22' END AS version FROM c""")
-def stated_preferences(spark, d):
-    from ..functions import extraction
 
-    added = F.element_at(F.array(*map(F.lit, ("I prefer tabs in code. ", "We always forget this. ", "never commit secrets! ", "upgraded to Node 22 today. ", ""))), (F.col("conv_id") % 5 + 1).cast("int"))
-    return views.read(spark, d, "conversations").select(
-        "conv_id", "turn", extraction.statement(added, extraction.PREFERENCES, extraction.PREFERENCE_NOISE).alias("preference"), extraction.statement(added, extraction.VERSIONS).alias("version"))
+def _first_sql(patterns) -> str:
+    each = ("'(?i)" + p.replace("'", "''") + "'" for p in patterns)
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, {p}) THEN trim(regexp_extract(text, {p}, 1))" for p in each) + " END"
+
+
+_VERSION = "'(?i)" + extraction.VERSIONS[2] + "'"
+_MENTIONS = ", ".join(f"('{x}', '{name}')" for name, aliases in extraction.TECHNOLOGIES.items() for x in (name.lower(), *aliases))
+
+
+@query("stated_preferences", f"""WITH c AS ({_lines_sql(_SAID)}) SELECT conv_id, turn, CASE WHEN NOT {_any_sql(extraction.PREFERENCE_NOISE)} THEN {_first_sql(extraction.PREFERENCES)} END AS preference,
+  CASE WHEN NOT {_any_sql(extraction.VERSION_NOISE)} THEN coalesce({_first_sql(extraction.VERSIONS[:2])}, CASE WHEN regexp_matches(text, {_VERSION}) THEN regexp_extract(text, {_VERSION}, 1) || ' ' || regexp_extract(text, {_VERSION}, 2) END) END AS version,
+  CASE WHEN NOT {_any_sql(extraction.DECISION_NOISE)} THEN {_first_sql(extraction.DECISIONS)} END AS decision, {_first_sql(extraction.TASKS)} AS task,
+  {_any_sql(extraction.HYPOTHESES)} AS hypothesis, {_any_sql(extraction.QUESTIONS)} AS question FROM c""")
+def stated_preferences(spark, d):
+    t = F.col("text")
+    return _lines(spark, d, _SAID).select(
+        "conv_id", "turn", extraction.statement(t, extraction.PREFERENCES, extraction.PREFERENCE_NOISE).alias("preference"), extraction.version(t).alias("version"),
+        extraction.statement(t, extraction.DECISIONS, extraction.DECISION_NOISE).alias("decision"), extraction.statement(t, extraction.TASKS).alias("task"),
+        extraction.matched(t, extraction.HYPOTHESES).alias("hypothesis"), extraction.matched(t, extraction.QUESTIONS).alias("question"))
+
+
+@query("technology_mentions", f"""WITH c AS ({_lines_sql(_SAID)}), a AS (SELECT * FROM (VALUES {_MENTIONS}) a(alias, name)),
+  f AS (SELECT conv_id, turn, name, min(length(regexp_extract(lower(text), '(?s)^((?:.*?[^a-z0-9])?)' || regexp_escape(alias) || '(?:[^a-z0-9]|$)', 1))) AS p FROM c, a WHERE contains(lower(text), alias)
+    AND regexp_matches(lower(text), '(?:^|[^a-z0-9])' || regexp_escape(alias) || '(?:[^a-z0-9]|$)') GROUP BY ALL)
+  SELECT conv_id, turn, string_agg(name, ',' ORDER BY p) AS technologies FROM f GROUP BY ALL""")
+def technology_mentions(spark, d):
+    rows = _lines(spark, d, _SAID).select("conv_id", "turn", F.array_join(extraction.technologies(F.col("text")), ",").alias("technologies"))
+    return rows.where("technologies <> ''")
+
+
+_ASKED = ("what changed last year? ", "errors in the last 3 weeks ", "who deployed 2 months ago ", "what did we decide in 2023 ", "during 2023-12 ", "in 2024-02-10 ", "before 2024-03 ", "until 2023 but after 2022-05-04 ", "since 2024 ", "what runs now ", "")
+_DATED = r"(20\d{2})(?:-(\d{2}))?(?:-(\d{2}))?"
+
+
+def _scope_sql() -> str:
+    g = lambda p, k: f"nullif(regexp_extract(q, '{p}', {k}), '')"
+    start = lambda p: f"(make_timestamp(CAST({g(p, 1)} AS INT), coalesce(CAST({g(p, 2)} AS INT), 1), coalesce(CAST({g(p, 3)} AS INT), 1), 0, 0, 0))"
+    month = lambda p: f"(make_timestamp(CAST({g(p, 1)} AS INT), coalesce(CAST({g(p, 2)} AS INT), 1), 1, 0, 0, 0))"
+    end = lambda p: f"(CASE WHEN {g(p, 3)} IS NOT NULL THEN {start(p)} WHEN {g(p, 2)} IS NOT NULL THEN {month(p)} + INTERVAL 1 MONTH ELSE {month(p)} + INTERVAL 1 YEAR END)"
+    last, ago = (r"\b(?:last|past)\s+(\d+)\s+(day|week|month|year)s?\b", r"\b(\d+)\s+(day|week|month|year)s?\s+ago\b")
+    within, before, since = (rf"\b(?:{w})\s+{_DATED}\b" for w in ("in|during", "before|until", "after|since"))
+    has = lambda p: f"regexp_matches(q, '{p}')"
+    back = lambda p: f"{NOW} - to_days(CAST(CAST({g(p, 1)} AS INT) * CASE {g(p, 2)} WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 ELSE 365 END AS INT))"
+    any_range = " OR ".join(map(has, (r"\blast year\b", last, ago, within, before, since)))
+    return f"""WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM ({_lines_sql(_ASKED)})) SELECT conv_id, turn, CASE WHEN {any_range} THEN 'historical' WHEN {has(r"\b(?:now|today|currently|current)\b")} THEN 'current' END AS mode,
+      CASE WHEN {has(r"\blast year\b")} THEN TIMESTAMP '2023-01-01' WHEN {has(last)} THEN {back(last)} WHEN {has(ago)} THEN {back(ago)} WHEN {has(within)} THEN {month(within)} WHEN {has(since)} THEN {start(since)} END AS since,
+      CASE WHEN {has(r"\blast year\b")} THEN TIMESTAMP '2024-01-01' WHEN {has(last)} OR {has(ago)} THEN {NOW} WHEN {has(within)} THEN {end(within)} WHEN {has(before)} THEN {end(before)} END AS until FROM c"""
+
+
+@query("time_scopes", _scope_sql())
+def time_scopes(spark, d):
+    scope = scopes.time_scopes(F.col("text"), temporal.at(views.NOW))
+    return _lines(spark, d, _ASKED).select("conv_id", "turn", scope.alias("s")).select("conv_id", "turn", "s.mode", F.col("s.from").alias("since"), "s.until")
+
+
+_LEAKS = (
+    ("AKIA", "id"), ("ghp_", "id40"), ("password=", "id"), ("author: Jane authority=high ", ""), ("Authorization: Bearer ", "id"), ("API_KEY=", "id"), ("client_secret: ", "id"), ("my_password = ", "id"), ("", ""),
+)
+
+
+@query("redaction_counts", r"""WITH h AS (SELECT doc_id, text, upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 16)) AS id, md5(CAST(doc_id AS VARCHAR)) || '00000000' AS id40 FROM documents),
+  t AS (SELECT doc_id, text || ' ' || CASE doc_id % 9 WHEN 0 THEN 'AKIA' || id WHEN 1 THEN 'ghp_' || id40 WHEN 2 THEN 'password=' || id WHEN 3 THEN 'author: Jane authority=high ' WHEN 4 THEN 'Authorization: Bearer ' || id
+    WHEN 5 THEN 'API_KEY=' || id WHEN 6 THEN 'client_secret: ' || id WHEN 7 THEN 'my_password = ' || id ELSE '' END AS t FROM h),
+  a AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '(?:^|[^A-Za-z0-9_-])([A-Za-z][A-Za-z0-9_-]{0,60})\s*[=:]\s*(?:"[^"\n]{0,400}"|[^\s"''\n`;&]{1,400})', 1), lambda x: lower(x)) AS names FROM t),
+  k AS (SELECT doc_id, len(regexp_extract_all(t, '(?:^|[^A-Z0-9])AKIA[0-9A-Z]{16}(?:[^A-Z0-9]|$)')) + len(list_filter(names, lambda x: contains(x, 'key'))) AS api_keys,
+    len(regexp_extract_all(t, '(?:^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}(?:[^A-Za-z0-9]|$)')) + len(regexp_extract_all(t, '(?:[Bb]earer|[Tt]oken)\s+[A-Za-z0-9._~+/=-]{16,}')) + len(list_filter(names, lambda x: contains(x, 'token') AND NOT contains(x, 'key'))) AS tokens,
+    len(list_filter(names, lambda x: regexp_matches(x, 'secret|password|passwd|pwd|credential|passphrase') AND NOT regexp_matches(x, 'key|token'))) AS passwords FROM a)
+  SELECT doc_id, api_keys, tokens, passwords FROM k WHERE api_keys + tokens + passwords > 0""")
+def redaction_counts(spark, d):
+    """Documents with secrets, some of them added, and how many there are of each kind."""
+    docs = views.read(spark, d, "documents")
+    md5 = F.md5(F.col("doc_id").cast("string"))
+    values = {"id": F.upper(F.substring(md5, 1, 16)), "id40": F.concat(md5, F.lit("00000000")), "": F.lit("")}
+    added = F.element_at(F.array(*(F.concat(F.lit(head), values[tail]) for head, tail in _LEAKS)), (F.col("doc_id") % 9 + 1).cast("int"))
+    found = docs.select("doc_id", redaction.redacted(F.concat_ws(" ", "text", added))["records"].alias("r")).where(F.size("r") > 0)
+    count = lambda kind: F.size(F.filter("r", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", count("api-key").alias("api_keys"), count("token").alias("tokens"), count("password").alias("passwords"))
 
 
 @query("skill_freshness", f"""WITH {EVENTS}, s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 1 THEN 'none' ELSE CAST(n_nationkey AS VARCHAR) END AS signature FROM nation),

@@ -10,24 +10,33 @@ from ..operators.memory import inserted
 KEYS = ["project_id", "kind", "content_hash"]
 
 
+BUCKETS = 256  #: of the log, by content hash: a batch reads only those that its own hashes fall into
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("content_hash"), F.lit(BUCKETS)).cast("int"))
+
+
 def appended(stream: DataFrame, log_path: str, checkpoint: str):
     """Write a stream of events to a log, each (project, kind, hash) once however late a copy comes.
 
     Each micro-batch is compared with the log itself, so the horizon has no end and state doesn't grow; a
-    batch that is retried adds nothing, since its rows are in the log then.
+    batch that is retried adds nothing, since its rows are in the log then. The log is partitioned by a bucket of
+    the hash, and only a batch's buckets are read. Of a batch's events the earliest of each key is kept,
+    whatever the order of arrival.
     """
-    schema = stream.schema
+    columns = stream.columns
+    empty = _bucketed(stream.sparkSession.createDataFrame([], stream.schema))
+    empty.write.partitionBy("bucket").mode("append").parquet(log_path)  # so that there is a log to read
+    schema = empty.schema
 
     def add(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
-        try:
-            log = spark.read.schema(schema).parquet(log_path)
-            new = inserted(batch, log, KEYS)
-        except Exception as e:  # no log yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new = inserted(batch, batch.limit(0), KEYS)
-        new.write.mode("append").parquet(log_path)
+        batch = _bucketed(batch)
+        hit = [r.bucket for r in batch.select("bucket").distinct().collect()]
+        log = spark.read.schema(schema).parquet(log_path).where(F.col("bucket").isin(hit))
+        new = inserted(batch, log, KEYS)
+        new.select(*columns, "bucket").repartition("bucket").write.partitionBy("bucket").mode("append").parquet(log_path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
