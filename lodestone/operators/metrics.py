@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,34 @@ def gated(values: DataFrame, bounds: dict[str, tuple[str, float]]) -> DataFrame:
     rows = values.withColumn("gate", F.try_element_at(table, "metric")).where("gate IS NOT NULL")
     kept = F.when(F.col("gate.side") == "min", F.col("value") >= F.col("gate.bound")).otherwise(F.col("value") <= F.col("gate.bound"))
     return rows.select("metric", "value", kept.alias("passed"))
+
+
+def token_efficiency(queries: DataFrame, by: str) -> DataFrame:
+    """Of each kind of query: budget compliance, and how many times the fewest tokens that would do (oracle) were
+    used, on average, at most, and on average where all that was expected came back."""
+    gap = F.col("used") / F.col("oracle")
+    return queries.groupBy(by).agg(
+        F.count("*").alias("queries"), F.round(F.avg((F.col("used") <= F.col("budget")).cast("double")), 4).alias("compliance"), F.round(F.avg(gap), 4).alias("gap"),
+        F.round(F.max(gap), 4).alias("most"), F.round(F.coalesce(F.avg(F.when(F.col("satisfied"), gap)), F.lit(0.0)), 4).alias("gap_when_satisfied"))
+
+
+def stale_cited(memories: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Archived memories that were cited in the last days."""
+    age = F.timestamp_diff("SECOND", F.col("last_accessed_at"), now) / 86400.0
+    return memories.where((F.col("status") == "archived") & (age >= 0) & (age <= days))
+
+
+def unresolved(sides: DataFrame, memories: DataFrame) -> DataFrame:
+    """Sides of declared contradictions (id, expected) that are neither superseded nor disputed."""
+    return sides.join(memories.select("id", "status"), "id").where(~F.col("status").isin("superseded", "disputed")).dropDuplicates(["id"])
+
+
+# The bounds that a run of the benchmark must keep.
+GATES = {
+    "temporal_accuracy": ("min", 1.0), "token_budget_compliance": ("min", 1.0), "cross_project_top1_rate": ("max", 0.0), "retrieval_precision_at_k": ("min", 0.7),
+    "retrieval_recall_at_k": ("min", 0.9), "irrelevant_leakage_rate": ("max", 0.2), "contradiction_accuracy": ("min", 0.8), "consolidation_quality": ("min", 0.3),
+    "retrieval_precision_procedural": ("min", 0.6), "retrieval_precision_decision": ("min", 0.9), "retrieval_precision_failure": ("min", 0.4), "retrieval_recall_procedural": ("min", 0.9),
+    "retrieval_recall_decision": ("min", 0.9), "retrieval_recall_failure": ("min", 0.9), "token_budget_compliance_procedural": ("min", 1.0), "token_budget_compliance_decision": ("min", 1.0),
+    "token_budget_compliance_failure": ("min", 1.0), "token_oracle_gap_mean": ("max", 2.5), "stale_cited_memories": ("max", 1), "duplicate_surfaced_pairs": ("max", 1),
+    "unresolved_contradicted_memories": ("max", 1),
+}

@@ -88,3 +88,85 @@ def hydrated(refs: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame
     names = symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("s"))
     rows = refs.join(files.select("path", F.col("blob").alias("current"), "commit"), "path", "left").join(names, "path", "left")
     return rows.select("id", "path", F.when(F.col("current") == F.col("blob"), F.col("commit")).alias("commit"), F.coalesce(F.transform("s", lambda x: x["name"]), F.array().cast("array<string>")).alias("symbols"))
+
+
+# First words of shell commands, sections of a skill document.
+COMMANDS = (
+    "apt", "aws", "brew", "bun", "bunx", "cargo", "curl", "docker", "gcloud", "git", "go", "helm",
+    "jq", "kubectl", "make", "node", "npm", "npx", "onemem", "pg_dump", "pnpm", "psql", "pip",
+    "python", "ssh", "tar", "terraform", "tsc", "uv", "yarn",
+)
+SECTIONS = ("When to use", "Prerequisites", "Procedure", "Commands", "Validation", "Known failure modes")
+
+
+def steps(text):
+    """A text's lines and sentences, each once in order (case aside)."""
+    parts = F.filter(F.transform(F.split(text, r"\n+|(?<=[.!?])\s+(?=[A-Z0-9`])"), lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(parts, lambda x: F.lower(x))
+    return F.filter(parts, lambda x, k: F.array_position(low, F.lower(x)) == k + 1)
+
+
+def shell_commands(text, most: int = 6):
+    """Commands in prose: lines that begin with a known program, up to their sentence's end, then quoted spans."""
+    lines = F.transform(F.split(text, r"\n+"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^\$\s+", ""), "^`+|`+$", "")))
+    known = F.filter(lines, lambda x: F.regexp_extract(x, r"^([a-z][\w.-]*)", 1).isin(*COMMANDS))
+    found = F.concat(F.transform(known, lambda x: F.trim(F.regexp_extract(x, "^([^.;!?]*)", 1))), F.transform(F.regexp_extract_all(text, F.lit("`([^`\n]+)`"), 1), lambda x: F.trim(x)))
+    found = F.filter(found, lambda x: x != "")
+    low = F.transform(found, lambda x: F.lower(x))
+    return F.slice(F.filter(found, lambda x, k: F.array_position(low, F.lower(x)) == k + 1), 1, most)
+
+
+def rendered(docs: DataFrame) -> DataFrame:
+    """Skill documents (name, description, version, and an array of lines for each section) as Markdown."""
+    line = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    clean = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), line), lambda x: x != "")
+    none = F.lit("None recorded.")
+    bullets = lambda c: F.when(F.size(clean(c)) > 0, F.array_join(F.transform(clean(c), lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(none)
+    numbered = lambda c: F.when(F.size(clean(c)) > 0, F.array_join(F.transform(clean(c), lambda x, k: F.concat((k + 1).cast("string"), F.lit(". "), x)), "\n")).otherwise(none)
+    block = lambda c: F.when(F.size(clean(c)) > 0, F.concat(F.lit("```bash\n"), F.array_join(clean(c), "\n"), F.lit("\n```"))).otherwise(none)
+    form = {"Procedure": numbered, "Commands": block}
+    parts = [F.concat(F.lit(f"## {s}\n"), form.get(s, bullets)(s.lower().replace(" ", "_"))) for s in SECTIONS]
+    head = F.concat(F.lit("---\nname: "), line(F.col("name")), F.lit("\ndescription: "), line(F.col("description")), F.lit("\nversion: "), line(F.col("version")), F.lit("\n---"))
+    return docs.select("name", F.concat_ws("\n\n", head, *parts, ).alias("body")).select("name", F.concat("body", F.lit("\n")).alias("markdown"))
+
+
+def generated(groups: DataFrame, skills: DataFrame) -> DataFrame:
+    """What becomes of qualified groups (scope, signature, problem, failure_ids): 'unchanged' or 'refreshed' where a
+    skill (id, scope, name, failure_ids) shares a failure, else 'created' under a name of its own.
+
+    A name that another skill of the scope has is told apart by the signature's first eight characters.
+    """
+    from ..functions.extraction import slug
+
+    old = skills.select(F.col("scope").alias("s"), F.col("id").alias("skill_id"), F.col("failure_ids").alias("had"), F.explode("failure_ids").alias("f"))
+    new = groups.select("scope", "signature", F.explode("failure_ids").alias("f"))
+    hit = new.join(old, (F.col("scope") == F.col("s")) & (new["f"] == old["f"])).groupBy("scope", "signature").agg(F.min_by("skill_id", "skill_id").alias("skill_id"), F.min_by("had", "skill_id").alias("had"))
+    rows = groups.withColumn("base", slug(F.col("problem"))).join(hit, ["scope", "signature"], "left")
+    taken = skills.select("scope", F.col("name").alias("base"), F.lit(True).alias("taken")).distinct()
+    rows = rows.join(taken, ["scope", "base"], "left")
+    first = F.row_number().over(Window.partitionBy("scope", "base").orderBy("signature")) == 1
+    name = F.when(F.col("taken").isNull() & first, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.regexp_replace(F.substring("signature", 1, 8), "[^a-z0-9]+$", "")))
+    outcome = F.when(F.col("skill_id").isNull(), "created").when(F.size(F.array_except("failure_ids", "had")) == 0, "unchanged").otherwise("refreshed")
+    return rows.select("scope", "signature", "skill_id", outcome.alias("outcome"), F.when(outcome == "created", name).alias("name"))
+
+
+def serving_pack(rows: DataFrame, budget: int) -> DataFrame:
+    """Served skills (project_id, position, name, description) as summaries while they fit, then as names alone."""
+    import pandas as pd
+
+    from .packing import estimate
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        used, out = 0, []
+        for r in g.sort_values("position").itertuples():
+            for kind, text in (("summary", r.description), ("title-only", r.name)):
+                cost = estimate(f"{r.name}{text}" if kind == "summary" else text)
+                if used + cost <= budget:
+                    out.append((r.project_id, r.position, kind, cost))
+                    used += cost
+                    break
+            else:
+                out.append((r.project_id, r.position, "dropped", 0))
+        return pd.DataFrame(out, columns=["project_id", "position", "kind", "tokens"])
+
+    return rows.groupBy("project_id").applyInPandas(fold, "project_id string, position int, kind string, tokens long")
