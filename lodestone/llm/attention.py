@@ -20,13 +20,12 @@ import zlib
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Words, gathered, slices, words_of
+from .hashing import Words, gathered, numbered, slices, words_of
 from .packing import LAST, bucket_count, deltas, ids_of, planes, ranges, text_bytes, undeltas, unplanes
 from .tables import bucketed, written
 
@@ -78,7 +77,7 @@ class Subwords:
     def distinct(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words' hashes in order, which of them each word is, their ids end to end and how many each
         has. No piece crosses white space, so a word has the same ids in every text."""
-        of, hashes = pd.factorize(w.hash)
+        of, hashes = numbered(w.hash)
         order = np.argsort(hashes)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))

@@ -7,7 +7,6 @@ a polynomial in its bytes, modulo 2**64, got from prefix sums and finished by a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 U = np.uint64
@@ -79,6 +78,12 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return out
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the distinct values each one is, and those in order of first occurrence."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_numpy()
+
+
 class Tiles:
     """Ranges that cover texts end to end, from each byte that ``begins`` one and from each text's start on.
 
@@ -91,7 +96,7 @@ class Tiles:
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data)) if len(start) else start
         self.first = np.searchsorted(start, offsets)
-        self.of, distinct = pd.factorize(range_hashes(data, start, end))
+        self.of, distinct = numbered(range_hashes(data, start, end))
         at = np.empty(len(distinct), np.int64)
         at[self.of[::-1]] = np.arange(len(start))[::-1]
         raw = data.tobytes()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import U, mix
+from .hashing import U, mix, slices
 from .packing import LAST
 from .tables import written
 
@@ -114,7 +114,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
     def hashed(batches):
         for got in batches:
-            yield pa.RecordBatch.from_arrays([got["doc"], *(pa.array(x, pa.binary()) for x in _hash(got["text"], min_chars))], schema=_LINES)
+            for part in slices(got, "text"):
+                yield pa.RecordBatch.from_arrays([part["doc"], *(pa.array(x, pa.binary()) for x in _hash(part["text"], min_chars))], schema=_LINES)
 
     lined = written(docs.select(key.alias("doc"), "text").mapInArrow(hashed, "doc long, lines binary, long binary"), "lines")
     shared = _shared(lined)
@@ -123,7 +124,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
                 .agg(F.sort_array(F.collect_list(F.struct("df", "owner", "theirs"))).alias("partners")))
 
     def removed(batches):
-        for got in batches:
+        for got in (part for batch in batches for part in slices(batch, "text")):
             texts, counts, gones = [], [], []
             for text, partners in zip(got["text"].to_pylist(), got["partners"].to_pylist(), strict=True):
                 parts = split_lines(text or "")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .hashing import Tiles, U, gathered, room, slices, utf8
 
 SPACE = "▁"
-_CACHE_ENTRIES = 500_000
+_CACHE_ENTRIES = 400_000
 _WIDEST = 64  #: longer words are searched one by one
 _ROWS = 8192
 _FACTOR, _SPREAD, _SLOT_BITS = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), 20
@@ -304,7 +304,7 @@ class Lattice:
         for k in few:
             word = tiles.words[tiles.of[k]]
             if (word, n) not in self.ranked:
-                if len(self.ranked) > 100_000:
+                if len(self.ranked) > 20_000:
                     self.ranked.clear()
                 self.ranked[word, n] = self.segment(word.decode().replace(" ", SPACE), n)
             choices[k] = self.ranked[word, n]
@@ -358,7 +358,7 @@ def encoded(docs: DataFrame, model: str, n: int = 3, with_ids: bool = True) -> D
     def run(batches):
         lattice = Lattice.load(model)
         for got in batches:
-            for part in slices(got, "text", 2 << 20):
+            for part in slices(got, "text", 1 << 20):
                 rows, texts = [], [x or "" for x in part["text"].to_pylist()]
                 ids, edge, scores, others = lattice.batch(texts, n)
                 ids = ids.astype("<u4")
