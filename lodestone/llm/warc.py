@@ -15,6 +15,8 @@ from .tables import new_path
 #: Fixed by the WARC/1.1 format: how a revisit of an identical payload names its profile.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NO_ID = -(1 << 63)  #: stands for a null page_id
+#: What stands before the payload in a response's block; pages have no head of their own.
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -44,11 +46,11 @@ def _header(date: str) -> Column:
     revisit = F.col("kind") == "revisit"
     return F.concat(
         F.lit("WARC/1.1\r\n").cast("string"), line("WARC-Type", F.col("kind")), line("WARC-Record-ID", record_id(F.col("page_id"))),
-        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", record_id(F.col("keeper"))), line("WARC-Profile", F.lit(_PROFILE)))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes")).cast("string")), F.lit("\r\n"))
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes") + len(_HTTP)).cast("string")), F.lit("\r\n"))
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -56,7 +58,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
 
     Of records with equal payloads of ``min_bytes`` or more, that with the largest page_id is the response
     and the others revisit it; smaller payloads are all responses. Payloads are stored once either way. A
-    null html is an empty payload, a null url an empty target, and a null page_id sorts first. Rows equal in
+    null html is an empty payload, a null url an empty target (line breaks in one become %0D and %0A), and a null page_id sorts first. Rows equal in
     page_id and payload are equal records. ``date`` is every record's date, as pages have none. An empty
     table makes an empty archive. Other columns are left out.
     """
@@ -94,7 +96,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record again: page_id, record_type, payload_digest, refers_to, header, payload and record (the
     WARC record's bytes). A payload that its digest doesn't match stops the read."""
     both = _records(spark, path).join(_payloads(spark, path), "sha256", "left")
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    block = F.when(F.col("record_type") == "response", F.concat(F.lit(_HTTP.encode()), F.col("payload"))).otherwise(F.lit(b""))
     return both.select("page_id", "record_type", "payload_digest", "refers_to", "header", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
 
 

@@ -143,7 +143,11 @@ def test_archive_gives_every_record_again(spark):
         assert bytes(got[k].payload) == raw and index[k].payload_bytes == len(raw)
         assert index[k].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         assert (index[k].record_type, index[k].refers_to) == (("response", None) if k == keeper else ("revisit", keeper))
-        assert bytes(got[k].record).endswith((raw if k == keeper else b"") + b"\r\n\r\n")
+        record = bytes(got[k].record)
+        head, block = record.split(b"\r\n\r\n", 1)
+        length = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert block[length:] == b"\r\n\r\n" and (block[:length].split(b"\r\n\r\n", 1)[-1] == raw if k == keeper else not length)
+    assert b"WARC-Target-URI: w%0D%0Ax\r\n" in bytes(got[3].header)
     assert spark.read.parquet(f"{path}/payloads").count() == len(best)
     assert {r.record_type for r in warc.archived(table, min_bytes=1000).collect()} == {"response"}
     assert warc.archived(table.limit(0)).count() == 0
@@ -214,6 +218,46 @@ def test_line_dedup_deletes_common_blocks_from_the_later(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_patience_takes_longest_chains(seed):
+    """Pairs are of equal lines in order; lines found once in both align in as long a chain as there is."""
+    rng = np.random.default_rng(seed)
+    a, b = (rng.permutation(9)[: rng.integers(4, 10)].tolist() for _ in "ab")
+    pairs = lines.patience(a, b)
+    assert all(a[i] == b[k] for i, k in pairs) and all(x < y and z < w for (x, z), (y, w) in itertools.pairwise(pairs))
+    common = [x for x in a if x in b]
+    best = max(n for n in range(len(common) + 1) for c in itertools.combinations(common, n) if [b.index(x) for x in c] == sorted(b.index(x) for x in c))
+    assert len(pairs) == best
+    assert lines.patience([1, 1, 2, 1], [1, 1, 2, 1]) == [(k, k) for k in range(4)] and lines.patience([], [1]) == []
+
+
+def test_line_dedup_equals_owners_found_in_plain_dictionaries(spark):
+    """Owners, rarest parts and the order of partners by dictionaries over all documents; repeated and short lines."""
+    rng = np.random.default_rng(12)
+    pool = [f"a long enough line with number {k}" for k in range(40)] + ["", "short", "x"]
+    texts = {k * 3: "\n".join(rng.choice(pool, rng.integers(0, 12))) for k in range(70)}
+    texts[211], texts[212] = texts[30], texts[30] + "\n" + pool[0]
+    parts = {}
+    for k, t in texts.items():
+        own = [x.strip() for x in lines.split_lines(t)]
+        long = [len(x) >= 20 for x in own]
+        parts[k] = {("line", x) for x, y in zip(own, long, strict=True) if y} | {("pair", x, z) for (x, y), (z, w) in itertools.pairwise(zip(own, long, strict=True)) if y or w} | ({("all", *own)} if any(long) else set())
+    holders = collections.defaultdict(list)
+    for k in sorted(parts):
+        for x in parts[k]:
+            holders[x].append(k)
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+    for k, t in texts.items():
+        rarest = {}
+        for x in parts[k]:
+            if (owner := holders[x][0]) < k:
+                rarest[owner] = min(rarest.get(owner, math.inf), len(holders[x]))
+        own = [x.strip() for x in lines.split_lines(t)]
+        number = {x: n for n, x in enumerate(pool)}
+        gone = lines.aligned(np.array([number[x] for x in own]), np.array([len(x) >= 20 for x in own], bool), [np.array([number[x.strip()] for x in lines.split_lines(texts[o])]) for _, o in sorted((n, o) for o, n in rarest.items())])
+        assert got[k].text == "\n".join(x for x, y in zip(lines.split_lines(t), gone, strict=True) if not y) and got[k].n_removed == gone.sum()
+
+
 def test_copies_of_documents_that_own_no_line_go(spark):
     x, y, once, other, more = (f"the long line that is called {k}" for k in ("x", "y", "once", "other", "more"))
     rows = [(1, f"{x}\n{other}\n{y}"), (2, f"{y}\n{x}"), (3, f"{y}\n{x}"), (4, f"own words of four\n{once}\n{more}"), (5, f"{once}\n\n{once}"), (6, f"{once}\n\n{once}"), (7, f"a line of its own in seven\n{y}\n{x}")]
@@ -404,6 +448,25 @@ def test_quality_model_learns_and_scores_all(spark, empty):
     assert gam.quality_scores(empty, marks).count() == 0
 
 
+def test_held_out_labels_change_no_score_and_scores_are_sums_of_tables(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(rng.choice(["alpha", "Beta!!", "gamma", "7"], int(rng.integers(1, 60))))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(k, int(len(t) % 3 > 0)) for k, t in rows]
+    turned = [(k, 1 - y if gam.remainder(k, 4) == 2 else y) for k, y in marks]
+    one, two = ({r.doc_id: r.score for r in gam.quality_scores(docs, spark.createDataFrame(m, "doc_id long, quality int")).collect()} for m in (marks, turned))
+    assert one == two
+    x = gam.features(pa.array([t for _, t in rows]))
+    model = gam.train(x, np.array([float(y) for _, y in marks]))
+    plain = []
+    for row in x:
+        fine = [int(np.searchsorted(e, v, "right")) for e, v in zip(model.edges, row, strict=True)]
+        coarse = [int(np.searchsorted(e, v, "right")) for e, v in zip(model.edges2, row, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, fine, strict=True)) + sum(g[coarse[a], coarse[b]] for (a, b), g in zip(model.pairs, model.grids, strict=True))
+        plain.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(model.score(x), plain, atol=1e-6)
+
+
 def test_pairs_of_features_are_learned():
     rng = np.random.default_rng(4)
     x = rng.random((3000, len(gam.FEATURES)))
