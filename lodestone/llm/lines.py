@@ -120,6 +120,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     lined = written(docs.select(key.alias("doc"), "text").mapInArrow(hashed, "doc long, lines binary, long binary"), "lines")
     shared = _shared(lined)
     owners = lined.join(shared.select(F.col("owner").alias("doc")).distinct(), "doc").dropDuplicates(["doc"]).select(F.col("doc").alias("owner"), F.col("lines").alias("theirs"))
+    owners = written(owners, "owners")  # likewise for an owner of very many
     partners = (shared.join(owners, "owner").groupBy("doc")
                 .agg(F.sort_array(F.collect_list(F.struct("df", "owner", "theirs"))).alias("partners")))
 
@@ -168,7 +169,8 @@ def _shared(lined: DataFrame) -> DataFrame:
 
     lines = lined.mapInArrow(_merged(each), "doc long, line long")
     owned = lines.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("df")).where("owner < last").drop("last")
-    shared = lines.join(owned, "line").where("owner < doc")
+    #: A table, so that both sides of the join are shuffled for it alone: Spark then splits a line that very many share.
+    shared = lines.join(written(owned, "owned"), "line").where("owner < doc")
     return written(shared.groupBy("doc", "owner").agg(F.min("df").alias("df")), "shared")
 
 

@@ -179,7 +179,7 @@ def _prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
     values that one class alone has; classes with fewer than ``matches`` other values have none."""
     each = classes.select("c", "rep", F.col("n").alias("shingles"), F.explode("sig").alias("key"))
     common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    each = each.join(common, "key")
+    each = each.join(written(common, "common"), "key")  # a table, so that Spark can split a value that very many share
     by = Window.partitionBy("c")
     each = each.select("*", F.count("*").over(by).alias("n"), F.sum("df").over(by).alias("typical"), F.row_number().over(by.orderBy("df", "key")).alias("k"))
     alone = coords - F.col("n")
@@ -227,7 +227,7 @@ class _Tests:
         shingles = self.sets.join(open_, "c").mapInArrow(_exploder, "c long, comp long, size long, shingle long")
         often = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         by = Window.partitionBy("c")
-        common = shingles.join(often, "shingle").select("*", F.count("*").over(by).alias("n"), F.row_number().over(by.orderBy("df", "shingle")).alias("k"))
+        common = shingles.join(written(often, "often"), "shingle").select("*", F.count("*").over(by).alias("n"), F.row_number().over(by.orderBy("df", "shingle")).alias("k"))
         least = F.ceil(F.col("size") * self.percent / 100)
         alone = F.col("size") - F.col("n")
         rare = written(common.where((F.col("n") >= least) & (F.col("k") <= F.col("size") - least + 1 - alone)).select("shingle", "c", "comp", "size", "n", (alone + F.col("k")).alias("pos")), "rare")
