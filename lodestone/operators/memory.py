@@ -126,3 +126,20 @@ def inserted(rows: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     known = present.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return once.join(known, same, "left_anti")
+
+
+def stats(memories: DataFrame, statuses: tuple[str, ...], types: tuple[str, ...]) -> DataFrame:
+    """Rows of each status and type, 0 where there are none."""
+    spark = memories.sparkSession
+    cells = spark.createDataFrame([(s, t) for s in statuses for t in types], "status string, type string")
+    found = memories.groupBy("status", "type").agg(F.count("*").alias("n"))
+    return cells.join(found, ["status", "type"], "left").select("status", "type", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def chains(chain: DataFrame, limit: int = 100) -> DataFrame:
+    """Each chain of successors by its newest member: ids from the oldest on, the ``limit`` nearest the tip."""
+    reached = history(chain, limit)
+    near = Window.partitionBy("tip").orderBy("steps", "id")
+    kept = reached.withColumn("k", F.row_number().over(near)).where(F.col("k") <= limit)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("steps", "id")), False), lambda x: x["id"])
+    return kept.groupBy("tip").agg(ids.alias("ids"))

@@ -170,3 +170,39 @@ def serving_pack(rows: DataFrame, budget: int) -> DataFrame:
         return pd.DataFrame(out, columns=["project_id", "position", "kind", "tokens"])
 
     return rows.groupBy("project_id").applyInPandas(fold, "project_id string, position int, kind string, tokens long")
+
+
+def mentioned(events: DataFrame, skills: DataFrame, least: int = 6) -> DataFrame:
+    """Skills (id, name, path) whose path, or whose name of ``least`` characters or more, stands anywhere in an
+    event's text (event_id, text): id, event_id.
+
+    Names and paths are posted under their first ``least`` characters (a shorter path under all of it, and of its
+    length), and texts' runs of those lengths are looked up, so only what begins alike is compared.
+    """
+    wanted = skills.select("id", F.explode(F.array_compact(F.array(F.when(F.char_length("name") >= least, F.col("name")), F.when(F.col("path") != "", F.col("path"))))).alias("form"))
+    wanted = wanted.withColumn("key", F.left("form", F.lit(least))).withColumn("size", F.char_length("key"))
+    found = None
+    for size in [r["size"] for r in wanted.select("size").distinct().collect()]:  # at most ``least`` of them
+        forms = wanted.where(F.col("size") == size)
+        starts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - size + 1), lambda k: F.substring("text", k, F.lit(size))))).alias("key")
+        met = events.where(F.char_length("text") >= size).select("event_id", "text", starts).join(forms, "key").where(F.contains("text", "form"))
+        found = met.select("id", "event_id") if found is None else found.union(met.select("id", "event_id"))
+    return wanted.select("id", F.lit(None).cast("long").alias("event_id")).limit(0) if found is None else found.distinct()
+
+
+def review(skills: DataFrame, failures: DataFrame) -> DataFrame:
+    """For each skill (id, failure_ids) its failures that can still be read, in order, and how many cannot."""
+    each = skills.select("id", F.posexplode("failure_ids").alias("pos", "failure_id")).join(failures.select(F.col("id").alias("failure_id"), "problem"), "failure_id", "left")
+    there = F.sort_array(F.collect_list(F.when(F.col("problem").isNotNull(), F.struct("pos", "failure_id", "problem"))))
+    got = each.groupBy("id").agg(there.alias("t"), F.count_if(F.col("problem").isNull()).alias("unresolved"))
+    return skills.select("id").join(got, "id", "left").select(
+        "id", F.coalesce(F.transform("t", lambda x: x["failure_id"]), F.array().cast("array<long>")).alias("failure_ids"), F.coalesce("unresolved", F.lit(0).cast("long")).alias("unresolved"))
+
+
+def evaluated(documents: DataFrame, most_chars: int = 8000) -> DataFrame:
+    """Of skill documents (name, markdown): the share with all sections in order, and that within the bound."""
+    places = [F.instr("markdown", f"\n## {s}\n") for s in SECTIONS]
+    in_order = places[0] > 0
+    for a, b in zip(places, places[1:], strict=False):
+        in_order &= a < b
+    return documents.agg(F.avg(in_order.cast("double")).alias("section_completeness"), F.avg((F.char_length("markdown") <= most_chars).cast("double")).alias("compactness"))

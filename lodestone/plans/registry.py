@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import event_queries, memory_queries, more_queries, search_queries, store_queries  # noqa: F401
+    from . import event_queries, memory_queries, more_queries, rest_queries, search_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict:

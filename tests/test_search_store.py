@@ -239,3 +239,16 @@ def test_stream_from_events_to_memories(spark, tmp_path):
     assert [(r.type, r.content) for r in found] == [("preference", "Preference: tabs over spaces")]
     outcomes = spark.read.parquet(str(tmp_path / "out" / "outcomes")).where("batch = 0")
     assert dict(outcomes.select("outcome", "n").collect()) == {"stored": 3, "excluded": 1, "dead_letter": 1, "foreign": 1}
+
+
+def test_golden_datasets_and_what_is_wrong_with_them(spark, tmp_path):
+    from lodestone.sources import golden
+
+    good = {"id": "good", "base_time": "2024-01-01T00:00:00Z", "now": "2024-02-01T00:00:00Z", "projects": [{"key": "a", "name": "A"}], "events": [{"kind": "error.raised", "project": "global", "session": "s", "offset_seconds": 5}],
+            "facts": [{"key": "f", "description": "d"}], "queries": [{"id": "q", "project": "a", "query": "x", "max_tokens": 5, "expected": ["f"], "forbidden": []}], "contradictions": [], "consolidation": []}
+    bad = good | {"id": "bad", "events": [{"kind": "error.raised", "project": "z", "session": "s", "offset_seconds": 99_999_999}], "facts": [{"key": "f"}, {"key": "f"}],
+                  "queries": [{"id": "q", "query": "x", "max_tokens": 5, "expected": [], "forbidden": ["g"], "query_type": "decision"}]}
+    for x in (good, bad):
+        (tmp_path / f"{x['id']}.json").write_text(json.dumps(x))
+    got = {(r.id, r.place, r.what) for r in golden.issues(golden.datasets(spark, str(tmp_path))).collect()}
+    assert got == {("bad", "queries q", "unknown fact g"), ("bad", "events error.raised", "unknown project z"), ("bad", "facts f", "given twice"), ("bad", "queries q", "expects nothing"), ("bad", "events error.raised", "not before now")}
