@@ -14,6 +14,8 @@ pairs inside a component need no test.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,7 +121,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     A null or wordless text has no shingles, no links, and is kept. A null doc_id counts as larger than any
     other and is returned as null; rows that share a doc_id are one node if their sets are equal, and each
     row is returned. An empty table gives no rows. Other columns are left out. With the defaults, a pair at
-    0.8 agrees on fewer than 24 of 48 coordinates once in about a million.
+    0.8 agrees on fewer than 24 of 48 coordinates once in about a million; a lower ``percent`` wants fewer ``matches``.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_signer(shingle, coords), "doc long, n long, s1 long, s2 long, sig array<long>"), "signed")
@@ -133,7 +135,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
         found = components(links)
         return written(posted.select("c").distinct().join(found.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("comp", "c").alias("comp")), "labelled")
 
-    pairs = _meetings(posted)
+    pairs = _meetings(posted, percent)
     pairs = tests.counted(pairs)
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     links = tests.confirmed(best)
@@ -153,7 +155,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
         F.when(comp != LAST, comp).alias("component_id"), (doc == comp).alias("kept"))
 
 
-def _meetings(posted: DataFrame) -> DataFrame:
+def _meetings(posted: DataFrame, percent: int) -> DataFrame:
     """Pairs (c, other), a few for each posting: in each list, classes of about one size are paired with the
     smallest document, with the most typical one and with the next in order of size, and the leaders of
     neighbouring sizes with each other. A list that a third of all documents share is so many bands."""
@@ -167,7 +169,7 @@ def _meetings(posted: DataFrame) -> DataFrame:
     inside = inside.select("c", F.explode(F.array("least", "most", "before")).alias("other"))
     heads = led.select("key", "band", F.col("most").alias("c"))
     between = None
-    for step in (1, 2, 3):
+    for step in range(1, 1 + max(1, math.ceil(math.log(100 / percent) / math.log(1.1)))):  # sizes of similar sets are that near
         after = led.select("key", (F.col("band") - step).alias("band"), F.col("most").alias("other"))
         found = heads.join(after, ["key", "band"]).select("c", "other")
         between = found if between is None else between.union(found)
