@@ -89,7 +89,7 @@ _RUN = 64  #: new chunks that are encoded as one text
 _RARE = np.zeros(256, bool)
 _RARE[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
-_CACHE_ENTRIES = 600_000
+_CACHE_ENTRIES = 1_200_000
 _encoders: dict[str, Encoder] = {}
 
 
