@@ -184,7 +184,7 @@ def mentioned(events: DataFrame, skills: DataFrame, least: int = 6) -> DataFrame
     found = None
     for size in [r["size"] for r in wanted.select("size").distinct().collect()]:  # at most ``least`` of them
         forms = wanted.where(F.col("size") == size)
-        starts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - size + 1), lambda k: F.substring("text", k, F.lit(size))))).alias("key")
+        starts = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), 1))).alias("key")
         met = events.where(F.char_length("text") >= size).select("event_id", "text", starts).join(forms, "key").where(F.contains("text", "form"))
         found = met.select("id", "event_id") if found is None else found.union(met.select("id", "event_id"))
     return wanted.select("id", F.lit(None).cast("long").alias("event_id")).limit(0) if found is None else found.distinct()

@@ -48,9 +48,9 @@ def merge_outcomes(spark, d):
     return out.withColumn("cosine", F.round("cosine", 6))
 
 
-@query("derive_scores", f"""WITH RECURSIVE {STATEMENTS}, {PAIRS}, {_VECTORS}, pool AS (SELECT claims.*, id % 3 AS entity_id, e FROM claims JOIN v USING (id) WHERE type = 'episodic' AND id % 17 <> 0),
+@query("derive_scores", f"""WITH RECURSIVE {STATEMENTS}, {PAIRS}, {_VECTORS}, pool AS (SELECT claims.*, (id // 6) % 7 AS entity_id, e FROM claims JOIN v USING (id) WHERE type = 'episodic' AND id % 17 <> 0),
   vp AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS cosine FROM pool a JOIN pool b ON a.project_id IS NOT DISTINCT FROM b.project_id AND a.user_id IS NOT DISTINCT FROM b.user_id AND a.entity_id = b.entity_id AND a.id < b.id
-    WHERE list_cosine_similarity(a.e, b.e) >= 0.15), {_REACH}, {_CONFLICTED}, s AS (SELECT id, sum(cosine) AS central FROM (SELECT a AS id, cosine FROM vp UNION ALL SELECT b, cosine FROM vp) GROUP BY id),
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.1), {_REACH}, {_CONFLICTED}, s AS (SELECT id, sum(cosine) AS central FROM (SELECT a AS id, cosine FROM vp UNION ALL SELECT b, cosine FROM vp) GROUP BY id),
   r AS (SELECT pool.*, component, row_number() OVER (PARTITION BY component ORDER BY round(central, 9) DESC, {_KEEPER}) AS k, count(*) OVER (PARTITION BY component) AS sources FROM pool JOIN members USING (id) JOIN s USING (id) WHERE component NOT IN (FROM blocked))
   SELECT component, max(CASE WHEN k = 1 THEN id END) AS representative, any_value(entity_id) AS entity_id, any_value(project_id) AS project_id, any_value(user_id) AS user_id, any_value(sources) AS sources,
     round(least(0.95, max(importance) + 0.05), 4) AS importance, round(least(0.95, max(confidence) + 0.1), 4) AS confidence, max(observed_at) AS observed_at, min(valid_from) AS valid_from
@@ -59,7 +59,7 @@ def derive_scores(spark, d):
     rows = views.statements(spark, d)
     ids = rows.select("id")
     return consolidation.derivations(
-        rows.where("type = 'episodic'"), _vectors(spark, d), ids.withColumn("entity_id", F.col("id") % 3), ids.where("id % 17 = 0"), lifecycle.contradictions(rows), 0.15)
+        rows.where("type = 'episodic'"), _vectors(spark, d), ids.withColumn("entity_id", F.floor(F.col("id") / 6) % 7), ids.where("id % 17 = 0"), lifecycle.contradictions(rows), 0.1)
 
 
 @query("consolidation_pass")
