@@ -16,6 +16,7 @@ from ..functions import extraction as rules
 from ..functions import text
 from ..functions.extraction import CLAUSE_BREAK, DECISION_NOISE, DECISIONS, OPTION_NOISE, RATIONALE, REJECTION
 from .lifecycle import first_success_after
+from .lineage import cut
 
 # Known kinds of events, and the fields that a payload of each must have.
 REQUIRED = {
@@ -171,7 +172,7 @@ def _candidate(rows: DataFrame, rule: str, kind: str, sub, content: Column, impo
 def extracted(events: DataFrame, repeats: int = 2) -> DataFrame:
     """Candidates of all rules (project_id, session_id, id of the event, rule, type, subtype, content, scores,
     entities, rationale). Groups' candidates carry their first event's id."""
-    e = normalized(events)
+    e = cut(normalized(events))  # read by every rule
     user = F.col("role") == "user"
     out = []
 
@@ -182,7 +183,7 @@ def extracted(events: DataFrame, repeats: int = 2) -> DataFrame:
     out.append(row.join(told.select("id", declared.alias("t")), "id").select(*(F.col("t").alias("type") if c == "type" else F.col(c) for c in row.columns)))
 
     prose = e.where("prose IS NOT NULL")
-    decided = prose.withColumn("d", decision(F.col("prose"))).where("d IS NOT NULL")
+    decided = cut(prose.select("project_id", "session_id", "id", "role", decision(F.col("prose")).alias("d"))).where("d IS NOT NULL")
     out.append(_candidate(decided, "decision", "decision", F.when(F.size("d.alternatives") > 0, "decision.choice").otherwise("decision.statement"), decision_content(F.col("d")), 0.8, F.when(user, 0.85).otherwise(0.6), decision_content(F.col("d")), "a settled choice"))
 
     preferred = prose.withColumn("s", preference(F.col("prose"))).where("char_length(trim(s)) >= 3")
@@ -236,7 +237,7 @@ def resolutions(e: DataFrame) -> DataFrame:
 def working_signals(events: DataFrame, most: int = 5) -> DataFrame:
     """Scratch notes of a session, at most ``most`` of a kind: open questions, else hypotheses, else tasks of each
     message, edited files and failures that nothing resolved."""
-    e = normalized(events).where("session_id IS NOT NULL")
+    e = cut(normalized(events).where("session_id IS NOT NULL"))
     talk = e.where("role IN ('user', 'assistant')")
     asked, guessed, planned = (rules.statement(F.col("prose"), p, group=0) for p in (rules.QUESTIONS, rules.HYPOTHESES, rules.TASKS))
     kind = F.when(asked.isNotNull(), "open_question").when(guessed.isNotNull(), "hypothesis").when(planned.isNotNull(), "task")
