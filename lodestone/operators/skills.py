@@ -93,7 +93,7 @@ def hydrated(refs: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame
 # First words of shell commands, sections of a skill document.
 COMMANDS = (
     "apt", "aws", "brew", "bun", "bunx", "cargo", "curl", "docker", "gcloud", "git", "go", "helm",
-    "jq", "kubectl", "make", "node", "npm", "npx", "onemem", "pg_dump", "pnpm", "psql", "pip",
+    "jq", "kubectl", "make", "node", "npm", "npx", "pg_dump", "pnpm", "psql", "pip",
     "python", "ssh", "tar", "terraform", "tsc", "uv", "yarn",
 )
 SECTIONS = ("When to use", "Prerequisites", "Procedure", "Commands", "Validation", "Known failure modes")
