@@ -1,4 +1,4 @@
-"""The ten operators as driver queries: each takes (spark, sf_dir) and covers its whole table."""
+"""The operators as driver queries: each takes (spark, sf_dir) and covers its whole table."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokenizers_at
+from . import personal, tokenizers_at, turns
 from .attention import language_scores
+from .codebooks import compressed
 from .decontaminate import find_leaks
 from .gam import quality_scores
 from .lines import dedup_lines
@@ -67,5 +68,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.report(turns.repaired(turns.damaged(conversations)), conversations)
+
+
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    base = personal.listed(F.filter("spans", lambda s: s["base"]))
+    return found.select("doc_id", *(personal.count_of(k).alias(f"n_{k}") for k in personal.BASE), F.sha2(base, 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
