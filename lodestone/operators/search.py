@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..constants import INTENTS, LIVE, STATUSES, STOPWORDS
 from ..functions import scoring, scopes, temporal, text
-from . import graph, memory, packing, similarity
+from . import graph, memory, packing, postings, similarity, vector_index
 
 # How much each channel may bring.
 LEXICAL, VECTORS, LEAST_COSINE = 50, 50, 0.05
@@ -44,7 +44,8 @@ class Request:
 
 @dataclass
 class Sources:
-    """Tables that are searched; those that are None bring nothing."""
+    """Tables that are searched; those that are None bring nothing. With an index of the vectors or postings of the
+    contents, their channel reads that in the place of the table."""
 
     memories: DataFrame
     vectors: DataFrame | None = None
@@ -54,6 +55,8 @@ class Sources:
     working: DataFrame | None = None
     decisions: DataFrame | None = None
     failures: DataFrame | None = None
+    index: vector_index.Index | None = None
+    postings: postings.Postings | None = None
 
 
 def intent_of(query: str) -> str:
@@ -188,6 +191,12 @@ def without_copies(rows: DataFrame, near: float | None = None) -> DataFrame:
     return kept
 
 
+def indexed(index: vector_index.Index, query_vector: DataFrame) -> DataFrame:
+    """The vectors nearest a question, exactly, from the cells that can hold them."""
+    one = query_vector.limit(1).select(F.lit(0).cast("long").alias("id"), "embedding")
+    return vector_index.nearest(index, one, VECTORS, exact=True, least=LEAST_COSINE)
+
+
 def ranked(request: Request, sources: Sources, query_vector: DataFrame | None = None, matched: list[int] = (), required: list[int] = (), near: float | None = None) -> DataFrame:
     """Candidates of a request with score, relevance and explain, best first.
 
@@ -199,10 +208,13 @@ def ranked(request: Request, sources: Sources, query_vector: DataFrame | None =
     may = policy(request, intent, scope)
     allowed = planned(request, may, list(required), sources)
     now = F.lit(request.now).cast("timestamp_ntz")
-    lexical = memory.lexical(allowed, keywords_of(request.query) or [request.query], LEXICAL).select("id", "lexical_rank")
+    words = keywords_of(request.query) or [request.query]
+    hits = memory.lexical(allowed, words, LEXICAL) if sources.postings is None else postings.lexical(sources.postings, allowed, words, LEXICAL)
+    lexical = hits.select("id", "lexical_rank")
     vector = None
-    if query_vector is not None and sources.vectors is not None:
-        nearest = memory.nearest(sources.vectors, query_vector, VECTORS, LEAST_COSINE).select("id", F.col("vector_rank").alias("r"))
+    if query_vector is not None and (sources.vectors is not None or sources.index is not None):
+        nearest = indexed(sources.index, query_vector) if sources.index is not None else memory.nearest(sources.vectors, query_vector, VECTORS, LEAST_COSINE)
+        nearest = nearest.select("id", F.col("vector_rank").alias("r"))
         vector = nearest.join(allowed.select("id"), "id", "left_semi").select("id", F.row_number().over(Window.orderBy("r")).alias("vector_rank"))
     at = F.lit(may["at"] if "at" in may else may["until"] or request.now).cast("timestamp_ntz")
     near_by = graph_channel(sources, allowed, request, intent, list(matched), lexical, vector, at)

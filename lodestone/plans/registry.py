@@ -16,8 +16,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    from . import event_queries, memory_queries, more_queries, rest_queries, search_queries, store_queries  # noqa: F401
+    from . import event_queries, index_queries, memory_queries, more_queries, rest_queries, search_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict:
