@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,37 +39,6 @@ def authority_rule(a: str, b: str) -> Column:
             .when(x("confidence") != y("confidence"), sign(x("confidence") > y("confidence"), "confidence")).otherwise("tie"))
 
 
-def resolved(memories: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Settle the pairs of each (scope, template) oldest first: losers leave, ties make both disputed.
-
-    Sequential by nature, so each group of contradicting statements is a fold; groups are as small as one
-    statement's versions in one scope. Returns id, outcome (superseded or disputed), winner, valid_until.
-    """
-    m = memories.select("id", "type", "source_kind", "observed_at", "confidence", "valid_from")
-    side = lambda s: m.select(F.col("id").alias(f"id_{s}"), F.struct(*m.columns).alias(s))
-    rows = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
-    rows = rows.withColumn("rule", authority_rule("a", "b")).withColumn("since", F.greatest("a.observed_at", "b.observed_at"))
-    rows = rows.select("scope", "template", "id_a", "id_b", "rule", "since", F.col("a.observed_at").alias("at_a"), F.col("b.observed_at").alias("at_b"), F.col("a.valid_from").alias("from_a"), F.col("b.valid_from").alias("from_b"))
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for r in g.sort_values(["since", "id_a", "id_b"]).itertuples():
-            if r.id_a in gone or r.id_b in gone:
-                continue
-            if r.rule == "tie":
-                gone |= {r.id_a, r.id_b}
-                out += [(r.id_a, "disputed", None, None), (r.id_b, "disputed", None, None)]
-            elif r.rule[0] == "+":
-                gone.add(r.id_b)
-                out.append((r.id_b, "superseded", r.id_a, max(r.at_a, r.from_b)))
-            else:
-                gone.add(r.id_a)
-                out.append((r.id_a, "superseded", r.id_b, max(r.at_b, r.from_a)))
-        return pd.DataFrame(out, columns=["id", "outcome", "winner", "valid_until"]).astype({"winner": "Int64", "valid_until": "datetime64[us]"})
-
-    return rows.groupBy("scope", "template").applyInPandas(fold, "id long, outcome string, winner long, valid_until timestamp_ntz")
-
-
 def decayed(memories: DataFrame, now: Column, below: float = ARCHIVE_BELOW) -> DataFrame:
     """Active memories whose prominence has sunk below the threshold."""
     return memories.where("status = 'active'").withColumn("prominence", scoring.prominence(now)).where(F.col("prominence") < below)

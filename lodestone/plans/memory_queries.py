@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..constants import INTENTS, STOPWORDS, TRANSITIONS
 from ..functions import scoring, temporal, text
-from ..operators import graph, lifecycle, memory, metrics
+from ..operators import contradiction, graph, lifecycle, memory, metrics
 from ..sources import views
 from .registry import query
 from .views_sql import ACCESS, BOUND, EDGES, EVENTS, HALF_LIFE, MEM, NOW, RECENCY, STATEMENTS
@@ -163,10 +163,17 @@ def contradiction_pairs(spark, d):
     return lifecycle.contradictions(views.statements(spark, d)).drop("scope")
 
 
-@query("contradiction_resolution")
+#: One pair of each template at a time, in order, with the list of what is closed.
+@query("contradiction_resolution", f"""WITH RECURSIVE {STATEMENTS}, {PAIRS}, x AS (SELECT p.*, coalesce(a.project_id, '') || '/' || coalesce(a.user_id, '') || '/' || p.template AS g, a.observed_at AS at_a, b.observed_at AS at_b, a.valid_from AS from_a, b.valid_from AS from_b,
+    CASE WHEN (a.source_kind = 'explicit') <> (b.source_kind = 'explicit') THEN CASE WHEN a.source_kind = 'explicit' THEN 1 ELSE -1 END WHEN (a.type = 'decision') <> (b.type = 'decision') THEN CASE WHEN a.type = 'decision' THEN 1 ELSE -1 END
+      WHEN a.observed_at <> b.observed_at THEN CASE WHEN a.observed_at > b.observed_at THEN 1 ELSE -1 END WHEN a.confidence <> b.confidence THEN CASE WHEN a.confidence > b.confidence THEN 1 ELSE -1 END ELSE 0 END AS won
+    FROM pairs p JOIN mem a ON a.id = id_a JOIN mem b ON b.id = id_b), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY greatest(at_a, at_b), id_a, id_b) AS k FROM x),
+  f AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, 0 AS won, CAST(NULL AS TIMESTAMP) AS until FROM r
+    UNION ALL SELECT f.g, r.k, CASE WHEN list_has_any(gone, [id_a, id_b]) THEN gone WHEN r.won = 0 THEN list_concat(gone, [id_a, id_b]) WHEN r.won > 0 THEN list_append(gone, id_b) ELSE list_append(gone, id_a) END,
+      CASE WHEN NOT list_has_any(gone, [id_a, id_b]) THEN id_a END, CASE WHEN NOT list_has_any(gone, [id_a, id_b]) THEN id_b END, r.won, CASE WHEN r.won > 0 THEN greatest(at_a, from_b) WHEN r.won < 0 THEN greatest(at_b, from_a) END FROM f JOIN r ON r.g = f.g AND r.k = f.k + 1)
+  SELECT unnest(CASE WHEN won = 0 THEN [a, b] WHEN won > 0 THEN [b] ELSE [a] END) AS id, CASE WHEN won = 0 THEN 'disputed' ELSE 'superseded' END AS outcome, CASE WHEN won > 0 THEN a WHEN won < 0 THEN b END AS winner, until AS valid_until FROM f WHERE a IS NOT NULL""")
 def contradiction_resolution(spark, d):
-    rows = views.statements(spark, d)
-    return lifecycle.resolved(rows, lifecycle.contradictions(rows))
+    return contradiction.settled(views.statements(spark, d))
 
 
 @query("authority_rules", f"""WITH {STATEMENTS}, {PAIRS} SELECT id_a, id_b, CASE WHEN (a.source_kind = 'explicit') <> (b.source_kind = 'explicit') THEN CASE WHEN a.source_kind = 'explicit' THEN '+' ELSE '-' END || 'explicit'

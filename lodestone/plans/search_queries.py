@@ -39,6 +39,40 @@ def near_dup_components(spark, d):
     return similarity.components(similarity.vector_pairs(rows, ["project_id", "user_id", "type"], NEAR))
 
 
+#: Each vector in five forms, of which some are equal, some very near and some less so.
+_COPIES = """cp AS (SELECT vec_id * 5 + m AS id, label, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + 0.01 * m * (vec_id % 3) * ((vec_id * 7 + i * 3) % 5 - 2)) AS e FROM embeddings, unnest(range(0, 5)) AS u(m)),
+  pairs AS (SELECT a.id AS a, b.id AS b, a.e <> b.e AS other, list_cosine_similarity(a.e, b.e) AS cosine FROM cp a JOIN cp b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= {least}),
+  same AS (SELECT b AS id, min(a) AS representative FROM pairs WHERE NOT other GROUP BY b)"""
+
+
+def _copies(spark, d):
+    e = views.read(spark, d, "embeddings").select(F.col("vec_id"), "embedding", "label", F.explode(F.array(*map(F.lit, range(5)))).alias("m"))
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + F.lit(0.01) * F.col("m") * (F.col("vec_id") % 3) * ((F.col("vec_id") * 7 + (i + 1) * 3) % 5 - 2))
+    return e.select((F.col("vec_id") * 5 + F.col("m")).cast("long").alias("id"), "label", moved.alias("embedding"))
+
+
+def _near_copies(spark, d, least):
+    """Rows with their class of equal vectors, and how many other classes of their label are near."""
+    members, links = similarity.near_links(_copies(spark, d), ["label"], least)
+    n = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("representative")).agg(F.count("*").alias("links"))
+    return members.join(n, "representative", "left").select("id", "representative", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def _near_sql(least):
+    return f"""WITH {_COPIES.format(least=least)}, r AS (SELECT cp.id, coalesce(representative, cp.id) AS representative FROM cp LEFT JOIN same USING (id)), l AS (SELECT a, b FROM pairs JOIN r x ON x.id = a AND x.representative = a JOIN r y ON y.id = b AND y.representative = b WHERE other),
+      n AS (SELECT id AS representative, count(*) AS links FROM (SELECT a AS id FROM l UNION ALL SELECT b FROM l) GROUP BY id) SELECT id, representative, coalesce(links, 0) AS links FROM r LEFT JOIN n USING (representative)"""
+
+
+@query("near_copies_merge", _near_sql(consolidation.MERGE_COSINE))
+def near_copies_merge(spark, d):
+    return _near_copies(spark, d, consolidation.MERGE_COSINE)
+
+
+@query("near_copies_derive", _near_sql(consolidation.DERIVE_COSINE))
+def near_copies_derive(spark, d):
+    return _near_copies(spark, d, consolidation.DERIVE_COSINE)
+
+
 @query("merge_outcomes", f"""WITH RECURSIVE {STATEMENTS}, {PAIRS}, {_MERGE_PAIRS}, {_REACH}, {_CONFLICTED}, r AS (SELECT mem.*, component, first_value(id) OVER (PARTITION BY component ORDER BY {_KEEPER}) AS keeper FROM mem JOIN members USING (id))
   SELECT r.id, keeper, component, round(cosine, 6) AS cosine, CASE WHEN component IN (FROM blocked) THEN 'conflict' WHEN id = keeper THEN 'keeper' WHEN valid_from > TIMESTAMP '2024-05-01' THEN 'future' WHEN cosine IS NULL THEN 'not_near' ELSE 'merged' END AS outcome
   FROM r LEFT JOIN vp ON (a = id AND b = keeper) OR (b = id AND a = keeper)""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
-from lodestone.operators import graph, lifecycle, memory, packing
+from lodestone.operators import contradiction, graph, lifecycle, memory, packing
 
 
 def one(spark, column, **values):
@@ -86,7 +86,7 @@ def test_resolution_closes_a_chain_and_ties(spark):
         "id long, content string, at string, confidence double")
     m = m.select("id", "content", "confidence", F.lit("semantic").alias("type"), F.lit("tool").alias("source_kind"), F.col("at").cast("timestamp_ntz").alias("observed_at"),
                  F.col("at").cast("timestamp_ntz").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), F.lit("p").alias("project_id"), F.lit(None).cast("string").alias("user_id"))
-    got = {r.id: (r.outcome, r.winner) for r in lifecycle.resolved(m, lifecycle.contradictions(m)).collect()}
+    got = {r.id: (r.outcome, r.winner) for r in contradiction.settled(m).collect()}
     assert got == {1: ("superseded", 2), 2: ("superseded", 3), 7: ("disputed", None), 8: ("disputed", None)}
 
 
