@@ -3,16 +3,45 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import ERROR_CLASSES, EXCLUDED_GLOBS, FALLBACK_CLASS, INTENTS, STOPWORDS
 
 
+#: Characters that composition (NFC) can change or join to another: marks, parts of syllables, and those with a
+#: composed form of their own. Any that the JVM doesn't know is among them. What has none of these is composed.
+_DECOMPOSED = (
+    r"[\p{M}\p{Cn}\u0374\u037E\u0387\u0958-\u0A5E\u0B5C\u0B5D\u0F43-\u0F69\u1161-\u1175\u11A8-\u11C2\u1F71-\u1FFD\u2000\u2001\u2126\u212A\u212B"
+    r"\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
+)
+
+
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def may_compose(text: Column) -> Column:
+    """Whether a text may change by composition: a quick check in the JVM."""
+    return text.rlike(_DECOMPOSED)
+
+
+def composed(text: Column) -> Column:
+    """A text in composed form (NFC). Only texts that fail the quick check are sent to Python."""
+    return F.coalesce(F.pandas_udf(_composed, "string")(F.when(may_compose(text), text)), text)
+
+
+def canonical_hash(text: Column) -> Column:
+    """``content_hash`` of the composed form: equal for a letter with its mark and for both in one."""
+    return content_hash(composed(text))
+
+
 def normal_form(text: Column) -> Column:
-    """White space collapsed, ends trimmed, lower case (texts are taken to be NFC)."""
+    """White space collapsed, ends trimmed, lower case (texts are taken to be NFC; ``composed`` makes them so)."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 

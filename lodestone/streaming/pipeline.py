@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, is_excluded
+from ..functions.text import canonical_hash, is_excluded
 from ..operators import consolidation, extraction, lifecycle, redaction, store
 from .ingest import KEYS, inserted
 
@@ -46,7 +46,7 @@ def remembered(events: DataFrame, memories: DataFrame) -> DataFrame:
     at = events.select(F.col("id").alias("first"), "occurred_at")
     rows = once.withColumn("first", F.array_min("evidence")).join(at, "first").select(
         (F.col("first") * 100 + F.col("n")).alias("id"), F.col("group").alias("project_id"), F.lit(None).cast("string").alias("user_id"), extraction.durable_type(F.col("type"), F.lit("")).alias("type"), "content",
-        content_hash(F.col("content")).alias("content_hash"), F.lit("active").alias("status"), "importance", "confidence", F.col("occurred_at").alias("observed_at"))
+        canonical_hash(F.col("content")).alias("content_hash"), F.lit("active").alias("status"), "importance", "confidence", F.col("occurred_at").alias("observed_at"))
     return store.inserted(rows, memories)[0].where("outcome = 'inserted'").drop("outcome", "stands")
 
 
