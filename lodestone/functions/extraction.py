@@ -141,6 +141,8 @@ def event_text(kind: Column, payload: Column) -> Column:
         "git.commit": say("commit ", F.left(get("sha"), F.lit(8)), ": ", get("message")),
         "pull_request": say("PR #", get("number"), " (", get("state"), "): ", get("title")),
         "explicit.remember": say("explicit remember: ", get("content")),
+        "document.added": say("document ", F.coalesce(*(F.get_json_object(payload, f"$.{k}") for k in ("title", "path", "uri")), F.lit("")), ": ", get("content_digest")),
+        **{k: say(f"{k} cwd=", get("cwd"), " ", get("summary")) for k in ("session.start", "session.end")},
     }
     out = None
     for name, form in forms.items():

@@ -11,7 +11,7 @@ from ..functions.scopes import label
 from .packing import estimate
 
 # A section's tokens and lines in a session context, and shares of a digest.
-SECTIONS = (("decision", 250, 8), ("failure", 150, 6), ("procedural", 100, 6), ("preference", 50, 6))
+SECTIONS = (("digest", 200, 40), ("decision", 250, 8), ("failure", 150, 6), ("procedural", 100, 6), ("preference", 50, 6))
 DIGEST = (("decision", 0.5, "top decisions:"), ("failure", 0.3, "known failures:"), ("procedural", 0.2, "procedures:"))
 
 
@@ -29,6 +29,18 @@ def section_lines(current: DataFrame, line_chars: int = 120) -> DataFrame:
     return rows.select("project_id", F.col("type").alias("section"), "position", "id", F.concat(F.lit("- "), label(F.col("content"), line_chars)).alias("line"))
 
 
+def digest_lines(projects: DataFrame) -> DataFrame:
+    """Lines of projects' digests (project_id, name, description, digest: a map of texts): name, description, entries
+    by their keys, as rows of ``section_lines``."""
+    short = lambda c, n: F.when(F.char_length(c) > n, F.concat(F.rtrim(F.regexp_extract(F.left(c, F.lit(n - 1)), r"(?s)^(.*\S)(?:\s+\S*)?$", 1)), F.lit("…"))).otherwise(c)
+    entries = F.filter(F.map_entries(F.coalesce("digest", F.create_map().cast("map<string,string>"))), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    entries = F.transform(F.array_sort(entries), lambda x: F.concat(F.replace(x["key"], F.lit("_"), F.lit(" ")), F.lit(": "), short(x["value"], 240)))
+    said = F.when(F.coalesce("description", F.lit("")) != "", F.array(F.concat(F.lit("description: "), short(F.col("description"), 200)))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(F.concat(F.lit("project: "), "name")), said, entries)
+    rows = projects.select("project_id", F.posexplode(lines).alias("position", "line")).where(F.col("position") < SECTIONS[0][2])
+    return rows.select("project_id", F.lit("digest").alias("section"), (F.col("position") + 1).alias("position"), F.lit(None).cast("long").alias("id"), "line")
+
+
 def packed_sections(lines: dict[str, list[str]], budget: int) -> tuple[list[tuple[str, list[str]]], int]:
     """Whole lines that fit each section's tokens and what earlier sections left over."""
     out, used, carried = [], 0, 0
@@ -69,14 +81,18 @@ def _by_section(g: pd.DataFrame) -> dict[str, list[str]]:
     return {k: x.sort_values("position")["line"].tolist() for k, x in g.groupby("section")}
 
 
-def contexts(current: DataFrame, budget: int = 750) -> DataFrame:
-    """Each project's session context: project_id, used tokens and text."""
+def contexts(current: DataFrame, budget: int = 750, projects: DataFrame | None = None) -> DataFrame:
+    """Each project's session context: project_id, used tokens and text. With ``projects`` the digest comes first; a
+    project without memories has its digest alone."""
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         parts, used = packed_sections(_by_section(g), budget)
         return pd.DataFrame([(g["project_id"].iloc[0], used, "\n\n".join("\n".join(x) for _, x in parts))], columns=["project_id", "used", "text"])
 
-    return section_lines(current).groupBy("project_id").applyInPandas(fold, "project_id string, used long, text string")
+    lines = section_lines(current)
+    if projects is not None:
+        lines = lines.unionByName(digest_lines(projects))
+    return lines.groupBy("project_id").applyInPandas(fold, "project_id string, used long, text string")
 
 
 def digests(current: DataFrame, budget: int = 300) -> DataFrame:

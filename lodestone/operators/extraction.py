@@ -149,6 +149,61 @@ def evidence(source: Column, excerpt: Column) -> Column:
     return F.struct(source.alias("source_id"), kind.alias("kind"), locator.alias("locator"), short.alias("excerpt"))
 
 
+def with_evidence(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """Candidates with ``evidence``: where each event that they cite is and an excerpt of it, in order of events."""
+    key = F.xxhash64("project_id", "session_id", "id", "rule", "content").alias("key")
+    rows = candidates.withColumn("key", key)
+    said = events.select(F.col("id").alias("event_id"), evidence(F.concat(F.lit("source:"), F.col("id").cast("string")), rules.event_text(F.col("kind"), F.col("payload"))).alias("span"))
+    each = rows.select("key", F.explode("cited").alias("event_id")).join(said, "event_id")
+    spans = each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "span"))), lambda x: x["span"]).alias("evidence"))
+    return rows.join(spans, "key", "left").drop("key")
+
+
+def recoveries(e: DataFrame) -> DataFrame:
+    """Failures of normalised events with the first later success of their session that repeats the same thing: the
+    command word for word (an error names it in its context), the framework's tests, or the tool."""
+    context = F.trim(F.regexp_replace(F.regexp_replace(F.trim("context"), r"(?i)^codex:\s*", ""), r"\s+in\s+(?=[./~]|[\w.-]+/)[\w.@~/-]+$", ""))
+    ran = F.when(F.col("command").isNotNull(), F.trim("command")).otherwise(F.when(F.col("error").isNotNull(), context))
+    rows = e.withColumn("incident", incident())
+    passed = F.coalesce(((F.col("exit_code") == 0) | ((F.col("failed") == 0) & (F.col("passed") > 0)) | F.col("ok")), F.lit(False))
+    key = lambda name, value: F.concat(F.lit(name), F.nullif(value, F.lit("")))
+    of = F.array_compact(F.array(
+        key("run ", F.when(F.col("incident").isNotNull(), ran).otherwise(F.trim("command"))),
+        key("tests ", F.when(F.col("failed").isNotNull(), F.col("framework"))), key("tool ", F.when(F.col("ok").isNotNull(), F.col("tool")))))
+    return first_success_after(rows.select("project_id", "session_id", "id", "occurred_at", "incident", passed.alias("good"), of.alias("of")), F.col("incident").isNotNull(), F.col("good") & F.col("incident").isNull(), ["project_id", "session_id"], F.col("of"))
+
+
+def failure_payloads(events: DataFrame) -> DataFrame:
+    """What is stored with a failure: problem, context, solution, verification, status, signature and times.
+
+    A command that ran again, or tests that passed again, verify the solution; a tool that answered again only
+    mitigates the failure; without a success it is open. The context has observed fields only.
+    """
+    e = cut(normalized(events))
+    good = e.select(F.col("id").alias("success_id"), F.col("command").alias("ran"), F.col("output").alias("said"), F.col("framework").alias("suite"), F.col("passed").alias("n"), F.col("tool").alias("by"))
+    rows = e.withColumn("incident", incident()).where("incident IS NOT NULL").join(recoveries(e).select(F.col("failure_id").alias("id"), "success_id"), "id").join(good, "success_id", "left")
+    message = text.failure_message(F.col("incident.message"))
+    kind = text.failure_class(message, F.col("incident.origin"))
+    more = F.when(F.trim(F.coalesce("said", F.lit(""))) != "", F.concat(F.lit(": "), "said")).otherwise("")
+    by_run, by_tests, by_tool = F.col("ran").isNotNull(), F.col("suite").isNotNull(), F.col("by").isNotNull()
+    solution = (F.when(by_run, F.concat(F.lit("Successful retry: "), "ran")).when(by_tests, F.concat(F.lit("Successful "), "suite", F.lit(" test rerun")))
+                .when(by_tool, F.concat(F.lit("Observed successful "), "by", F.lit(" call"))))
+    proof = (F.when(by_run, F.concat(F.lit("Command "), "ran", F.lit(" exited 0"), more)).when(by_tests, F.concat("suite", F.lit(": "), F.col("n").cast("string"), F.lit(" passed, 0 failed")))
+             .when(by_tool, F.concat(F.lit("Tool "), "by", F.lit(" reported ok: true"), more)))
+    status = F.when(F.col("success_id").isNull(), "open").when(by_run | by_tests, "verified").otherwise("mitigated")
+    context = F.to_json(F.struct(kind.alias("type"), message.alias("normalized_message"), F.col("incident.origin").alias("origin"), F.col("origin").alias("error_origin"), "tool", "command", F.col("context").alias("detail")))
+    return rows.select("id", F.col("incident.label").alias("problem"), context.alias("context"), solution.alias("solution"), proof.alias("verification"), status.alias("status"), text.failure_signature(kind, message).alias("signature"),
+                       F.col("occurred_at").alias("first_seen_at"), F.col("occurred_at").alias("last_seen_at"), F.lit(1).alias("occurrences"))
+
+
+def decision_payloads(events: DataFrame) -> DataFrame:
+    """What is stored with a decision: title, decision, alternatives, rationale, decided_at and status, which is
+    proposed until a later step accepts it."""
+    prose = normalized(events).where("prose IS NOT NULL")
+    d = cut(prose.select("id", "occurred_at", decision(F.col("prose")).alias("d"))).where("d IS NOT NULL")
+    return d.select("id", F.col("d.decision").alias("title"), "d.decision", "d.alternatives", "d.rationale", F.col("occurred_at").alias("decided_at"), F.lit("proposed").alias("status"))
+
+
 def subtype(kind: Column, content: Column) -> Column:
     """A candidate's subtype by its type and wording."""
     return (F.when(kind == "decision", F.when(content.rlike(r"(?i)\bover\b|\balternativ"), "decision.choice").otherwise("decision.statement"))
@@ -162,16 +217,19 @@ def durable_type(kind: Column, sub: Column) -> Column:
     return F.when(kind.isin("semantic", "semantic_candidate"), F.when(sub == "semantic.explicit", "semantic").otherwise("episodic")).otherwise(kind)
 
 
-def _candidate(rows: DataFrame, rule: str, kind: str, sub, content: Column, importance, confidence, about: Column, because: str) -> DataFrame:
+def _candidate(rows: DataFrame, rule: str, kind: str, sub, content: Column, importance, confidence, about: Column, because: str, also: str | None = None) -> DataFrame:
+    """Candidates of a rule; ``also`` is a column with another event that they rest on."""
+    cited = F.array_distinct(F.array_compact(F.array("id", also))) if also else F.array("id")
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return rows.select(
         "project_id", "session_id", "id", F.lit(rule).alias("rule"), F.lit(kind).alias("type"), lit(sub).alias("subtype"), content.alias("content"),
-        lit(importance).cast("double").alias("importance"), lit(confidence).cast("double").alias("confidence"), rules.technologies(about).alias("entities"), F.lit(because).alias("rationale"))
+        lit(importance).cast("double").alias("importance"), lit(confidence).cast("double").alias("confidence"), rules.technologies(about).alias("entities"), F.lit(because).alias("rationale"), cited.alias("cited"))
 
 
 def extracted(events: DataFrame, repeats: int = 2) -> DataFrame:
     """Candidates of all rules (project_id, session_id, id of the event, rule, type, subtype, content, scores,
-    entities, rationale). Groups' candidates carry their first event's id."""
+    entities, rationale, cited). Groups' candidates carry their first event's id and cite it and the last one; an
+    error cites what resolved it."""
     e = cut(normalized(events))  # read by every rule
     user = F.col("role") == "user"
     out = []
@@ -194,23 +252,23 @@ def extracted(events: DataFrame, repeats: int = 2) -> DataFrame:
 
     fixed = resolutions(e).where("success_id IS NOT NULL")
     signature = text.failure_class(text.failure_message(F.col("message")), F.col("origin"))
-    out.append(_candidate(fixed, "failure", "failure", "failure.resolved", F.concat(signature, F.lit(": "), F.left("label", F.lit(200)), F.lit(" — resolved by event "), F.col("success_id").cast("string")), 0.75, 0.7, F.col("label"), "an error and what resolved it"))
+    out.append(_candidate(fixed, "failure", "failure", "failure.resolved", F.concat(signature, F.lit(": "), F.left("label", F.lit(200)), F.lit(" — resolved by event "), F.col("success_id").cast("string")), 0.75, 0.7, F.col("label"), "an error and what resolved it", "success_id"))
 
     runs = e.where(F.col("normal").isNotNull() & ~rules.is_denied(F.col("normal")))
     by = Window.partitionBy("project_id", "session_id").orderBy("occurred_at", "id")
     pairs = runs.withColumn("pair", F.when(F.lead("normal").over(by).isNotNull(), F.concat("normal", F.lit(" → "), F.lead("normal").over(by)))).where("pair IS NOT NULL")
-    sequences = pairs.groupBy("project_id", "session_id", "pair").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") >= repeats)
-    out.append(_candidate(sequences, "sequence", "procedural", "procedural.sequence", F.concat(F.lit("Recurring command sequence: `"), "pair", F.lit("` ("), F.col("n").cast("string"), F.lit(" times)")), 0.55, 0.65, F.col("pair"), "a repeatable procedure"))
+    sequences = pairs.groupBy("project_id", "session_id", "pair").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last")).where(F.col("n") >= repeats)
+    out.append(_candidate(sequences, "sequence", "procedural", "procedural.sequence", F.concat(F.lit("Recurring command sequence: `"), "pair", F.lit("` ("), F.col("n").cast("string"), F.lit(" times)")), 0.55, 0.65, F.col("pair"), "a repeatable procedure", "last"))
     inside = sequences.select("project_id", F.explode(F.split("pair", " → ")).alias("normal")).distinct()
-    commands = runs.groupBy("project_id", "normal").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("session_id").alias("any_session")).where(F.col("n") >= repeats)
+    commands = runs.groupBy("project_id", "normal").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last")).where(F.col("n") >= repeats)
     commands = commands.join(inside, ["project_id", "normal"], "left_anti").withColumn("session_id", F.lit(None).cast("string"))
-    out.append(_candidate(commands, "command", "procedural", "procedural.command", F.concat(F.lit("Recurring command: `"), "normal", F.lit("` (used "), F.col("n").cast("string"), F.lit(" times)")), 0.55, 0.65, F.col("normal"), "a repeatable procedure"))
+    out.append(_candidate(commands, "command", "procedural", "procedural.command", F.concat(F.lit("Recurring command: `"), "normal", F.lit("` (used "), F.col("n").cast("string"), F.lit(" times)")), 0.55, 0.65, F.col("normal"), "a repeatable procedure", "last"))
 
     label = F.when(F.col("kind") == "git.commit", F.concat(F.lit("commit "), F.substring(F.get_json_object("payload", "$.sha"), 1, 8))).when(F.col("kind") == "pull_request", F.concat(F.lit("PR #"), F.get_json_object("payload", "$.number"))).when(F.col("kind") == "document.added", F.concat(F.lit("document "), F.coalesce(F.get_json_object("payload", "$.title"), F.lit(""))))
     about = F.concat_ws(" ", F.get_json_object("payload", "$.title"), F.get_json_object("payload", "$.message"), F.get_json_object("payload", "$.files"), F.get_json_object("payload", "$.content_digest"))
     stack = e.withColumn("label", label).where("label IS NOT NULL").select("project_id", "session_id", "id", "label", F.explode(F.slice(rules.technologies(about), 1, STACK)).alias("tech"))
-    stack = stack.groupBy("project_id", "label", "tech").agg(F.min("id").alias("id")).withColumn("session_id", F.lit(None).cast("string"))
-    out.append(_candidate(stack, "stack", "episodic", "episodic.stack", F.concat(F.lit("Uses "), "tech", F.lit(" ("), "label", F.lit(")")), 0.5, 0.5, F.col("tech"), "what the project is made of"))
+    stack = stack.groupBy("project_id", "label", "tech").agg(F.min("id").alias("id"), F.max("id").alias("last")).withColumn("session_id", F.lit(None).cast("string"))
+    out.append(_candidate(stack, "stack", "episodic", "episodic.stack", F.concat(F.lit("Uses "), "tech", F.lit(" ("), "label", F.lit(")")), 0.5, 0.5, F.col("tech"), "what the project is made of", "last"))
     return reduce(DataFrame.unionByName, out)
 
 

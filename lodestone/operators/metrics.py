@@ -73,3 +73,31 @@ GATES = {
     "token_budget_compliance_failure": ("min", 1.0), "token_oracle_gap_mean": ("max", 2.5), "stale_cited_memories": ("max", 1), "duplicate_surfaced_pairs": ("max", 1),
     "unresolved_contradicted_memories": ("max", 1),
 }
+
+
+KINDS = ("procedural", "decision", "failure")
+
+
+def gate_values(outcomes: DataFrame, returned: DataFrame, answers: DataFrame, conflicts: DataFrame, merges: DataFrame, counts: DataFrame, k: int = 5) -> DataFrame:
+    """The value of each gate of ``GATES`` (metric, value), from what a run of the benchmark left.
+
+    ``outcomes`` are as at the top, with kind, oracle (the fewest tokens that would do) and satisfied; ``returned``
+    as for ``leakage``; ``answers`` are temporal questions (correct), ``conflicts`` declared groups (correct),
+    ``merges`` expected merges (done); ``counts`` has the audits' rows (metric, n). Each table is read once and
+    leaves a few rows; a metric without rows is 0.
+    """
+    share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    rows = retrieval(outcomes, k).join(outcomes.select("query_id", "kind", "oracle", "satisfied", (F.col("used") <= F.col("budget")).alias("kept"), "used"), "query_id")
+    of = lambda kind, c: F.coalesce(F.avg(F.when(F.col("kind") == kind, F.col(c).cast("double"))), F.lit(0.0))
+    typed = {f"{name}_{kind}": of(kind, c) for kind in KINDS for name, c in (("retrieval_precision", "precision_at_k"), ("retrieval_recall", "recall_at_k"), ("token_budget_compliance", "kept"))}
+    gap = F.coalesce(F.avg(F.when(F.col("kind").isin(*KINDS) & F.col("satisfied"), F.col("used") / F.col("oracle"))), F.lit(0.0))
+    all_ = {"retrieval_precision_at_k": share("precision_at_k"), "retrieval_recall_at_k": share("recall_at_k"), "irrelevant_leakage_rate": share("leaked"), "token_budget_compliance": share("kept"), "token_oracle_gap_mean": gap, **typed}
+    wide = [rows.agg(*(v.alias(n) for n, v in all_.items())), leakage(returned).select(F.coalesce("top1", F.lit(0.0)).alias("cross_project_top1_rate"))]
+    wide += [df.agg(share(c).alias(name)) for df, c, name in ((answers, "correct", "temporal_accuracy"), (conflicts, "correct", "contradiction_accuracy"), (merges, "done", "consolidation_quality"))]
+    out = None
+    for w in wide:
+        long = w.unpivot([], w.columns, "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    names = outcomes.sparkSession.createDataFrame([(x,) for x in ("stale_cited_memories", "duplicate_surfaced_pairs", "unresolved_contradicted_memories")], "metric string")
+    audits = names.join(counts.groupBy("metric").agg(F.sum("n").cast("double").alias("value")), "metric", "left")
+    return out.unionByName(audits.select("metric", F.coalesce("value", F.lit(0.0)).alias("value")))

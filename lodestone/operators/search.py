@@ -7,6 +7,7 @@ merged by id, checked against the request's time and scope once more, rid of cop
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import INTENTS, LIVE, STATUSES, STOPWORDS
-from ..functions import scoring, scopes, temporal, text
+from ..functions import extraction, scoring, scopes, temporal, text
 from . import graph, memory, packing, postings, similarity, vector_index
+from .mutations import ACCESS
+from .versions import Versioned
 
 # How much each channel may bring.
 LEXICAL, VECTORS, LEAST_COSINE = 50, 50, 0.05
+MOST_REFS, RERANKED = 5, 50
 PER_ENTITY, ENTITIES, EXPANSION, SEEDS, SHORTCUTS, SHORTCUT_BOOST = 30, 60, 40, 5, 10, 0.9
 MATCHES = 8  #: entities of a question
 
@@ -57,6 +61,9 @@ class Sources:
     failures: DataFrame | None = None
     index: vector_index.Index | None = None
     postings: postings.Postings | None = None
+    refs: DataFrame | None = None  #: code references: id, repository, path, commit, blob
+    symbols: DataFrame | None = None  #: repository, path, name, line_start
+    projects: DataFrame | None = None  #: project_id, name, description, digest (a map)
 
 
 def intent_of(query: str) -> str:
@@ -241,9 +248,72 @@ def working_candidates(sources: Sources, request: Request) -> DataFrame | None:
     return sources.working.where(live)
 
 
-def search(request: Request, sources: Sources, query_vector: DataFrame | None = None) -> dict:
+def referenced(rows: DataFrame, refs: DataFrame, symbols: DataFrame | None, most: int = MOST_REFS) -> DataFrame:
+    """Code references of each row (id, content): id, code_refs, by repository and path.
+
+    A reference has the first symbol of its file, by line and name, that the content names as a whole word. Beyond
+    ``most`` there is one more entry that counts the rest. Rows are a request's candidates; their references are
+    joined once, and only their files' symbols are gathered.
+    """
+    order = Window.partitionBy("id").orderBy("repository", "path")
+    mine = refs.join(rows.select("id", "content"), "id")
+    mine = mine.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("id"))).where(F.col("k") <= most + 1)
+    real, none = F.col("k") <= most, F.lit(None).cast("string")
+    if symbols is None:
+        mine = mine.withColumn("symbol", none)
+    else:
+        files = mine.where(real).select("repository", "path").distinct()
+        names = symbols.join(files, ["repository", "path"], "left_semi").groupBy("repository", "path").agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("named"))
+        mine = mine.join(names, ["repository", "path"], "left").withColumn("symbol", extraction.first_symbol(F.col("content"), F.transform("named", lambda x: x["name"])))
+    more = F.concat(F.lit("<"), (F.col("n") - most).cast("string"), F.lit(" more refs>"))
+    entry = F.struct(
+        F.col("k").alias("k"), F.col("repository").alias("repository"), F.when(real, F.col("commit")).otherwise("").alias("commit"), F.when(real, F.col("path")).otherwise(more).alias("path"),
+        F.when(real, F.col("symbol")).otherwise(none).alias("symbol"), F.when(real, F.col("blob")).otherwise(none).alias("evidence"))
+    return mine.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("k")).alias("code_refs"))
+
+
+def attached(rows: DataFrame, sources: Sources, most: int = MOST_REFS) -> DataFrame:
+    """Candidates with code_refs and conflicts (ids and what they mean); both are empty arrays where there are none."""
+    if sources.refs is not None:
+        rows = rows.join(referenced(rows, sources.refs, sources.symbols, most), "id", "left")
+        rows = rows.withColumn("code_refs", F.coalesce("code_refs", F.array().cast(rows.schema["code_refs"].dataType)))
+    if sources.edges is not None and "relation" in sources.edges.columns:
+        disputed = conflict_labels(rows.where("status = 'disputed'").select("id"), sources.edges)
+        told = F.lit("contradicts this memory"), F.lit("disputed; nothing that contradicts it is linked")
+        note = lambda i, n: F.struct(i.alias("memory_id"), n.alias("note"))
+        named = F.when(F.size("conflicts") > 0, F.transform("conflicts", lambda x: note(x, told[0]))).otherwise(F.array(note(F.col("id").cast("long"), told[1])))
+        rows = rows.join(disputed.select("id", named.alias("conflicts")), "id", "left")
+        rows = rows.withColumn("conflicts", F.coalesce("conflicts", F.array().cast(rows.schema["conflicts"].dataType)))
+    return rows
+
+
+def project_digest(request: Request, sources: Sources, intent: str) -> dict | None:
+    """The digest of the request's project, for questions about context."""
+    if intent != "context" or request.project_id is None or sources.projects is None:
+        return None
+    found = sources.projects.where(F.col("project_id") == request.project_id).limit(1).collect()
+    if not found:
+        return None
+    if not found[0]["digest"]:
+        request.warnings.append("the project's digest is not built yet")
+    return {"name": found[0]["name"], "description": found[0]["description"], "digest": found[0]["digest"] or {}}
+
+
+def reordered(found: list[dict], request: Request, rerank: Callable[[str, list[str]], list[float]], most: int = RERANKED) -> list[dict]:
+    """The first ``most`` results by a reranker's scores, the rest as they were. One that fails changes nothing."""
+    try:
+        scores = rerank(request.query, [x["content"] for x in found[:most]])
+        order = sorted(range(len(scores)), key=lambda k: (-scores[k], k))
+        return [found[k] for k in order] + found[len(scores) :]
+    except Exception as e:  # the order that there is stands
+        request.warnings.append(f"rerank failed: {e}; the fused order is kept")
+        return found
+
+
+def search(request: Request, sources: Sources, query_vector: DataFrame | None = None, rerank: Callable[[str, list[str]], list[float]] | None = None, accessed: Versioned | None = None) -> dict:
     """The packed response of one request. Rows that reach the driver are a request's candidates, which the
-    channels' limits bound (some two hundred)."""
+    channels' limits bound (some two hundred). ``accessed`` is the table of memories whose log gets a row for each
+    one returned; a log that can't be written is a warning."""
     spark = sources.memories.sparkSession
     matched, required = [], []
     if sources.entities is not None:
@@ -255,17 +325,30 @@ def search(request: Request, sources: Sources, query_vector: DataFrame | None =
             request.warnings += [f"entity '{r.name}' is not known: nothing can match" for r in names if r.entity_id is None]
     intent, scope = intent_of(request.query), scopes.time_scope(request.query, request.now)
     head = {"intent": intent, "keywords": keywords_of(request.query), "entities": matched, "time_scope": scope, "warnings": request.warnings}
+    digest = project_digest(request, sources, intent)
+    if digest is not None:
+        head["project_digest"] = digest
     if len(required) < len(set(request.entities)):
         return head | {"memories": [], "used": 0, "budget": request.max_tokens}
-    rows = ranked(request, sources, query_vector, matched, required)
-    shown = rows.select("id", "type", "status", "content", "score", "relevance", "explain", "temporal_note", scopes.label(F.col("content")).alias("title"), scopes.summary(F.col("content")).alias("summary"))
+    rows = attached(ranked(request, sources, query_vector, matched, required), sources)
+    parts = ("valid_from", "valid_until", "source_kind", "code_refs", "conflicts")
+    shown = rows.orderBy(F.col("score").desc(), "id").select(
+        "id", "type", "status", "content", "score", "relevance", "explain", "temporal_note", scopes.label(F.col("content")).alias("title"), scopes.summary(F.col("content")).alias("summary"), *(c for c in parts if c in rows.columns))
     found = [r.asDict(recursive=True) for r in shown.collect()]
+    if rerank is not None:
+        found = reordered(found, request, rerank)
     working = working_candidates(sources, request)
     if working is not None:
         found += [{"id": f"w{r.id}", "type": "working", "status": "active", "content": r.content, "title": r.content[:60], "summary": r.content[:160], "score": 0.0, "relevance": 0.0, "explain": [], "temporal_note": "of this session"} for r in working.orderBy("id").limit(LEXICAL).collect()]
     packed, used = packing.pack(found, request.max_tokens, request.max_memories)
     if len(packed) < len(found):
         request.warnings.append(f"{len(found) - len(packed)} matches did not fit")
+    durable = [x["id"] for x in packed if x["type"] != "working"]
+    if accessed is not None and durable:
+        try:
+            accessed.commit(logs={"access": spark.createDataFrame([(i, request.now) for i in durable], ACCESS)})
+        except Exception as e:  # a search never fails for its log
+            request.warnings.append(f"accesses were not logged: {e}")
     return head | {"memories": packed, "used": used, "budget": request.max_tokens}
 
 

@@ -206,3 +206,31 @@ def evaluated(documents: DataFrame, most_chars: int = 8000) -> DataFrame:
     for a, b in zip(places, places[1:], strict=False):
         in_order &= a < b
     return documents.agg(F.avg(in_order.cast("double")).alias("section_completeness"), F.avg((F.char_length("markdown") <= most_chars).cast("double")).alias("compactness"))
+
+
+def _section(markdown, name):
+    """A section's body, up to the next heading."""
+    head = F.concat(F.lit("## "), name, F.lit("\n"))
+    return F.split_part(F.split_part(markdown, head, F.lit(2)), F.lit("\n## "), F.lit(1))
+
+
+def evaluation(cases: DataFrame, outcomes: DataFrame, documents: DataFrame, probes: DataFrame, most_chars: int = 8000) -> DataFrame:
+    """The six invariants of skill generation (metric, value, passed), each of which must be 1.
+
+    ``cases`` (key, reason, name) say why a group must be refused or what its skill is called; ``outcomes`` (key,
+    reason, name) what became of it. ``documents`` (name, markdown, again) are what was rendered, twice; ``probes``
+    (name, section, text) what a section must hold. A metric without cases is 1.
+    """
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(1.0))
+    met = cases.select("key", F.col("reason").alias("want"), F.col("name").alias("called")).join(outcomes.select("key", "reason", "name"), "key", "left")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    groups = met.agg(share(F.when(F.col("want").isNotNull(), same("want", "reason"))).alias("gate_accuracy"), share(F.when(F.col("called").isNotNull(), same("called", "name"))).alias("generation_accuracy"))
+    shape = evaluated(documents, most_chars).select(*(F.coalesce(c, F.lit(1.0)).alias(c) for c in ("section_completeness", "compactness")))
+    stable = documents.agg(share(same("markdown", "again")).alias("canonical_stability"))
+    grounded = probes.join(documents.select("name", "markdown"), "name", "left")
+    held = grounded.agg(share(F.coalesce(F.contains(_section(F.col("markdown"), F.col("section")), "text"), F.lit(False))).alias("content_grounding"))
+    out = None
+    for w in (groups, shape, stable, held):
+        long = w.unpivot([], w.columns, "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out.select("metric", "value", (F.col("value") == 1).alias("passed"))
