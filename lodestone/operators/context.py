@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scopes import label
+from ..functions.scopes import clipped, label
 from .packing import estimate
 
 # A section's tokens and lines in a session context, and shares of a digest.
@@ -32,10 +32,9 @@ def section_lines(current: DataFrame, line_chars: int = 120) -> DataFrame:
 def digest_lines(projects: DataFrame) -> DataFrame:
     """Lines of projects' digests (project_id, name, description, digest: a map of texts): name, description, entries
     by their keys, as rows of ``section_lines``."""
-    short = lambda c, n: F.when(F.char_length(c) > n, F.concat(F.rtrim(F.regexp_extract(F.left(c, F.lit(n - 1)), r"(?s)^(.*\S)(?:\s+\S*)?$", 1)), F.lit("…"))).otherwise(c)
     entries = F.filter(F.map_entries(F.coalesce("digest", F.create_map().cast("map<string,string>"))), lambda x: F.coalesce(x["value"], F.lit("")) != "")
-    entries = F.transform(F.array_sort(entries), lambda x: F.concat(F.replace(x["key"], F.lit("_"), F.lit(" ")), F.lit(": "), short(x["value"], 240)))
-    said = F.when(F.coalesce("description", F.lit("")) != "", F.array(F.concat(F.lit("description: "), short(F.col("description"), 200)))).otherwise(F.array().cast("array<string>"))
+    entries = F.transform(F.array_sort(entries), lambda x: F.concat(F.replace(x["key"], F.lit("_"), F.lit(" ")), F.lit(": "), clipped(x["value"], 240)))
+    said = F.when(F.coalesce("description", F.lit("")) != "", F.array(F.concat(F.lit("description: "), clipped(F.col("description"), 200)))).otherwise(F.array().cast("array<string>"))
     lines = F.concat(F.array(F.concat(F.lit("project: "), "name")), said, entries)
     rows = projects.select("project_id", F.posexplode(lines).alias("position", "line")).where(F.col("position") < SECTIONS[0][2])
     return rows.select("project_id", F.lit("digest").alias("section"), (F.col("position") + 1).alias("position"), F.lit(None).cast("long").alias("id"), "line")

@@ -25,18 +25,71 @@ REQUIRED = {
     "pull_request": ("number", "title"), "document.added": (), "explicit.remember": ("content",), "explicit.forget": ("memory_id",),
     "session.start": (), "session.end": (), "raw.unknown": (),
 }
+# What payload fields may be. A tuple lists choices; a number is the most characters of a text.
+TYPES = {
+    "conversation.message": {"role": ("user", "assistant"), "content": "text", "mentions": "list", "summary": "text"},
+    "conversation.tool_call": {"tool": "filled", "call_id": "filled", "arguments_digest": 400},
+    "conversation.tool_result": {"call_id": "filled", "ok": "flag", "output_digest": 2000, "tool": 80},
+    "terminal.output": {"command": "filled", "exit_code": "whole", "output_digest": 2000, "shell": "text"},
+    "error.raised": {"origin": ("terminal", "test", "build", "runtime", "tool"), "message": "filled", "context": 500, "stack_digest": "text"},
+    "test.results": {"framework": "text", "passed": "count", "failed": "count", "skipped": "count", "failures": "list"},
+    "file.changed": {"path": "filled", "change": ("created", "modified", "deleted", "renamed"), "old_path": "text", "lines_added": "whole", "lines_removed": "whole"},
+    "git.commit": {"sha": "filled", "message": "text", "author_name": "text", "files": "list"},
+    "pull_request": {"number": "whole", "title": "text", "state": ("opened", "merged", "closed"), "repo": "text", "review_digest": 1000},
+    "document.added": {"path": "text", "uri": "text", "mime": "text", "title": "text", "content_digest": "text"},
+    "explicit.remember": {"content": "filled", "type": ("semantic", "procedural", "decision", "preference", "failure"), "importance": "share", "tags": "list", "scope": ("project", "user", "global")},
+    "explicit.forget": {"purge": "flag", "reason": "text"},
+    "session.start": {"cwd": "filled", "project_hint": "text", "summary": "text"},
+    "session.end": {"cwd": "filled", "project_hint": "text", "summary": "text"},
+}
 MOST_ALTERNATIVES, LONGEST_DECISION, LONGEST_OPTION, LONGEST_RATIONALE, WINDOW = 3, 200, 120, 200, 400
 EVIDENCE, STACK = 200, 3
 
 
-def validated(events: DataFrame) -> DataFrame:
+def _holds(value: Column, rule) -> Column:
+    """Whether a payload's field, as a variant, is what it may be."""
+    kind = F.schema_of_variant(value)
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    if isinstance(rule, tuple):
+        return (kind == "STRING") & text.isin(*rule)
+    if isinstance(rule, int):
+        return (kind == "STRING") & (F.char_length(text) <= rule)
+    whole = (kind == "BIGINT") | (kind.rlike("^(?:DECIMAL|DOUBLE)") & (number == F.floor(number)))
+    return {
+        "text": kind == "STRING", "filled": (kind == "STRING") & (text != ""), "flag": kind == "BOOLEAN", "list": kind.startswith("ARRAY"), "whole": whole, "count": whole & (number >= 0),
+        "share": kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE)") & number.between(0, 1),
+    }[rule]
+
+
+def mistyped(kind: Column, payload: Column) -> Column:
+    """Payload fields that are there and not what they may be, as issues, by name; a field that is null counts as
+    absent, and a document needs one of path and uri."""
+
+    def found(v):
+        field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+        there = lambda name: field(name).isNotNull() & ~F.is_variant_null(field(name))
+        wrong = {k: [F.when(there(n) & ~F.coalesce(_holds(field(n), rule), F.lit(False)), f"payload.{n}") for n, rule in sorted(fields.items())] for k, fields in TYPES.items()}
+        wrong["document.added"].append(F.when(there("path") == there("uri"), "payload.path or uri"))
+        out = None
+        for k, issues in wrong.items():
+            case = F.array_compact(F.array(*issues))
+            out = F.when(kind == k, case) if out is None else out.when(kind == k, case)
+        return out.otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(text.once(F.try_parse_json(payload), found), F.array().cast("array<string>"))
+
+
+def validated(events: DataFrame, typed: bool = False) -> DataFrame:
     """Events with stored_kind and issues: an unknown kind becomes raw.unknown; what an envelope (id, occurred_at) or
-    a payload lacks is an issue, and an event with issues is a dead letter."""
+    a payload lacks is an issue, and an event with issues is a dead letter. With ``typed``, fields of a wrong type,
+    length or choice are issues too."""
     known = F.col("kind").isin(*REQUIRED)
     kind = F.when(known, F.col("kind")).otherwise("raw.unknown")
     lacks = lambda name: F.get_json_object("payload", f"$.{name}").isNull()
     wants = [F.when((F.col("kind") == k) & lacks(name), f"payload.{name}") for k, names in REQUIRED.items() for name in names]
     issues = F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in ("id", "occurred_at")), F.when(F.col("payload").isNull() | ~F.get_json_object("payload", "$").isNotNull(), "payload"), *wants))
+    if typed:
+        issues = F.array_union(issues, mistyped(F.col("kind"), F.col("payload")))
     return events.withColumn("stored_kind", kind).withColumn("issues", issues)
 
 
@@ -282,7 +335,7 @@ def resolutions(e: DataFrame) -> DataFrame:
     """Failures of normalised events with the first later success of their session that is related: the same command,
     a test run, the same tool, or a token in common that isn't the executable."""
     run = F.element_at(F.split("normal", " "), 1)
-    tokens = rules.significant(F.coalesce(F.concat_ws(" ", "error", "context"), "command", F.lit("")))
+    tokens = rules.significant(F.coalesce(F.when(F.col("error").isNotNull(), F.concat_ws(" ", "error", "context")), "command", F.lit("")))
     shared = F.concat(
         F.array_compact(F.array(F.concat(F.lit("run "), "normal"), F.when(F.col("failed").isNotNull() | (F.col("origin") == "test"), "tests"), F.concat(F.lit("tool "), "tool"))),
         F.coalesce(F.filter(tokens, lambda x: x != F.coalesce(run, F.lit(""))), F.array().cast("array<string>")))

@@ -173,3 +173,16 @@ def bind_entities(table: Versioned, bindings: DataFrame) -> int:
     once = bindings.groupBy("memory_id", "entity_id").agg(F.max(F.struct(F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("role", F.lit("context")).alias("role"))).alias("b"))
     rows = once.select(key.alias("id"), "memory_id", "entity_id", "b.role", "b.weight")
     return table.commit(rows.join(table.read(state=state).select("memory_id", "entity_id"), ["memory_id", "entity_id"], "left_anti"), since=state)
+
+
+def get_or_create(table: Versioned, rows: DataFrame, by: list[str]) -> DataFrame:
+    """Sources, projects or users (id and what else the table has) by their natural key ``by``, null equal to null:
+    one that is there stands, else the least id of the new ones is made. Returns id, stands and outcome."""
+    state = table.state()
+    there = table.read(state=state).groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min("id").alias("there"))
+    first = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min("id").alias("first"))
+    same = lambda mark: [F.col(c).eqNullSafe(F.col(f"{mark}{c}")) for c in by]
+    asked = rows.join(first, same("_")).join(there, same("__"), "left")
+    asked = asked.withColumn("outcome", F.when(F.col("there").isNull() & (F.col("id") == F.col("first")), "created").otherwise("exists")).withColumn("stands", F.coalesce("there", "first"))
+    table.commit(asked.where("outcome = 'created'").select(*table.schema(state).fieldNames()), since=state)
+    return asked.select("id", "stands", "outcome")

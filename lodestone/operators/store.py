@@ -5,6 +5,9 @@ Nothing is updated in place. Writes return the rows to append; reads fold a log
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,10 +15,19 @@ from pyspark.sql.window import Window
 from ..constants import LIVE
 from ..functions import temporal, text
 from . import lifecycle, memory
+from .lineage import cut
 
 SCOPE = ["project_id", "user_id"]
 
 
+def raw_events(events: DataFrame, project: str | None = None, user: str | None = None) -> DataFrame:
+    """How many raw events a scope holds (n); without a project or user, all."""
+    for name, value in (("project_id", project), ("user_id", user)):
+        if value is not None:
+            events = events.where(F.col(name) == value)
+    return events.agg(F.count("*").alias("n"))
+
+
 def pending(events: DataFrame, log: DataFrame, limit: int) -> DataFrame:
     """The oldest events that no processing row (id, seq, processed_at) has marked as processed."""
     done = log.where("processed_at IS NOT NULL").select("id").distinct()
@@ -188,9 +200,52 @@ def upserted_vectors(log: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
 
 
 def to_embed(memories: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
-    """Distinct contents that want a vector of a model, with the ids that share each; a content is embedded once."""
+    """Distinct contents that want a vector of a model (content_hash, content, copies, first): a content is embedded
+    once, however many memories share it; ``reembedded`` gives it to each by the hash."""
     have = vectors.where(F.col("model") == model).select("id")
-    return memories.join(have, "id", "left_anti").groupBy("content_hash").agg(F.min("content").alias("content"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return memories.join(have, "id", "left_anti").groupBy("content_hash").agg(F.min("content").alias("content"), F.count("*").alias("copies"), F.min("id").alias("first"))
+
+
+class StaleJob(Exception):
+    """A job is for another model or revision than the embedder's."""
+
+
+def by_batches(embed: Callable[[list[str]], list[list[float]]], size: int = 32) -> Callable[[DataFrame], DataFrame]:
+    """An embedder of lists of texts as a step over contents (content_hash, content), so many at a time."""
+
+    def run(frames):
+        for frame in frames:
+            for k in range(0, len(frame), size):
+                part = frame.iloc[k : k + size]
+                got = embed([x or "" for x in part["content"]])
+                if len(got) != len(part):
+                    raise ValueError(f"the embedder gave {len(got)} vectors for {len(part)} texts")
+                yield pd.DataFrame({"content_hash": part["content_hash"], "embedding": [[float(v) for v in x] for x in got]})
+
+    return lambda contents: contents.select("content_hash", "content").mapInPandas(run, "content_hash string, embedding array<double>")
+
+
+def reembedded(memories: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], model: str, revision: str | None, dim: int, wanted: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vectors of a model and revision for memories that have none: (rows to write, refused).
+
+    ``vectors`` are what there is (id, model, revision); ``embed`` turns distinct contents (content_hash, content)
+    into (content_hash, embedding). A job that wants another model or revision is stale and writes nothing.
+    Vectors of another size than ``dim``, or with entries that are no finite numbers, are refused with a reason.
+    """
+    wanted = wanted or {}
+    for name, is_ in (("model", model), ("revision", revision)):
+        if name in wanted and wanted[name] != is_:
+            raise StaleJob(f"the job is for {name} {wanted[name]!r}, the embedder has {is_!r}")
+    have = vectors.where((F.col("model") == model) & F.col("revision").eqNullSafe(F.lit(revision))).select("id")
+    open_ = memories.join(have, "id", "left_anti").select("id", "content_hash", "content")
+    contents = open_.groupBy("content_hash").agg(F.min("content").alias("content"))
+    made = cut(embed(contents))
+    bad = F.coalesce((F.size("embedding") != dim), F.lit(True))
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.when(bad, "dimension").when(odd, "not finite").alias("reason")
+    each = open_.select("id", "content_hash").join(made.select("content_hash", "embedding", reason), "content_hash")
+    good = each.where("reason IS NULL").select("id", F.lit(model).alias("model"), F.lit(revision).cast("string").alias("revision"), "embedding")
+    return good, each.where("reason IS NOT NULL").select("id", "content_hash", "reason")
 
 
 def hashed_vector(content: Column, dim: int = 64) -> Column:

@@ -22,7 +22,7 @@ def oracle_of(name: str) -> str:
 
 
 def _load() -> None:
-    from . import event_queries, index_queries, memory_queries, more_queries, response_queries, rest_queries, search_queries, state_queries, store_queries  # noqa: F401
+    from . import event_queries, index_queries, intake_queries, memory_queries, more_queries, response_queries, rest_queries, search_queries, state_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -173,7 +173,7 @@ def vector_upserts(spark, d):
 @query("embedding_pool", f"WITH {MEM} SELECT content_hash, count(*) AS copies, min(id) AS first FROM mem WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) GROUP BY content_hash")
 def embedding_pool(spark, d):
     have = views.read(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.lit("m").alias("model"))
-    return store.to_embed(views.memories(spark, d), have, "m").select("content_hash", F.size("ids").cast("long").alias("copies"), F.get("ids", F.lit(0)).alias("first"))
+    return store.to_embed(views.memories(spark, d), have, "m").select("content_hash", "copies", "first")
 
 
 _FILES = "fl AS (SELECT 'r' || (page_id % 2) AS repository, 'src/' || (page_id % 9) || '/f' || page_id || (['.ts', '.py', '.tsx', '', '.md'])[page_id % 5 + 1] AS path FROM pages)"

@@ -36,6 +36,46 @@ def index_entries(listing: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(field(x, 1).alias("mode"), field(x, 2).alias("blob"), field(x, 3).alias("stage"), field(x, 4).alias("path")))
 
 
+def valid_path(path: Column) -> Column:
+    """Whether a path can be one of a repository: relative, with no empty part, none that goes up, and no NUL."""
+    return (path != "") & ~path.rlike(r"(?:^|/)(?:\.\.?)?(?:/|$)|[\x00\\]|^[A-Za-z]:")
+
+
+def _fields(listing: Column) -> Column:
+    """The fields of a NUL-terminated listing; null where the last one isn't ended."""
+    whole = (listing == "") | F.endswith(listing, F.lit("\0"))
+    return F.when(whole, F.when(listing == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(listing, F.lit(1), F.char_length(listing) - 1), "\0")))
+
+
+def path_entries(listing: Column) -> Column:
+    """Paths of a NUL-terminated listing; null for one that isn't ended or has a path that can't be."""
+    fields = _fields(listing)
+    return F.when(F.forall(fields, valid_path), fields)
+
+
+def rename_entries(listing: Column) -> Column:
+    """Renames (previous_path, path) of a NUL-terminated diff with statuses; null where it can't be read.
+
+    A status has one path, a rename or a copy two. Fields are read in one pass, which carries what it waits for.
+    """
+    empty = F.array().cast("array<struct<previous_path:string,path:string>>")
+    start = F.struct(F.lit("").alias("status"), F.lit(None).cast("string").alias("before"), empty.alias("found"), F.lit(False).alias("bad"))
+
+    def step(s, x):
+        two = s["status"].rlike("^[RC]")
+        first, second = two & s["before"].isNull(), two & s["before"].isNotNull()
+        is_status = x.rlike(r"^(?:[ACDMRTUXB]|[RC]\d{1,3})$")
+        fresh = s["status"] == ""
+        status = F.when(fresh, x).when(first, s["status"]).otherwise("")
+        before = F.when(~fresh & first, x)
+        pair = F.array(F.struct(s["before"].alias("previous_path"), x.alias("path")))
+        found = F.when(~fresh & second & s["status"].startswith("R"), F.concat(s["found"], pair)).otherwise(s["found"])
+        bad = s["bad"] | F.when(fresh, ~is_status).otherwise(~valid_path(x))
+        return F.struct(status.alias("status"), before.alias("before"), found.alias("found"), bad.alias("bad"))
+
+    return F.aggregate(_fields(listing), start, step, lambda s: F.when(~s["bad"] & (s["status"] == ""), s["found"]))
+
+
 def language(path: Column) -> Column:
     table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)))

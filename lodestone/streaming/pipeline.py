@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_hash, is_excluded
 from ..operators import consolidation, extraction, lifecycle, redaction, store
+from ..operators.lineage import file_system
 from .ingest import KEYS, inserted
 
 MEMORY = "id long, project_id string, user_id string, type string, content string, content_hash string, status string, importance double, confidence double, observed_at timestamp_ntz"
@@ -19,15 +20,15 @@ EVENT = "id long, project_id string, session_id string, kind string, payload str
 
 def _log(spark, path: str, schema: str) -> DataFrame:
     """A log as it is, empty where nothing was written yet."""
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    fs, at = file_system(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
 
 
 def accepted(raw: DataFrame, project: str | None = None) -> DataFrame:
     """Raw events (id, project_id, session_id, kind, payload, occurred_at) with their outcome: dead_letter, excluded
     (a path that is kept out), foreign (another project's) or stored, and for stored ones the redacted payload and
     its hash."""
-    rows = extraction.validated(raw).withColumn("kind", F.col("stored_kind"))
+    rows = extraction.validated(raw, typed=True).withColumn("kind", F.col("stored_kind"))
     path = F.get_json_object("payload", "$.path")
     foreign = F.lit(False) if project is None else F.coalesce(F.col("project_id") != project, F.lit(False))
     outcome = F.when(F.size("issues") > 0, "dead_letter").when(F.coalesce(is_excluded(path), F.lit(False)), "excluded").when(foreign, "foreign").otherwise("stored")
@@ -41,11 +42,11 @@ def remembered(events: DataFrame, memories: DataFrame) -> DataFrame:
     """New memories out of a batch of stored events, in order of occurrence: extracted, gated, one a statement, none
     that is there already."""
     found = extraction.extracted(events).join(events.select("id", "occurred_at"), "id")
-    gated = lifecycle.gate(found.withColumn("evidence", F.lit(1)).withColumn("future", F.col("rationale"))).where("reason IS NULL")
+    gated = lifecycle.gate(found.withColumn("evidence", F.size("cited")).withColumn("future", F.col("rationale"))).where("reason IS NULL")
     once = consolidation.gate_merged(gated.select(F.col("project_id").alias("group"), "type", "content", "importance", "confidence", F.col("id").alias("position"), "entities", F.array("id").alias("evidence")))
     at = events.select(F.col("id").alias("first"), "occurred_at")
     rows = once.withColumn("first", F.array_min("evidence")).join(at, "first").select(
-        (F.col("first") * 100 + F.col("n")).alias("id"), F.col("group").alias("project_id"), F.lit(None).cast("string").alias("user_id"), extraction.durable_type(F.col("type"), F.lit("")).alias("type"), "content",
+        F.xxhash64("first", "group", "type", "content").bitwiseAND(F.lit((1 << 63) - 1)).alias("id"), F.col("group").alias("project_id"), F.lit(None).cast("string").alias("user_id"), extraction.durable_type(F.col("type"), F.lit("")).alias("type"), "content",
         canonical_hash(F.col("content")).alias("content_hash"), F.lit("active").alias("status"), "importance", "confidence", F.col("occurred_at").alias("observed_at"))
     return store.inserted(rows, memories)[0].where("outcome = 'inserted'").drop("outcome", "stands")
 
