@@ -243,7 +243,24 @@ def cross_project_leakage(spark, d):
     return metrics.leakage(r).select(F.round("leakage", 6).alias("leakage"), F.round("top1", 6).alias("top1"))
 
 
-@query("packed_results")
+_SIZE = lambda c: f"CAST(ceil(length({c}) / 4.0) AS BIGINT)"
+
+
+def _packed_sql() -> str:
+    """Summaries by score for a token, then contents, then titles, one item at a time."""
+    from .memory_queries import LEXICAL
+
+    return f"""WITH RECURSIVE {MEM}, {LEXICAL}, i AS (SELECT id, lexical_rank AS rank, ts_rank AS score, content, string_split(content, '.')[1] AS summary, left(content, 60) AS title FROM lex),
+  z AS (SELECT *, {_SIZE("title")} AS t, {_SIZE("summary")} AS s, {_SIZE("content")} AS c FROM i),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY phase, CASE WHEN phase = 1 THEN -score / greatest(1, s) ELSE 0 END, rank) AS k FROM z, (VALUES (1), (2), (3)) AS p(phase)),
+  f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS titles, CAST([] AS BIGINT[]) AS sums, CAST(NULL AS BIGINT) AS id, NULL::VARCHAR AS kind, CAST(0 AS BIGINT) AS tokens
+    UNION ALL SELECT o.k, CASE WHEN g THEN used + CASE phase WHEN 1 THEN s WHEN 2 THEN c - s ELSE t END ELSE used END, CASE WHEN g AND phase = 3 THEN titles + 1 ELSE titles END, CASE WHEN g AND phase = 1 THEN list_append(sums, o.id) ELSE sums END,
+      CASE WHEN g THEN o.id END, CASE phase WHEN 1 THEN 'summary' WHEN 2 THEN 'content' ELSE 'title-only' END, CASE phase WHEN 1 THEN s WHEN 2 THEN c ELSE t END
+    FROM (SELECT o.*, f.used, f.titles, f.sums, CASE phase WHEN 1 THEN s > 0 AND s <= 800 - used WHEN 2 THEN list_contains(sums, o.id) AND content <> summary AND c > s AND c - s <= 800 - used ELSE NOT list_contains(sums, o.id) AND titles < 10 AND t > 0 AND t <= 800 - used END AS g FROM f JOIN o ON o.k = f.k + 1) o)
+  SELECT CAST(1 AS BIGINT) AS query_id, f.id, CAST(z.rank AS INT) AS rank, f.kind, f.tokens FROM f JOIN z ON z.id = f.id QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY f.k DESC) = 1"""
+
+
+@query("packed_results", _packed_sql())
 def packed_results(spark, d):
     """The lexical top rows packed into 800 tokens: summaries, then contents, then titles."""
     from .memory_queries import _lexical

@@ -25,7 +25,10 @@ def key_detection(spark, d):
     return views.read(spark, d, "documents").select("doc_id", t.rlike("AKIA[0-9A-Z]{16}").alias("akia"), t.rlike("gh[pousr]_[A-Za-z0-9]{36}").alias("gh"), t.rlike(r"(?i)(password|passwd|pwd)\s*[=:]\s*\S").alias("password"))
 
 
-@query("derived_summaries")
+#: Sentences by a mark put behind their ends; a second mark says that a summary is full.
+@query("derived_summaries", f"""WITH {MEM}, p AS (SELECT id, list_filter(string_split(regexp_replace(trim(content), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM mem),
+  q AS (SELECT id, coalesce(s[1], '') AS f, rtrim(coalesce(list_reduce(s, lambda a, x: CASE WHEN ends_with(a, chr(2)) THEN a WHEN length(a || ' ' || x) > 160 THEN a || chr(2) ELSE a || ' ' || x END), ''), chr(2)) AS summary FROM p)
+  SELECT id, summary, CASE WHEN length(f) <= 60 THEN f ELSE rtrim(left(f, CAST(CASE WHEN length(left(f, 60)) - length(string_split(left(f, 60), ' ')[-1]) - 1 > 30 THEN length(left(f, 60)) - length(string_split(left(f, 60), ' ')[-1]) - 1 ELSE 60 END AS INT))) || '…' END AS label FROM q""")
 def derived_summaries(spark, d):
     m = views.memories(spark, d)
     return m.select("id", scopes.summary(F.col("content")).alias("summary"), scopes.label(F.col("content")).alias("label"))
@@ -130,14 +133,43 @@ def consolidation_quality(spark, d):
     return g.groupBy("type").agg(F.count("*").alias("groups"), F.round(F.avg(share), 6).alias("quality"))
 
 
-@query("session_contexts")
+_FIRST = "CASE WHEN regexp_matches(trim(content), '(?s)^.*?[.!?]\\s') THEN regexp_extract(trim(content), '(?s)^(.*?[.!?])\\s', 1) ELSE trim(content) END"
+_CUT = "left(f, 120)"
+_LAST = f"(length({_CUT}) - length(string_split({_CUT}, ' ')[-1]) - 1)"
+#: Lines of sections, and a row without one that opens each section of a project.
+_SECTIONS = f"""l0 AS (SELECT project_id, type AS section, id, {_FIRST} AS f, row_number() OVER (PARTITION BY project_id, type ORDER BY CASE WHEN type IN ('decision','failure') THEN 0.0 ELSE importance END DESC, observed_at DESC, id DESC) AS position
+  FROM mem WHERE project_id IS NOT NULL AND type IN ('decision','failure','procedural','preference') AND status IN ('active','stale') AND valid_from <= TIMESTAMP '2024-07-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-07-01') QUALIFY position <= CASE type WHEN 'decision' THEN 8 ELSE 6 END),
+  l AS (SELECT project_id, section, position, '- ' || CASE WHEN length(f) <= 120 THEN f ELSE rtrim(left({_CUT}, CAST(CASE WHEN {_LAST} > 60 THEN {_LAST} ELSE 120 END AS INT))) || '…' END AS line FROM l0)"""
+_SEQUENCE = """o AS (SELECT project_id, ord, share, title, position, line FROM sec JOIN l USING (section) UNION ALL SELECT project_id, ord, share, title, 0, NULL FROM sec, (SELECT DISTINCT project_id FROM l)),
+  r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord, position) AS k FROM o)"""
+
+
+@query("session_contexts", f"""WITH RECURSIVE {MEM}, {_SECTIONS}, sec(section, share, ord, title) AS (VALUES ('digest', 200, 0, ''), ('decision', 250, 1, ''), ('failure', 150, 2, ''), ('procedural', 100, 3, ''), ('preference', 50, 4, '')), {_SEQUENCE},
+  f AS (SELECT DISTINCT project_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS allowance, CAST(0 AS BIGINT) AS spent, CAST(0 AS BIGINT) AS used, '' AS text FROM r
+    UNION ALL SELECT f.project_id, r.k, CASE WHEN line IS NULL THEN least(750 - used, share + greatest(0, allowance - spent)) ELSE allowance END,
+      CASE WHEN line IS NULL THEN 0 WHEN CAST(ceil(length(line) / 4.0) AS BIGINT) <= allowance - spent THEN spent + CAST(ceil(length(line) / 4.0) AS BIGINT) ELSE spent END,
+      CASE WHEN line IS NOT NULL AND CAST(ceil(length(line) / 4.0) AS BIGINT) <= allowance - spent THEN used + CAST(ceil(length(line) / 4.0) AS BIGINT) ELSE used END,
+      CASE WHEN line IS NOT NULL AND CAST(ceil(length(line) / 4.0) AS BIGINT) <= allowance - spent THEN text || CASE WHEN text = '' THEN '' WHEN spent = 0 THEN chr(10) || chr(10) ELSE chr(10) END || line ELSE text END FROM f JOIN r ON r.project_id = f.project_id AND r.k = f.k + 1)
+  SELECT project_id, used, text FROM f QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY k DESC) = 1""")
 def session_contexts(spark, d):
     from ..operators import context
 
     return context.contexts(views.memories(spark, d).where(temporal.is_current(temporal.at(views.NOW))))
 
 
-@query("project_digests")
+_LINE = "CAST(ceil((length(line) + 1) / 4.0) AS BIGINT)"
+_TITLE = "CAST(ceil((length(title) + 1) / 4.0) AS BIGINT)"
+_FITS = f"(line IS NOT NULL AND {_LINE} <= allowance - spent)"
+
+
+@query("project_digests", f"""WITH RECURSIVE {MEM}, {_SECTIONS}, sec(section, share, ord, title) AS (VALUES ('decision', 0.5, 1, 'top decisions:'), ('failure', 0.3, 2, 'known failures:'), ('procedural', 0.2, 3, 'procedures:')), {_SEQUENCE},
+  h AS (SELECT DISTINCT project_id, CAST(ceil((length('project: ' || project_id) + 1) / 4.0) AS BIGINT) AS head FROM l),
+  f AS (SELECT project_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS allowance, CAST(0 AS BIGINT) AS spent, false AS has, head AS used, 'project: ' || project_id AS text FROM h
+    UNION ALL SELECT f.project_id, r.k, CASE WHEN line IS NULL THEN CAST(floor((300 - head) * CAST(share AS DOUBLE)) AS BIGINT) + CASE WHEN has THEN allowance - spent ELSE allowance END ELSE allowance END,
+      CASE WHEN line IS NULL THEN {_TITLE} WHEN {_FITS} THEN spent + {_LINE} ELSE spent END, CASE WHEN line IS NULL THEN false ELSE has OR {_FITS} END,
+      CASE WHEN {_FITS} THEN used + {_LINE} + CASE WHEN has THEN 0 ELSE {_TITLE} END ELSE used END,
+      CASE WHEN {_FITS} THEN text || CASE WHEN has THEN '' ELSE chr(10) || title END || chr(10) || line ELSE text END FROM f JOIN r ON r.project_id = f.project_id AND r.k = f.k + 1 JOIN h ON h.project_id = f.project_id)
+  SELECT project_id, used, text FROM f QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY k DESC) = 1""")
 def project_digests(spark, d):
     from ..operators import context
 

@@ -10,7 +10,7 @@ from ..functions import temporal
 from ..operators import consolidation, lifecycle, memory, search, similarity
 from ..sources import views
 from .memory_queries import AFFINITY, PAIRS
-from .registry import query
+from .registry import oracle_of, query
 from .views_sql import ACCESS, BOUND, EDGES, MEM, NOW, RECENCY, STATEMENTS
 
 NEAR = 0.3  #: least cosine of these queries, at which the tables' vectors form clusters
@@ -96,7 +96,15 @@ def derive_scores(spark, d):
         rows.where("type = 'episodic'"), _vectors(spark, d), ids.withColumn("entity_id", F.floor(F.col("id") / 6) % 7), ids.where("id % 17 = 0"), lifecycle.contradictions(rows), 0.1)
 
 
-@query("consolidation_pass")
+#: How contradictions of the live statements are settled, as a table ``done``.
+_LIVE = STATEMENTS.removesuffix(")") + " WHERE status IN ('active', 'stale'))"
+_DONE = oracle_of("contradiction_resolution").replace(STATEMENTS, _LIVE, 1).replace("\n  SELECT unnest(CASE", ",\n  done AS (SELECT unnest(CASE", 1) + ")"
+_FADED = f"sqrt(CASE WHEN type = 'decision' THEN greatest(importance, 0.5) ELSE importance END) * confidence * {RECENCY} * (1.0 + ln(1.0 + access_count)) < 0.05"
+
+
+#: At these bounds no two of the tables' vectors are near, so nothing is derived or merged.
+@query("consolidation_pass", _DONE + f""" SELECT 'contradiction' AS step, outcome, count(*) AS n FROM done GROUP BY outcome UNION ALL SELECT 'decay', 'decay', count(*) FROM mem WHERE status = 'active' AND id NOT IN (SELECT id FROM done) AND {_FADED} HAVING count(*) > 0
+  UNION ALL SELECT 'merge', 'near', count(*) FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {consolidation.MERGE_COSINE} HAVING count(*) > 0""")
 def consolidation_pass(spark, d):
     """How many rows each step of a whole pass settles, by outcome."""
     rows, ids = views.statements(spark, d), views.read(spark, d, "documents").select(F.col("doc_id").alias("id"))
@@ -132,11 +140,11 @@ _GRAMS = """g AS (SELECT id, type, project_id, unnest(list_transform(range(1, le
   c AS (SELECT id, type, project_id, gram, count(*) AS n FROM g GROUP BY ALL), w AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM c)"""
 
 
-@query("duplicate_audit", f"""WITH {MEM}, few AS (SELECT * FROM mem WHERE {"status IN ('active', 'stale') AND access_count >= 11"}), {_GRAMS},
+@query("duplicate_audit", f"""WITH {MEM}, few AS (SELECT * FROM mem WHERE status IN ('active', 'stale')), {_GRAMS},
   p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM w a JOIN w b ON a.gram = b.gram AND a.type = b.type AND a.project_id IS NOT DISTINCT FROM b.project_id AND a.id < b.id GROUP BY a.id, b.id)
   SELECT a, b, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.97""")
 def duplicate_audit(spark, d):
-    rows = views.memories(spark, d).where("status IN ('active', 'stale') AND access_count >= 11")
+    rows = views.memories(spark, d).where("status IN ('active', 'stale')")
     return similarity.text_pairs(rows, ["type", "project_id"], 0.97).withColumn("cosine", F.round("cosine", 6))
 
 

@@ -111,8 +111,13 @@ def entities_created(spark, d):
 _FADED = f"sqrt(CASE WHEN type = 'decision' THEN greatest(importance, 0.5) ELSE importance END) * confidence * {RECENCY} * (1.0 + ln(1.0 + access_count)) < 0.05"
 
 
-@query("pass_statuses", oracle_of("contradiction_resolution").replace("\n  SELECT unnest(CASE", ",\n  done AS (SELECT unnest(CASE", 1).replace(f"{STATEMENTS}, ", f"{MEM}, claims AS (SELECT * REPLACE ('Version:  tool ' || chr(CAST(97 + id % 26 AS INT)) || ' ' || (id % 7) || '.' || (id % 3) || ' in group g' || substr(md5(CAST(id // 40 AS VARCHAR)), 1, 4) AS content) FROM mem WHERE status = 'active' AND valid_until IS NULL), ", 1)
-       + f") SELECT id, coalesce(outcome, CASE WHEN status = 'active' AND valid_until IS NULL AND {_FADED} THEN 'archived' END, status) AS status, winner AS superseded_by FROM (SELECT mem.*, d.outcome, d.winner FROM mem LEFT JOIN done d USING (id))")
+#: How contradictions of the open active statements are settled, as a table ``done``.
+_OPEN = STATEMENTS.removesuffix(")") + " WHERE status = 'active' AND valid_until IS NULL)"
+_DONE = oracle_of("contradiction_resolution").replace(STATEMENTS, _OPEN, 1).replace("\n  SELECT unnest(CASE", ",\n  done AS (SELECT unnest(CASE", 1) + ")"
+
+
+@query("pass_statuses", _DONE + f""" SELECT id, coalesce(outcome, CASE WHEN status = 'active' AND valid_until IS NULL AND {_FADED} THEN 'archived' END, status) AS status, winner AS superseded_by
+  FROM (SELECT mem.*, d.outcome, d.winner FROM mem LEFT JOIN done d USING (id))""")
 def pass_statuses(spark, d):
     """Statuses after a consolidation pass without vectors that is run again and again: the second settles nothing."""
     rows = views.statements(spark, d).withColumn("id", F.col("id").cast("long")).withColumn("superseded_by", F.lit(None).cast("long"))
