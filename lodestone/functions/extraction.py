@@ -194,10 +194,14 @@ def slug(problem: Column, most: int = 6) -> Column:
     return F.when(out == "", "recurring-failure").otherwise(out)
 
 
+def names_in(content: Column, name: Column) -> Column:
+    """Whether the content holds a name as a whole identifier."""
+    return F.rlike(content, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}_])")))
+
+
 def first_symbol(content: Column, names: Column) -> Column:
     """The first of the names that the content holds as a whole identifier."""
-    word = lambda n: F.rlike(content, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), n, F.lit(r"\E(?![\p{L}\p{N}_])")))
-    return F.get(F.filter(names, word), F.lit(0))
+    return F.get(F.filter(names, lambda n: names_in(content, n)), F.lit(0))
 
 
 def module_of(path: Column) -> Column:

@@ -63,7 +63,7 @@ def build(documents: DataFrame, segment: int = SEGMENT) -> Postings:
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("id").cast("long").alias("id"), "content")
-    segments = max(1, -(-rows.count() // segment))
+    segments = max(1, -(-rows.count() // segment), spark.sparkContext.defaultParallelism)  # of few documents too, all tasks get some
     dealt = rows.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments))).repartition("segment")
     words = dealt.select("segment", "id", F.explode(text.tokens(F.col("content"))).alias("term"))
     counts = words.groupBy("segment", "id", "term").agg(F.count("*").cast("int").alias("n"))

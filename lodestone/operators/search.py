@@ -252,24 +252,32 @@ def referenced(rows: DataFrame, refs: DataFrame, symbols: DataFrame | None, most
     """Code references of each row (id, content): id, code_refs, by repository and path.
 
     A reference has the first symbol of its file, by line and name, that the content names as a whole word. Beyond
-    ``most`` there is one more entry that counts the rest. Rows are a request's candidates; their references are
-    joined once, and only their files' symbols are gathered.
+    ``most`` there is one more entry that counts the rest. References are cut to so many before contents are
+    joined, and each name is looked for once in a content, however many of its files have it.
     """
-    order = Window.partitionBy("id").orderBy("repository", "path")
-    mine = refs.join(rows.select("id", "content"), "id")
+    order, none = Window.partitionBy("id").orderBy("repository", "path"), F.lit(None).cast("string")
+    mine = refs.join(rows.select("id"), "id", "left_semi")
     mine = mine.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("id"))).where(F.col("k") <= most + 1)
-    real, none = F.col("k") <= most, F.lit(None).cast("string")
+    real = F.col("k") <= most
     if symbols is None:
-        mine = mine.withColumn("symbol", none)
+        mine = mine.withColumn("names", F.array().cast("array<string>"))
     else:
         files = mine.where(real).select("repository", "path").distinct()
-        names = symbols.join(files, ["repository", "path"], "left_semi").groupBy("repository", "path").agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("named"))
-        mine = mine.join(names, ["repository", "path"], "left").withColumn("symbol", extraction.first_symbol(F.col("content"), F.transform("named", lambda x: x["name"])))
+        named = symbols.join(files, ["repository", "path"], "left_semi").groupBy("repository", "path").agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("named"))
+        mine = mine.join(named, ["repository", "path"], "left").withColumn("names", F.when(real, F.transform("named", lambda x: x["name"])))
     more = F.concat(F.lit("<"), (F.col("n") - most).cast("string"), F.lit(" more refs>"))
     entry = F.struct(
         F.col("k").alias("k"), F.col("repository").alias("repository"), F.when(real, F.col("commit")).otherwise("").alias("commit"), F.when(real, F.col("path")).otherwise(more).alias("path"),
-        F.when(real, F.col("symbol")).otherwise(none).alias("symbol"), F.when(real, F.col("blob")).otherwise(none).alias("evidence"))
-    return mine.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("k")).alias("code_refs"))
+        F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.when(real, F.col("blob")).otherwise(none).alias("evidence"))
+    each = mine.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("entries")).join(rows.select("id", "content"), "id")
+    whole = lambda n: F.contains("content", n) & extraction.names_in(F.col("content"), n)
+    found = F.filter(F.array_distinct(F.flatten(F.transform("entries", lambda x: x["names"]))), whole)
+
+    def shaped(there):  # what is found is computed once for all entries
+        told = lambda x: F.get(F.filter(x["names"], lambda n: F.array_contains(there, n)), F.lit(0))
+        return F.transform("entries", lambda x: F.struct(x["repository"].alias("repository"), x["commit"].alias("commit"), x["path"].alias("path"), told(x).alias("symbol"), x["evidence"].alias("evidence")))
+
+    return each.select("id", text.once(found, shaped).alias("code_refs"))
 
 
 def attached(rows: DataFrame, sources: Sources, most: int = MOST_REFS) -> DataFrame:
