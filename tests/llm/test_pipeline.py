@@ -87,5 +87,5 @@ def test_quality_and_pieces_with_null_and_repeated_ids(spark):
 
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in queries.queries()}
-    assert names == {f"op{k}" for k in range(1, 11)}
+    assert names == {f"op{k}" for k in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
