@@ -53,7 +53,8 @@ class Versioned:
         _, at = file_system(self.spark, f"{self.path}/manifests/{state['version']:012d}")
         rename = jvm.org.apache.hadoop.fs.Options.Rename
         try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri()).rename(draft, at, gateway.new_array(rename, 0))
+            files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            files.rename(draft, at, gateway.new_array(rename, 0))
         except Exception as e:
             fs.delete(draft, False)
             if "FileAlreadyExists" in str(e):
