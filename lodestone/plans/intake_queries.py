@@ -54,6 +54,20 @@ def git_renames(spark, d):
     return found.select("id", F.array_join(F.transform("r", lambda x: F.concat_ws(">", x["previous_path"], x["path"])), ",").alias("renames"))
 
 
+@query("repository_capture", """WITH i AS (SELECT 'src/' || page_id AS path, sha1(html) AS staged FROM pages WHERE page_id % 5 <> 0 AND page_id % 11 <> 0), w AS (SELECT 'src/' || page_id AS path, CASE WHEN page_id % 13 <> 0 THEN CASE WHEN page_id % 3 = 0 THEN sha1(url) ELSE sha1(html) END END AS blob,
+  CASE WHEN page_id % 13 = 0 THEN 'excluded' END AS skipped FROM pages WHERE page_id % 7 <> 0)
+  SELECT path, blob, CASE WHEN skipped IS NOT NULL THEN NULL WHEN blob IS NULL THEN 'missing' WHEN blob = staged THEN 'committed' ELSE 'worktree' END AS tier, skipped FROM w FULL JOIN i USING (path)""")
+def repository_capture(spark, d):
+    """A snapshot against index listings, of which some entries don't count."""
+    p, k = views.read(spark, d, "pages"), F.col("page_id")
+    path = F.concat(F.lit("src/"), k.cast("string"))
+    stage = F.when(k % 11 == 0, "2").otherwise("0")
+    record = F.concat(F.when(k % 5 == 0, "160000").otherwise("100644"), F.lit(" "), F.sha1("html"), F.lit(" "), stage, F.lit("\t"), path, F.lit("\0"))
+    skipped = F.when(k % 13 == 0, "excluded")
+    files = p.where(k % 7 != 0).select(path.alias("path"), F.when(skipped.isNull(), F.when(k % 3 == 0, F.sha1("url")).otherwise(F.sha1("html"))).alias("blob"), skipped.alias("skipped"))
+    return repository.captured(files, p.select(record.alias("listing")))
+
+
 @query("reembedded_vectors", f"""WITH {MEM} SELECT id, CAST(length(content) AS DOUBLE) AS chars, CAST(length(replace(content, ' ', '')) AS DOUBLE) AS letters FROM mem WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0)""")
 def reembedded_vectors(spark, d):
     """Vectors of a new revision for memories without one; each distinct content is embedded once."""

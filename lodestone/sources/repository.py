@@ -36,6 +36,21 @@ def index_entries(listing: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(field(x, 1).alias("mode"), field(x, 2).alias("blob"), field(x, 3).alias("stage"), field(x, 4).alias("path")))
 
 
+def captured(files: DataFrame, listings: DataFrame) -> DataFrame:
+    """A repository's state from a snapshot (path, blob, skipped) and index listings (listing): path, blob, tier and
+    skipped.
+
+    A file whose bytes are those in the index is 'committed', one that differs or isn't in it 'worktree', one that
+    is in the index alone 'missing'. A file that was skipped has no blob and no tier. Entries of a merge under way
+    (a stage other than 0) and of other repositories (mode 160000) don't count.
+    """
+    entry = F.explode(index_entries(F.col("listing"))).alias("e")
+    staged = listings.select(entry).select("e.*").where("stage = '0' AND mode <> '160000'").groupBy("path").agg(F.max("blob").alias("staged"))
+    both = files.select("path", "blob", "skipped").join(staged, "path", "full_outer")
+    tier = F.when(F.col("skipped").isNotNull(), None).when(F.col("blob").isNull(), "missing").when(F.col("blob") == F.col("staged"), "committed").otherwise("worktree")
+    return both.select("path", "blob", tier.alias("tier"), "skipped")
+
+
 def valid_path(path: Column) -> Column:
     """Whether a path can be one of a repository: relative, with no empty part, none that goes up, and no NUL."""
     return (path != "") & ~path.rlike(r"(?:^|/)(?:\.\.?)?(?:/|$)|[\x00\\]|^[A-Za-z]:")
