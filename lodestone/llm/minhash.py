@@ -7,9 +7,9 @@ is skipped. Collisions of the pairs that meet in the prefix are counted on whole
 or above the match threshold are confirmed on full shingle sets.
 
 Equal sets form one class and only classes are compared. In a posting list, each class is first paired
-with a few others (leaders, and the next in size). Classes whose lists then still hold
-several components are joined once more by their rarest shingles, so no link between components is lost;
-pairs inside a component need no test.
+with a few others (leaders of the list, and of those that share the next coordinate too). Classes whose lists
+then still hold several components are joined once more by their rarest shingles, in cells that can hold
+similar sets, so no link between components is lost; pairs inside a component need no test.
 """
 
 from __future__ import annotations
@@ -157,16 +157,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
 
 def _meetings(posted: DataFrame, percent: int) -> DataFrame:
     """Pairs (c, other), a few for each posting: in each list, classes of about one size are paired with the
-    smallest document, with the most typical one and with the next in order of size, and the leaders of
-    neighbouring sizes with each other. A list that a third of all documents share is so many bands."""
+    smallest document, with the most typical one and with a leader of those that share the next coordinate too,
+    and the leaders of neighbouring sizes with each other. Leaders are aggregates: no list is ordered in one task."""
     band = F.floor(F.log(F.col("n")) / float(np.log(1.1)))
     posted = posted.withColumn("band", band)
     led = posted.groupBy("key", "band").agg(F.count("*").alias("size"), F.min(F.struct("rep", "c")).alias("least"), F.max(F.struct("typical", "c")).alias("most"))
     led = led.select("key", "band", "size", F.col("least.c").alias("least"), F.col("most.c").alias("most"))
-    inside = posted.join(led.where("size > 1"), ["key", "band"])
-    order = Window.partitionBy("key", "band").orderBy("n", "rep", "c")
-    inside = inside.withColumn("before", F.coalesce(F.lag("c").over(order), F.col("least")))
-    inside = inside.select("c", F.explode(F.array("least", "most", "before")).alias("other"))
+    inside = posted.join(written(led.where("size > 1"), "led"), ["key", "band"]).select("c", F.explode(F.array("least", "most")).alias("other"))
+    nearer = posted.groupBy("key", "second", "band").agg(F.count("*").alias("size"), F.min(F.struct("typical", "rep", "c")).alias("x"))
+    nearer = written(nearer.where("size > 1").select("key", "second", "band", F.col("x.c").alias("other")), "nearer")
+    inside = inside.union(posted.join(nearer, ["key", "second", "band"]).select("c", "other"))
     heads = led.select("key", "band", F.col("most").alias("c"))
     between = None
     for step in range(1, 1 + max(1, math.ceil(math.log(100 / percent) / math.log(1.1)))):  # sizes of similar sets are that near
@@ -177,15 +177,16 @@ def _meetings(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
-    """Postings (key, c, rep, typical, n) of the rarest coords - matches + 1 coordinates of each class, without
-    values that one class alone has; classes with fewer than ``matches`` other values have none."""
+    """Postings (key, second, c, rep, typical, n) of the rarest coords - matches + 1 coordinates of each class, without
+    values that one class alone has; classes with fewer than ``matches`` other values have none. ``second`` is the
+    class's next coordinate in that order."""
     each = classes.select("c", "rep", F.col("n").alias("shingles"), F.explode("sig").alias("key"))
     common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     each = each.join(written(common, "common"), "key")  # a table, so that Spark can split a value that very many share
     by = Window.partitionBy("c")
-    each = each.select("*", F.count("*").over(by).alias("n"), F.sum("df").over(by).alias("typical"), F.row_number().over(by.orderBy("df", "key")).alias("k"))
+    each = each.select("*", F.count("*").over(by).alias("n"), F.sum("df").over(by).alias("typical"), F.row_number().over(by.orderBy("df", "key")).alias("k"), F.lead("key").over(by.orderBy("df", "key")).alias("second"))
     alone = coords - F.col("n")
-    return written(each.where((F.col("n") >= matches) & (F.col("k") <= coords - matches + 1 - alone)).select("key", "c", "rep", "typical", F.col("shingles").alias("n")), "posted")
+    return written(each.where((F.col("n") >= matches) & (F.col("k") <= coords - matches + 1 - alone)).select("key", "second", "c", "rep", "typical", F.col("shingles").alias("n")), "posted")
 
 
 class _Tests:
@@ -232,17 +233,45 @@ class _Tests:
         common = shingles.join(written(often, "often"), "shingle").select("*", F.count("*").over(by).alias("n"), F.row_number().over(by.orderBy("df", "shingle")).alias("k"))
         least = F.ceil(F.col("size") * self.percent / 100)
         alone = F.col("size") - F.col("n")
-        rare = written(common.where((F.col("n") >= least) & (F.col("k") <= F.col("size") - least + 1 - alone)).select("shingle", "c", "comp", "size", "n", (alone + F.col("k")).alias("pos")), "rare")
+        pos = alone + F.col("k")
+        #: What a class shares with any other is at most what it shares with any at all and, where this is the
+        #: first shingle that both have, at most what follows it.
+        reach = F.least("n", 1 + F.col("size") - pos)
+        rare = common.where((F.col("n") >= least) & (pos <= F.col("size") - least + 1)).select("shingle", "c", "comp", "size", reach.alias("reach"))
+        bands = {"sizes": F.floor(F.log("size") / math.log(_SIZES)), "reaches": F.floor(_REACHES * F.col("reach") / F.col("size"))}
+        rare = written(rare.withColumns(bands), "rare")
         by_comp = rare.groupBy("shingle", "comp").agg(F.count("*").alias("many"))
         mixed = by_comp.groupBy("shingle").agg(F.count("*").alias("comps"), F.max(F.struct("many", "comp")).alias("main")).where("comps > 1")
-        rare = rare.join(mixed.select("shingle", F.col("main.comp").alias("main")), "shingle")
-        side = lambda rows, k, *more: rows.select("shingle", F.col("c").alias(k), *(F.col(m).alias(f"{m}_{k}") for m in ("comp", "size", "n", "pos")), *more)
-        #: What two classes share is at most what either shares with any other and, where this is the first
-        #: shingle that both have, at most what follows it in either.
-        shared = "least(n_x, n_y, 1 + size_x - pos_x, 1 + size_y - pos_y)"
-        alike = f"100 * {shared} >= {int(self.percent)} * (size_x + size_y - {shared})"
-        met = side(rare.where("comp <> main"), "x").join(side(rare, "y", "main"), "shingle")
-        return met.where(f"comp_x <> comp_y AND (comp_y = main OR x < y) AND {alike}").select("x", "y")
+        rare = written(rare.join(written(mixed.select("shingle", F.col("main.comp").alias("main")), "mixed"), "shingle"), "lists")
+        cells = written(_cells(rare, self.percent), "cells")
+        side = lambda rows, k: rows.select("shingle", "main", *(F.col(m).alias(f"{m}_{k}") for m in ("c", "comp", "size", "reach", "sizes", "reaches")))
+        met = side(rare.where("comp <> main"), "x").join(cells, ["shingle", "sizes_x", "reaches_x"])
+        met = met.join(side(rare, "y").drop("main"), ["shingle", "sizes_y", "reaches_y"])
+        return met.where(f"comp_x <> comp_y AND (comp_y = main OR c_x < c_y) AND {_alike(self.percent)}").select(F.col("c_x").alias("x"), F.col("c_y").alias("y"))
+
+
+#: Ratio of the sizes in a cell, and parts of the share of a set that can still be common.
+_SIZES, _REACHES = 1.05, 50
+
+
+def _alike(percent: int) -> str:
+    """Whether sets of these sizes, sharing at most the smaller reach, can be similar enough."""
+    shared = "least(reach_x, reach_y)"
+    return f"100 * {shared} >= {int(percent)} * (size_x + size_y - {shared})"
+
+
+def _cells(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of cells (size by reach) of a shingle's list whose classes can be similar, by each cell's bounds.
+
+    A template that many documents share fills cells that can't meet unless its rows may be near copies, so
+    they are never paired. A list has as many cells as it has sizes and reaches, however many rows it has.
+    """
+    cells = rare.groupBy("shingle", "sizes", "reaches").agg(F.min("size").alias("size"), F.max("reach").alias("reach"))
+    far = 1 + math.ceil(math.log(100 / percent) / math.log(_SIZES))
+    x = cells.withColumn("step", F.explode(F.array(*(F.lit(k) for k in range(-far, far + 1)))))
+    x = x.select("shingle", (F.col("sizes") + F.col("step")).alias("sizes_y"), *(F.col(k).alias(f"{k}_x") for k in ("sizes", "reaches", "size", "reach")))
+    y = cells.select("shingle", *(F.col(k).alias(f"{k}_y") for k in ("sizes", "reaches", "size", "reach")))
+    return x.join(y, ["shingle", "sizes_y"]).where(_alike(percent)).select("shingle", "sizes_x", "reaches_x", "sizes_y", "reaches_y")
 
 
 def _exploder(batches):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import new_path
+from .tables import new_path, written
 
 #: Fixed by the WARC/1.1 format: how a revisit of an identical payload names its profile.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,7 +67,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     page = page.select("*", F.sha2("payload", 256).alias("sha256"))
     named = page.select("page_id", "url", "sha256", sha1_base32(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
-    chosen = named.groupBy("sha256").agg(F.max("page_id").alias("keeper"))
+    #: A table, so that both sides of the joins are shuffled for them alone: Spark then splits a payload that very many share.
+    chosen = written(named.groupBy("sha256").agg(F.max("page_id").alias("keeper")), "keepers")
     records = named.join(chosen, "sha256")
     response = (F.col("bytes") < min_bytes) | (F.col("page_id") == F.col("keeper"))
     records = records.withColumn("kind", F.when(response, "response").otherwise("revisit"))
@@ -93,25 +94,30 @@ def _payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record again: page_id, record_type, payload_digest, refers_to, header, payload and record (the
-    WARC record's bytes). A payload that its digest doesn't match stops the read."""
-    both = _records(spark, path).join(_payloads(spark, path), "sha256", "left")
+    """Every record again: page_id, payload_bytes, payload_digest, record_type, refers_to, header, payload and
+    record (the WARC record's bytes). A payload that its SHA-256 or the header's digest doesn't match, and a
+    block that is not as long as the header says, stop the read."""
+    held = _payloads(spark, path).select("sha256", "payload", sha1_base32(F.col("payload")).alias("sha1"))
+    both = _records(spark, path).join(held, "sha256", "left")
     block = F.when(F.col("record_type") == "response", F.concat(F.lit(_HTTP.encode()), F.col("payload"))).otherwise(F.lit(b""))
-    return both.select("page_id", "record_type", "payload_digest", "refers_to", "header", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
+    said = F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nContent-Length: (\d+)", 1).cast("long")
+    wrong = (
+        F.when(~F.col("payload_digest").eqNullSafe(F.col("sha1")), F.concat(F.lit("no payload with the digest "), F.col("payload_digest")))
+        .when(~said.eqNullSafe(F.octet_length(block).cast("long")), F.concat(F.lit("block of another length than "), F.coalesce(said.cast("string"), F.lit("none"))))
+    )
+    digest = F.when(wrong.isNull(), F.col("sha1")).otherwise(F.raise_error(wrong).cast("string"))
+    return both.select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to",
+        "header", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The records without payload bytes: page_id, payload_bytes, payload_digest, record_type, refers_to. The
-    digests of every payload are computed again; those in the headers must equal them."""
-    sizes = _payloads(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("sha1"))
-    both = _records(spark, path).join(sizes, "sha256", "left")
-    same = F.col("payload_digest").eqNullSafe(F.col("sha1"))
-    digest = F.when(same, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("no payload with the digest "), F.col("payload_digest"))).cast("string"))
-    return both.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    """The columns of ``read_records`` up to refers_to, of records rebuilt and checked."""
+    return read_records(spark, path).drop("header", "payload", "record")
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to an archive in the shared folder and read its index back."""
+    """Write ``pages`` to an archive in the shared folder, rebuild its records and return what they say."""
     path = new_path(pages.sparkSession, "warc")
     write_archive(pages, path, min_bytes)
     return read_index(pages.sparkSession, path)

@@ -153,6 +153,17 @@ def test_archive_gives_every_record_again(spark):
     assert warc.archived(table.limit(0)).count() == 0
 
 
+def test_archive_refuses_a_block_of_another_length(spark):
+    path, other = new_path(spark, "test"), new_path(spark, "test")
+    warc.write_archive(spark.createDataFrame([(1, "u", "some text")], "page_id long, url string, html string"), path)
+    records = spark.read.parquet(f"{path}/records")
+    records.withColumn("header", F.encode(F.regexp_replace(F.decode("header", "UTF-8"), "Content-Length: 6", "Content-Length: 7"), "UTF-8")).write.parquet(f"{other}/records")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{other}/payloads")
+    assert len(warc.read_index(spark, path).collect()) == 1
+    with pytest.raises(Exception, match="another length"):
+        warc.read_index(spark, other).collect()
+
+
 def shingles(text, n):
     w = WORD.findall(lower(text or ""))
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
@@ -189,6 +200,39 @@ def test_near_duplicates_lose_no_link(spark, docs, empty, n):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_pair_few_rows_of_a_template(spark, monkeypatch):
+    """Documents that share a template, none near copies: cells that can't hold similar sets never meet."""
+    rng = np.random.default_rng(3)
+    body = [f"t{k}" for k in range(170)]
+    rows = [(k, " ".join([*body, *(f"w{rng.integers(0, 4000)}x" for _ in range(30))])) for k in range(400)]
+    met = []
+    unmet = minhash._Tests.unmet
+
+    def counted(self, labels):
+        cells = minhash._cells
+        monkeypatch.setattr(minhash, "_cells", lambda rare, percent: met.append(cells(rare, percent).count()) or cells(rare, percent))
+        return unmet(self, labels)
+
+    monkeypatch.setattr(minhash._Tests, "unmet", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == 400
+    assert met == [0]
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_cells_hold_every_pair_that_can_be_similar(spark, percent):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 400, 300)
+    rows = [(0, k, int(n), int(np.ceil(n * rng.uniform(percent / 100, 1)))) for k, n in enumerate(sizes)]
+    rows = [(s, c, n, min(n, r), int(math.log(n) / math.log(minhash._SIZES)), minhash._REACHES * min(n, r) // n) for s, c, n, r in rows]
+    table = spark.createDataFrame(rows, "shingle long, c long, size long, reach long, sizes long, reaches long")
+    cells = {tuple(r)[1:] for r in minhash._cells(table, percent).collect()}
+    for (_, _, m, p, *x), (_, _, n, q, *y) in itertools.product(rows, rows):
+        shared = min(p, q)
+        if 100 * shared >= percent * (m + n - shared):
+            assert (*x, *y) in cells
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.comp for r in components(links).collect()} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
