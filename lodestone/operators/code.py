@@ -64,11 +64,15 @@ def drift_applied(drifted: DataFrame, memories: DataFrame) -> DataFrame:
 def renewed(stale: DataFrame, candidates: DataFrame) -> DataFrame:
     """What becomes of stale memories (id, type, content_hash, path) given what was extracted from their paths again
     (path, type, content_hash, content, importance, confidence): 'refreshed' if the same statement came out,
-    'superseded' by the most important other of its type, or 'deferred'."""
-    met = stale.select("id", "path", "type", "content_hash").join(candidates.select("path", "type", F.col("content_hash").alias("new_hash"), "content", "importance", "confidence"), ["path", "type"], "left")
-    same = F.max(F.col("new_hash") == F.col("content_hash"))
-    best = F.max_by("new_hash", F.struct("importance", "confidence", "content"))
-    g = met.groupBy("id").agg(same.alias("same"), best.alias("best"))
+    'superseded' by the most important other of its type, or 'deferred'. Candidates are one row for each path and type
+    (and statement) before they meet a memory; their texts go along only where a memory has several paths."""
+    order = F.struct("importance", "confidence", "content")
+    best = candidates.groupBy("path", "type").agg(F.max(order).alias("top"), F.max_by("content_hash", order).alias("new_hash"))
+    out = candidates.select("path", "type", "content_hash").distinct().withColumn("same", F.lit(True))
+    rows = stale.select("id", "path", "type", "content_hash").withColumn("several", F.count("*").over(Window.partitionBy("id")) > 1)
+    rows = rows.join(out, ["path", "type", "content_hash"], "left").join(best, ["path", "type"], "left")
+    top = F.struct("top.importance", "top.confidence", F.when(F.col("several"), F.col("top.content")).alias("content"))
+    g = rows.groupBy("id").agg(F.max("same").alias("same"), F.max_by("new_hash", top).alias("best"))
     outcome = F.when(F.col("same"), "refreshed").when(F.col("best").isNotNull(), "superseded").otherwise("deferred")
     return g.select("id", outcome.alias("outcome"), F.when(outcome == "superseded", F.col("best")).alias("successor"))
 
