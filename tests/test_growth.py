@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import code
+from lodestone.operators import code, similarity
 
 
 def test_many_memories_of_one_path_meet_one_candidate(spark):
@@ -27,3 +28,9 @@ def test_a_memory_of_several_paths_takes_the_best_of_all(spark):
     made = spark.createDataFrame([("a", "t", "h1", "aa", 0.5, 0.5), ("b", "t", "h2", "bb", 0.5, 0.5), ("b", "t", "h3", "zz", 0.4, 0.9)], "path string, type string, content_hash string, content string, importance double, confidence double")
     got = {r.id: (r.outcome, r.successor) for r in code.renewed(stale, made).collect()}
     assert got == {1: ("superseded", "h2"), 2: ("refreshed", None), 3: ("deferred", None)}
+
+
+def test_pivots_that_separate_nothing_move_few_copies(spark):
+    x = np.random.default_rng(5).normal(size=(6000, 64))
+    table = spark.createDataFrame([(k, v.tolist(), "g") for k, v in enumerate(x)], "id long, embedding array<double>, of string")
+    assert similarity._placed(similarity.classes(table, ["of"]), 0.97, None).count() <= 8 * 6000
