@@ -34,3 +34,12 @@ def test_pivots_that_separate_nothing_move_few_copies(spark):
     x = np.random.default_rng(5).normal(size=(6000, 64))
     table = spark.createDataFrame([(k, v.tolist(), "g") for k, v in enumerate(x)], "id long, embedding array<double>, of string")
     assert similarity._placed(similarity.classes(table, ["of"]), 0.97, None).count() <= 8 * 6000
+
+
+def test_pivots_are_chosen_before_they_are_sorted(spark):
+    rows = spark.range(100_000).withColumn("embedding", F.array(F.lit(1.0)))
+    first = similarity._lowest_hashes(rows, 1000, 100_000).collect()
+    assert [r.id for r in first] == [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(1000).collect()]
+    assert similarity._lowest_hashes(rows, 100_000, 100_000).count() == 100_000
+    plan = similarity._lowest_hashes(rows, 1000, 100_000)._jdf.queryExecution().optimizedPlan()
+    assert "Filter (xxhash64(" in plan.toString()
