@@ -177,7 +177,8 @@ def mentioned(events: DataFrame, skills: DataFrame, least: int = 6) -> DataFrame
     event's text (event_id, text): id, event_id.
 
     Names and paths are posted under their first ``least`` characters (a shorter path under all of it, and of its
-    length), and texts' runs of those lengths are looked up, so only what begins alike is compared.
+    length), and texts' runs of those lengths are looked up, so only what begins alike is compared. Every task holds
+    the skills' forms; runs of texts are neither moved nor sent to the driver.
     """
     wanted = skills.select("id", F.explode(F.array_compact(F.array(F.when(F.char_length("name") >= least, F.col("name")), F.when(F.col("path") != "", F.col("path"))))).alias("form"))
     wanted = wanted.withColumn("key", F.left("form", F.lit(least))).withColumn("size", F.char_length("key"))
@@ -185,7 +186,7 @@ def mentioned(events: DataFrame, skills: DataFrame, least: int = 6) -> DataFrame
     for size in [r["size"] for r in wanted.select("size").distinct().collect()]:  # at most ``least`` of them
         forms = wanted.where(F.col("size") == size)
         starts = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), 1))).alias("key")
-        met = events.where(F.char_length("text") >= size).select("event_id", "text", starts).join(forms, "key").where(F.contains("text", "form"))
+        met = events.where(F.char_length("text") >= size).select("event_id", "text", starts).join(F.broadcast(forms), "key").where(F.contains("text", "form"))
         found = met.select("id", "event_id") if found is None else found.union(met.select("id", "event_id"))
     return wanted.select("id", F.lit(None).cast("long").alias("event_id")).limit(0) if found is None else found.distinct()
 
