@@ -253,7 +253,8 @@ def referenced(rows: DataFrame, refs: DataFrame, symbols: DataFrame | None, most
 
     A reference has the first symbol of its file, by line and name, that the content names as a whole word. Beyond
     ``most`` there is one more entry that counts the rest. References are cut to so many before contents are
-    joined, and each name is looked for once in a content, however many of its files have it.
+    joined, and each name is looked for once in a content, however many of its files have it or however often one has
+    it: a file's names are told apart before they go to its references.
     """
     order, none = Window.partitionBy("id").orderBy("repository", "path"), F.lit(None).cast("string")
     mine = refs.join(rows.select("id"), "id", "left_semi")
@@ -263,7 +264,8 @@ def referenced(rows: DataFrame, refs: DataFrame, symbols: DataFrame | None, most
         mine = mine.withColumn("names", F.array().cast("array<string>"))
     else:
         files = mine.where(real).select("repository", "path").distinct()
-        named = symbols.join(files, ["repository", "path"], "left_semi").groupBy("repository", "path").agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("named"))
+        first = symbols.join(files, ["repository", "path"], "left_semi").groupBy("repository", "path", "name").agg(F.min("line_start").alias("line_start"))
+        named = first.groupBy("repository", "path").agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("named"))
         mine = mine.join(named, ["repository", "path"], "left").withColumn("names", F.when(real, F.transform("named", lambda x: x["name"])))
     more = F.concat(F.lit("<"), (F.col("n") - most).cast("string"), F.lit(" more refs>"))
     entry = F.struct(

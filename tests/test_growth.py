@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import code, similarity
+from lodestone.operators import code, search, similarity, skills
 
 
 def test_many_memories_of_one_path_meet_one_candidate(spark):
@@ -43,3 +43,22 @@ def test_pivots_are_chosen_before_they_are_sorted(spark):
     assert similarity._lowest_hashes(rows, 100_000, 100_000).count() == 100_000
     plan = similarity._lowest_hashes(rows, 1000, 100_000)._jdf.queryExecution().optimizedPlan()
     assert "Filter (xxhash64(" in plan.toString()
+
+
+def test_texts_are_not_sent_to_the_driver_to_find_skills(spark):
+    events = spark.createDataFrame([(1, "ran skills/x/y"), (2, "nothing"), (3, "use skill-one")], "event_id long, text string")
+    known = spark.createDataFrame([(7, "skill-one", "skills/x/"), (8, "tiny", "q/")], "id long, name string, path string")
+    got = skills.mentioned(events.hint("broadcast"), known)
+    assert sorted(map(tuple, got.collect())) == [(7, 1), (7, 3)]
+    small = spark.range(10).select(F.col("id").alias("event_id"), F.col("id").cast("string").alias("text"))  # far below the size that Spark broadcasts
+    assert "BuildLeft" not in skills.mentioned(small, known)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_name_that_a_file_has_often_goes_along_once(spark):
+    rows = spark.createDataFrame([(1, "calls run and stop")], "id long, content string")
+    refs = spark.createDataFrame([(1, "r", "f", "c", "b")], "id long, repository string, path string, commit string, blob string")
+    symbols = spark.range(3000).select(F.lit("r").alias("repository"), F.lit("f").alias("path"), F.when(F.col("id") % 2 == 0, "stop").otherwise("run").alias("name"), (3000 - F.col("id")).alias("line_start"))
+    rows = search.referenced(rows, refs, symbols)
+    assert rows.first()["code_refs"][0]["symbol"] == "run"
+    shown = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [repository#" in shown and "min(line_start" in shown
