@@ -25,6 +25,8 @@ MOST_CELLS = 16_384
 FIT_A_CELL = 256  #: rows a cell that centres are learnt from
 BLOCK = 2_000
 ASKED = 500  #: queries that meet a block at once
+ROWS = 500  #: rows whose distances from all centres are held at once
+SLICE = 20_000  #: queries' cells that are held as rows at once
 _BLOCKS = "block long, n long, dims long, ids array<long>, vectors binary, far double, cell int"
 _HITS = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64())])
 
@@ -74,10 +76,11 @@ def _fitted(vectors: DataFrame, centres: np.ndarray, rounds: int) -> np.ndarray:
         def sums(batches, centres=centres):
             total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
             for batch in batches:
-                x = units(batch.column("embedding"), dims)
-                at = gaps(x, centres).argmin(1)
-                np.add.at(total, at, x)
-                n += np.bincount(at, minlength=len(n))
+                for k in range(0, batch.num_rows, ROWS):
+                    x = units(batch.column("embedding").slice(k, ROWS), dims)
+                    at = gaps(x, centres).argmin(1)
+                    np.add.at(total, at, x)
+                    n += np.bincount(at, minlength=len(n))
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(list(total[used]), pa.list_(pa.float64()))], ["cell", "n", "sums"])
 
@@ -110,7 +113,7 @@ def build(vectors: DataFrame, cells: int | None = None, rounds: int = 6, block:
     centres = _fitted(fit, start, rounds)
 
     def placed(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             d = gaps(units(batch.column("embedding"), dims), centres)
             at = d.argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], [*batch.schema.names, "cell", "gap"])
@@ -164,17 +167,23 @@ def _asked(index: Index, queries: DataFrame, probes: int, least: DataFrame | Non
     rows = rows.join(least, "query") if further else rows.withColumn("least", F.lit(None).cast("double"))
 
     def run(batches):
+        step = max(1, SLICE // len(centres))  # where all cells are asked, a query has a row for each
         for batch in batches:
-            x = units(batch.column("embedding"), dims)
-            d = np.where(far < 0, np.inf, gaps(x, centres))
-            ranks = d.argsort(1, kind="stable").argsort(1, kind="stable")
-            first = (ranks < probes) & np.isfinite(d)
-            if further:
-                need = np.array(batch.column("least").to_pylist(), float)
-                radius = np.sqrt(np.maximum(0, 2 - 2 * need)) + 1e-6
-                first = ~first & (d - far <= radius[:, None]) & np.isfinite(d)
-            of, cell = np.nonzero(first)
-            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(of)), pa.array(cell.astype(np.int32)), pa.array(list(x[of]), pa.list_(pa.float64()))], ["query", "cell", "unit"])
+            for k in range(0, batch.num_rows, step):
+                yield asked(batch.slice(k, step))
+
+    def asked(batch):
+        x = units(batch.column("embedding"), dims)
+        d = np.where(far < 0, np.inf, gaps(x, centres))
+        ranks = d.argsort(1, kind="stable").argsort(1, kind="stable")
+        first = (ranks < probes) & np.isfinite(d)
+        if further:
+            need = np.array(batch.column("least").to_pylist(), float)
+            radius = np.sqrt(np.maximum(0, 2 - 2 * need)) + 1e-6
+            first = ~first & (d - far <= radius[:, None]) & np.isfinite(d)
+        of, cell = np.nonzero(first)
+        unit = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * dims), pa.array(x[of].ravel()))
+        return pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(of)), pa.array(cell.astype(np.int32)), unit], ["query", "cell", "unit"])
 
     each = cut(rows.mapInArrow(run, "query long, cell int, unit array<double>"))
     chunks = each.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).alias("chunks"))
@@ -188,13 +197,15 @@ def _met(index: Index, asked: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["vectors"]).reshape(row["n"], row["dims"])
-                ids, wanted = np.array(row["ids"]), np.array([a["unit"] for a in row["asked"]])
-                near = wanted @ x.T
-                for a, line in zip(row["asked"], np.round(near, 9), strict=True):
+            for at in range(batch.num_rows):  # one block at a time: a batch's queries are many times its bytes as objects
+                row = {c: batch.column(c)[at] for c in ("n", "dims", "ids", "vectors", "asked")}
+                x = np.frombuffer(row["vectors"].as_py()).reshape(row["n"].as_py(), row["dims"].as_py())
+                each = row["asked"].values
+                ids, query = row["ids"].values.to_numpy(), each.field("query").to_numpy()
+                near = np.round(each.field("unit").flatten().to_numpy().reshape(-1, x.shape[1]) @ x.T, 9)
+                for q, line in zip(query.tolist(), near, strict=True):
                     top = np.lexsort((ids, -line))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), a["query"])), pa.array(ids[top]), pa.array(line[top])], schema=_HITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(ids[top]), pa.array(line[top])], schema=_HITS)
 
     return index.blocks(cells).join(asked, "cell").select("n", "dims", "ids", "vectors", "asked").mapInArrow(run, "query long, id long, cosine double")
 

@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import code, search, similarity, skills
+from lodestone.operators import code, postings, redaction, search, similarity, skills, vector_index
 
 
 def test_many_memories_of_one_path_meet_one_candidate(spark):
@@ -62,3 +62,25 @@ def test_a_name_that_a_file_has_often_goes_along_once(spark):
     assert rows.first()["code_refs"][0]["symbol"] == "run"
     shown = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [repository#" in shown and "min(line_start" in shown
+
+
+def test_a_search_of_all_cells_holds_few_rows_at_once(spark, monkeypatch):
+    n, cells = 3000, 60
+    x = np.random.default_rng(3).normal(size=(n, 8))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>").coalesce(1)
+    index = vector_index.build(table, cells)
+    sizes = []
+    whole = type(table).mapInArrow
+
+    def watched(self, run, schema, *more):
+        def counted(batches):
+            for b in run(batches):
+                assert b.num_rows <= vector_index.SLICE
+                yield b
+
+        sizes.append(schema)
+        return whole(self, counted, schema, *more)
+
+    monkeypatch.setattr(type(table), "mapInArrow", watched)
+    asked = vector_index._asked(index, table, cells, None)
+    assert asked.select(F.sum(F.size("asked"))).first()[0] == n * int((index.far >= 0).sum()) and sizes
