@@ -58,13 +58,14 @@ def _folder() -> Column:
 def build(documents: DataFrame, segment: int = SEGMENT) -> Postings:
     """Postings of the contents of ``documents`` (id, content). A null content has no terms; ids are distinct.
 
-    Contents are shuffled once, by segment; counts and rows are formed within segments. A term's rows are as many
-    as the segments it occurs in, so no term is one group.
+    Contents are shuffled once, by segment, to as many partitions as there are segments, so a task's memory doesn't
+    grow with the table; counts and rows are formed within segments. A term's rows are as many as the segments it
+    occurs in, so no term is one group.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("id").cast("long").alias("id"), "content")
     segments = max(1, -(-rows.count() // segment), spark.sparkContext.defaultParallelism)  # of few documents too, all tasks get some
-    dealt = rows.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments))).repartition("segment")
+    dealt = rows.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments))).repartition(segments, "segment")
     words = dealt.select("segment", "id", F.explode(text.tokens(F.col("content"))).alias("term"))
     counts = words.groupBy("segment", "id", "term").agg(F.count("*").cast("int").alias("n"))
     layer = F.floor(F.log2("n")).cast("int").alias("layer")
