@@ -84,3 +84,20 @@ def test_a_search_of_all_cells_holds_few_rows_at_once(spark, monkeypatch):
     monkeypatch.setattr(type(table), "mapInArrow", watched)
     asked = vector_index._asked(index, table, cells, None)
     assert asked.select(F.sum(F.size("asked"))).first()[0] == n * int((index.far >= 0).sum()) and sizes
+
+
+def test_texts_are_redacted_the_same_in_slices(spark):
+    texts = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("password=abcdefgh"), F.col("id").cast("string"))).alias("text")).coalesce(1)
+    plan = texts.select(redaction.redacted(F.col("text")).alias("r"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and redaction.SLICE < 1000
+    got = texts.select("id", redaction.redacted(F.col("text")).alias("r")).select("id", "r.text", F.size("r.records").alias("n")).collect()
+    assert all((r.text, r.n) == (("password=[REDACTED:password]", 1) if r.id % 3 else (None, 0)) for r in got) and len(got) == 1000
+
+
+def test_segments_of_postings_are_partitions_of_their_own(spark, monkeypatch):
+    docs = spark.range(4000).select("id", F.lit("one two").alias("content"))
+    kind, seen = type(docs), []
+    whole = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: seen.append(a) or whole(self, *a))
+    postings.build(docs, segment=100)
+    assert (40, "segment") in seen
