@@ -10,22 +10,24 @@ from ..constants import ARCHIVE_BELOW, GATE, LEAST_SOLVED, PROMOTION_IMPORTANCE,
 from ..functions import scoring, text
 
 
-def contradictions(memories: DataFrame) -> DataFrame:
+def contradictions(memories: DataFrame, *carried: str) -> DataFrame:
     """Pairs (a < b) in one scope whose statements have one template, other numbers and overlapping windows.
 
-    A pair needs equal scope and template, so the join is on those; statements without numbers never pair.
+    A pair needs equal scope and template, so the join is on those; statements without numbers never pair. Columns
+    that are ``carried`` come along as structs a and b, so pairs needn't be moved again to find them; ids are distinct.
     """
     m = memories.select(
         "id", F.struct("project_id", "user_id").alias("scope"), text.template(F.col("content")).alias("template"),
-        text.numbers(F.col("content")).alias("numbers"), "valid_from", "valid_until").where(F.size("numbers") > 0)
-    a, b = (m.select("scope", "template", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "numbers", "valid_from", "valid_until"))) for s in "ab")
+        text.numbers(F.col("content")).alias("numbers"), "valid_from", "valid_until", *carried).where(F.size("numbers") > 0)
+    sides = [F.struct(*carried)] if carried else []
+    a, b = (m.select("scope", "template", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "numbers", "valid_from", "valid_until")), *(x.alias(s) for x in sides)) for s in "ab")
     holds = (
         (F.col("id_a") < F.col("id_b")) & (F.col("numbers_a") != F.col("numbers_b"))
         & (F.col("valid_until_b").isNull() | (F.col("valid_from_a") < F.col("valid_until_b")))
         & (F.col("valid_until_a").isNull() | (F.col("valid_from_b") < F.col("valid_until_a")))
     )
     same = a["scope"].eqNullSafe(b["scope"]) & (a["template"] == b["template"])
-    return a.join(b, same).where(holds).select("id_a", "id_b", a["template"], a["scope"])
+    return a.join(b, same).where(holds).select("id_a", "id_b", a["template"], a["scope"], *("ab" if carried else ()))
 
 
 def authority_rule(a: str, b: str) -> Column:

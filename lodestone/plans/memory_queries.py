@@ -182,10 +182,8 @@ def contradiction_resolution(spark, d):
   WHEN a.confidence <> b.confidence THEN CASE WHEN a.confidence > b.confidence THEN '+' ELSE '-' END || 'confidence' ELSE 'tie' END AS rule
   FROM pairs JOIN mem a ON a.id = id_a JOIN mem b ON b.id = id_b""")
 def authority_rules(spark, d):
-    rows = views.statements(spark, d)
-    m = views.memories(spark, d)
-    side = lambda s: m.select(F.col("id").alias(f"id_{s}"), F.struct("source_kind", "type", "observed_at", "confidence").alias(s))
-    return lifecycle.contradictions(rows).join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", lifecycle.authority_rule("a", "b").alias("rule"))
+    pairs = lifecycle.contradictions(views.statements(spark, d), "source_kind", "type", "observed_at", "confidence")
+    return pairs.select("id_a", "id_b", lifecycle.authority_rule("a", "b").alias("rule"))
 
 
 @query("decay_archive", f"""WITH {MEM}, p AS (SELECT id, sqrt(CASE WHEN type = 'decision' THEN greatest(importance, 0.5) ELSE importance END) * confidence * {RECENCY} * (1 + ln(1.0::DOUBLE + access_count)) AS prominence

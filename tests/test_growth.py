@@ -121,3 +121,10 @@ def test_a_whole_pass_equals_its_sql_where_vectors_are_near(spark, tmp_path):
     got = registry.queries()["consolidation_pass"](spark, str(tmp_path)).select("step", "outcome", "n").collect()
     assert sorted(map(tuple, got)) == want
     assert {x[:2] for x in want} >= {("merge", "merged"), ("merge", "keeper"), ("merge", "not_near"), ("derivation", "derivation")}
+
+
+def test_pairs_of_statements_are_moved_once(spark):
+    from lodestone.plans import registry
+
+    plan = registry.queries()["authority_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
