@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -128,3 +130,25 @@ def test_pairs_of_statements_are_moved_once(spark):
 
     plan = registry.queries()["authority_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_texts_of_one_language_are_compared_without_joining_their_trigrams(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789é"), rng.integers(3, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(2000)]
+    texts += [f"{texts[k]} {words[k]}" for k in range(50)] + [texts[k].upper() for k in range(20)] + [" ".join([texts[7]] * 3), "", "...", "ab"]
+    table = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)] + [(len(texts), None, 0)], "id long, content string, of int")
+    plain = [re.sub("[^a-z0-9]+", " ", t.lower()).strip() for t in texts]
+    grams = [Counter(f"  {t}  "[k : k + 3] for k in range(len(t) + 2)) for t in plain]
+    known = {g: k for k, g in enumerate(sorted(set().union(*grams)))}
+    x = np.zeros((len(texts), len(known)))
+    for k, found in enumerate(grams):
+        x[k, [known[g] for g in found]] = list(found.values())
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if a < b and (b - a) % 2 == 0}
+    assert len(want) >= 70 and len(known) > similarity.OWN
+    start = time.monotonic()
+    for tile in (similarity.TILE, 300):
+        got = similarity.text_pairs(table, ["of"], 0.9, tile).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert time.monotonic() - start < 60
