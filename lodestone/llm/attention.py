@@ -33,6 +33,7 @@ WINDOW, STRIDE, SIZE, HEAD = 32, 24, 16, 8
 STARTS, INSIDES = 20, 19  #: classes of subwords that begin a word and that don't; one more is the end
 FREQUENT = 3000  #: subwords with an input vector of their own; others have their class's
 SAMPLE_DOCS = 1500  #: chosen by a bound on their hash; the start alone depends on it
+MET = 1 << 19  #: words whose subwords a worker remembers
 MARKS = 96  #: frequent subwords by which the others' neighbours are told
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,6 +53,8 @@ class Subwords:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.sp.get_piece_size()
         self.starts = np.array([self.sp.id_to_piece(i).startswith("▁") for i in range(self.size)])
+        #: Words encoded before: hashes in order, where the ids of each begin among all, how many it has, all ids.
+        self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @classmethod
     def get(cls, path: str) -> Subwords:
@@ -83,12 +86,25 @@ class Subwords:
         place[order] = np.arange(len(order))
         index = np.empty(len(order), np.int64)
         index[of[::-1]] = np.arange(len(of))[::-1]
-        index = index[order]
-        raw = w.data.tobytes()
-        words = [raw[i:j].decode("utf-8", "replace") for i, j in zip(w.start[index].tolist(), w.end[index].tolist(), strict=True)]
+        index, hashes = index[order], hashes[order]
+        known, start, size, ids = self.met
+        at = np.searchsorted(known, hashes)
+        met = np.append(known, np.uint64(0))[at] == hashes
+        met[at == len(known)] = False
+        raw, new = w.data.tobytes(), index[~met]
+        words = [raw[i:j].decode("utf-8", "replace") for i, j in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
         lists = [x or [0] for x in self.sp.encode(words, num_threads=1)] if words else []
-        sizes = np.array([len(x) for x in lists], np.int64)
-        return hashes[order], place[of], np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+        sizes, starts, made = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64), np.array([len(x) for x in lists], np.int64)
+        sizes[met], sizes[~met] = size[at[met]], made
+        starts[met], starts[~met] = start[at[met]], len(ids) + np.cumsum(made) - made
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(lists), np.int32, int(made.sum()))])
+        flat = gathered(ids, starts, sizes)
+        if len(known) + len(new) > MET:  # starts over with the words of this batch
+            self.met = hashes[:MET], np.cumsum(sizes)[:MET] - sizes[:MET], sizes[:MET], flat
+        else:
+            into = np.argsort(all_ := np.concatenate([known, hashes[~met]]), kind="stable")
+            self.met = all_[into], np.concatenate([start, starts[~met]])[into], np.concatenate([size, made])[into], ids
+        return hashes, place[of], flat, sizes
 
 
 def _sequence(of: np.ndarray, flat: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +218,11 @@ def _classes(seen: np.ndarray, counts: np.ndarray, starts: np.ndarray, rng) -> n
 _MOST = np.float32(60)
 
 
+def _capped(x: np.ndarray) -> np.ndarray:
+    """The array with no more than ``_MOST``: the greatest is found much faster than a minimum is taken."""
+    return np.minimum(x, _MOST, out=x) if x.size and x.max() > _MOST else x
+
+
 def _by(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The product of all rows with one matrix, as one product of matrices."""
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], *w.shape[1:])
@@ -285,50 +306,61 @@ class Network:
 
     def forward(self, rows: np.ndarray) -> dict:
         p = self.p
-        x = p["vectors"][rows] + p["places"]
-        q, k, v = _by(x, p["q"] * self.scale), _by(x, p["k"]), _by(x, p["v"])
-        e = q @ k.transpose(0, 2, 1)
-        np.minimum(e, _MOST, out=e)  # in the place of the greatest of each row: exp can't overflow
+        x = p["vectors"].take(rows, axis=0)
+        x += p["places"]
+        w = np.concatenate([p["q"] * self.scale, p["k"], p["v"]], axis=1)
+        q, k, v = np.split(_by(x, w), 3, axis=-1)
+        e = _capped(q @ k.transpose(0, 2, 1))  # in the place of the greatest of each row: exp can't overflow
         np.exp(e, out=e)
         e *= self.mask
         inverse = 1 / _total(e)[..., None]
-        m = (e @ v) * inverse  # a row's weights are divided by their sum here, where rows are short
+        m = e @ v
+        m *= inverse  # a row's weights are divided by their sum here, where rows are short
         h = _by(m, p["o"])
         h += x
-        y = _by(h, p["out"])
-        y += p["bias"]
-        np.minimum(y, _MOST, out=y)
-        return {"x": x, "q": q, "k": k, "v": v, "e": e, "inverse": inverse, "m": m, "h": h, "y": y}
+        return {"x": x, "w": w, "q": q, "k": k, "v": v, "e": e, "inverse": inverse, "m": m, "h": h}
+
+    def outcomes(self, h: np.ndarray) -> np.ndarray:
+        """Scores of the classes."""
+        y = _by(h, self.p["out"])
+        y += self.p["bias"]
+        return _capped(y)
 
     def step(self, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of the targets' classes."""
         p, f = self.p, self.forward(rows)
-        b, t = np.ogrid[: targets.shape[0], : targets.shape[1]]
-        weight = weight / max(float(weight.sum()), 1.0)
-        chosen = f["y"][b, t, targets]
-        dy = np.exp(f["y"], out=f["y"])
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        dy, at = flat(self.outcomes(f["h"])), np.arange(targets.size) * self.n_classes + targets.reshape(-1)
+        weight = weight.reshape(-1) / max(float(weight.sum()), 1.0)
+        chosen = dy.take(at)
+        np.exp(dy, out=dy)
         total = _total(dy)
         loss = float((weight * (np.log(total) - chosen)).sum())
         dy *= (weight / total)[..., None]
-        dy[b, t, targets] -= weight
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        g = {"out": flat(f["h"]).T @ flat(dy), "bias": _total(flat(dy).T)}
-        dh = _by(dy, p["out"].T)
+        dy.reshape(-1)[at] -= weight
+        g = {"out": flat(f["h"]).T @ dy, "bias": np.ones(len(dy), dy.dtype) @ dy}
+        dh = _by(dy, p["out"].T).reshape(f["h"].shape)
         g["o"] = flat(f["m"]).T @ flat(dh)
-        dm = _by(dh, p["o"].T) * f["inverse"]
+        dm = _by(dh, p["o"].T)
+        dm *= f["inverse"]
         ds = dm @ f["v"].transpose(0, 2, 1)
         ds -= _total(dm * f["m"])[..., None]
         ds *= f["e"]
-        dv = f["e"].transpose(0, 2, 1) @ dm
-        dq, dk = (ds @ f["k"]) * self.scale, ds.transpose(0, 2, 1) @ f["q"]
+        d = np.empty((*rows.shape, 3 * HEAD), ds.dtype)  # of q, k and v side by side, as in the product that gave them
+        np.matmul(ds, f["k"], out=d[..., :HEAD])
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=d[..., HEAD : 2 * HEAD])
+        np.matmul(f["e"].transpose(0, 2, 1), dm, out=d[..., 2 * HEAD :])
+        g["q"], g["k"], g["v"] = np.split(flat(f["x"]).T @ flat(d), 3, axis=1)
+        g["q"] = g["q"] * self.scale
         dx = dh
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            dx += _by(d, p[name].T)
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(f["x"]).T @ flat(d)
+        dx += _by(d, f["w"].T)
         g["places"] = dx.sum(0)
-        at, dx = rows.reshape(-1), flat(dx)
-        g["vectors"] = np.stack([np.bincount(at, dx[:, k], len(p["vectors"])) for k in range(SIZE)], axis=1).astype(dx.dtype)
+        at, dx = rows.reshape(-1).astype(np.uint16), flat(dx)
+        order = np.argsort(at, kind="stable")  # of 16 bits: counted, not compared
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g["vectors"] = np.zeros_like(p["vectors"], dx.dtype)
+        g["vectors"][at[first]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
         return loss, g
 
     def train(self, texts: list[np.ndarray], rng, steps: int = 500, batch: int = 96, rate: float = 0.01) -> None:
@@ -376,7 +408,7 @@ class Network:
         logp, begin = (np.empty(sum(len(x) + 1 for x in texts), np.float32) for _ in range(2))
         for i in range(0, len(rows), chunk):
             on = scored[i : i + chunk]
-            y = self.forward(rows[i : i + chunk])["y"][on]
+            y = self.outcomes(self.forward(rows[i : i + chunk])["h"][on])
             t, at = targets[i : i + chunk][on], place[i : i + chunk][on]
             chosen = y[np.arange(len(t)), self.classes[t]] + self.within[t]
             e = np.exp(y, out=y)
@@ -455,6 +487,15 @@ class _Scorer:
             whole = np.log(np.maximum(known - less, 0)) - np.log(max(self.n - less, 1))
         return np.logaddexp(whole + np.log(share), by_parts + np.log1p(-share))
 
+    def mixtures(self, known: np.ndarray, by_parts: np.ndarray, shares: tuple[float, ...], less: int = 0) -> list[float]:
+        """Sums of ``mixed`` for each share: the ratio of both probabilities is the same for all of them."""
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(known - less, 0)) - np.log(max(self.n - less, 1))
+        apart = whole - by_parts
+        ratio = np.exp(np.minimum(apart, 700.0))  # exp can't overflow; beyond, the subwords' part is nothing and the rest is added
+        base = float(by_parts.sum() + (apart[apart > 700] - 700).sum())
+        return [base + float(np.log(x * ratio + (1 - x)).sum()) for x in shares]
+
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _PARTS = pa.schema([("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("known", pa.binary()), ("by_parts", pa.binary()), ("values", pa.list_(pa.float64()))])
@@ -504,7 +545,7 @@ def language_scores(docs: DataFrame, model: str) -> DataFrame:
                 ids, n_words, known, by_parts = scorer.words(row)
                 use = np.repeat(_learns(ids), n_words + 1)
                 ids = [None if x == LAST else x for x in ids.tolist()]
-                values = [float(scorer.mixed(known[use], by_parts[use], x, 1).sum()) for x in _SHARES]
+                values = scorer.mixtures(known[use], by_parts[use], _SHARES, 1)
                 out = [[ids], [n_words.tolist()], [planes(known)], [planes(by_parts.astype(np.float32))], [values]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
 

@@ -391,6 +391,39 @@ def test_each_subword_is_scored_once_and_only_from_before():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_subwords_of_words_met_before_are_not_encoded_again(monkeypatch):
+    model, asked = tokenizers_at("piece_bpe_32k.model"), []
+
+    class Counted:
+        def __init__(self, sp):
+            self.sp = sp
+
+        def encode(self, words, **how):
+            asked.extend(words)
+            return self.sp.encode(words, **how)
+
+    texts = [["one two three", "two  Zwei \u00e9t\u00e9 \ufffd"], ["three four two", None, ""], ["", None], ["\u00e9t\u00e9 five one six seven", "one"]]
+    for most, again in ((1 << 19, 0), (5, 3)):
+        monkeypatch.setattr(attention, "MET", most)
+        kept = attention.Subwords(model)
+        kept.sp, asked[:] = Counted(kept.sp), []
+        for batch in texts:
+            w = hashing.words_of(pa.array(batch, pa.string()), lower=True)
+            got, want = kept.distinct(w), attention.Subwords(model).distinct(w)
+            assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+        assert len(asked) - len(set(asked)) <= again and (most < 10 or len(asked) == 10)
+
+
+def test_mixtures_are_sums_of_mixed_tokens():
+    rng = np.random.default_rng(6)
+    known, by_parts = np.append(rng.integers(0, 50, 2000), [0, 1, 10**6]), np.append(-rng.exponential(9, 2000), [-800.0, -900.0, -950.0])
+    scorer = attention._Scorer(None, 8, 2 * 10**6, 100, 7)
+    for less in (0, 1):
+        want = [scorer.mixed(known, by_parts, x, less).sum() for x in attention._SHARES]
+        assert np.allclose(scorer.mixtures(known, by_parts, attention._SHARES, less), want, rtol=1e-12)
+    assert scorer.mixtures(known[:0], by_parts[:0], (0.5,)) == [0.0]
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(3)
     net = attention.Network(np.ones(21), np.append(1 + rng.integers(0, 39, 20), 0), rng)
