@@ -152,3 +152,13 @@ def test_texts_of_one_language_are_compared_without_joining_their_trigrams(spark
         got = similarity.text_pairs(table, ["of"], 0.9, tile).collect()
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
     assert time.monotonic() - start < 60
+
+
+def test_links_stay_where_they_are_when_copies_are_added(spark):
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4)], "id long, representative long")
+    links = spark.createDataFrame([(1, 3, 0.98), (3, 4, 0.97), (1, 4, 0.99)], "a long, b long, cosine double")
+    pairs = similarity._expanded(members, links, 0.97)
+    want = {(1, 3, 0.98), (2, 3, 0.98), (3, 4, 0.97), (3, 5, 0.97), (3, 6, 0.97), (1, 2, 1.0), (4, 5, 1.0), (4, 6, 1.0), (5, 6, 1.0)}
+    want |= {(a, b, 0.99) for a in (1, 2) for b in (4, 5, 6)}
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
