@@ -162,3 +162,21 @@ def test_links_stay_where_they_are_when_copies_are_added(spark):
     want |= {(a, b, 0.99) for a in (1, 2) for b in (4, 5, 6)}
     assert sorted(map(tuple, pairs.collect())) == sorted(want)
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+
+
+def test_many_vectors_are_written_at_most_three_times_by_pivots(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "COPY_BYTES", 2**20, raising=False)  # as for many vectors
+    x = np.random.default_rng(5).normal(size=(6000, 12))
+    table = spark.createDataFrame([(k, v.tolist(), "g") for k, v in enumerate(x)], "id long, embedding array<double>, of string")
+    assert similarity._placed(similarity.classes(table, ["of"]), 0.97, None).count() <= 3 * 6000
+
+
+def test_equal_vectors_are_found_without_moving_them(spark):
+    rows = [(1, [0.0, 1.0], "g"), (2, [-0.0, 1.0], "g"), (3, [0.0, 1.0], "h"), (4, [0.0, 1.0], None), (5, [0.0, 1.0], None), (6, [0.0, 1.0, 0.0], "g")]
+    rows += [(7, [0.0, 0.0], "g"), (8, None, "g"), (9, [], "g"), (10, [1.0, None], "g"), (11, [1.0, float("nan")], "g")]
+    found = similarity.classes(spark.createDataFrame(rows, "id long, embedding array<double>, of string"), ["of"])
+    assert {r.id: r.representative for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+    members, links = similarity.near_links(spark.createDataFrame(rows, "id long, embedding array<double>, of string"), ["of"], 0.9)
+    assert len(members.collect()) == 6 and links.count() == 0
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1 and "SortMergeJoin" not in plan
