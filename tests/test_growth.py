@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import code, postings, redaction, search, similarity, skills, vector_index
@@ -180,3 +181,28 @@ def test_equal_vectors_are_found_without_moving_them(spark):
     assert len(members.collect()) == 6 and links.count() == 0
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1 and "SortMergeJoin" not in plan
+
+
+def test_many_near_texts_are_one_product_and_few_are_not(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 200)).encode() for _ in range(40)] + [b"a" * 9000 + b" bcd " * k for k in range(1, 9)] + [b"", b"..", "é1".encode()]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts)), pa.array(range(len(texts))), pa.array([t.decode() for t in texts])], ["of", "id", "text"])
+    made = similarity._Profiles(pa.Table.from_batches(similarity._profiled([batch])))
+    assert made.norm.max() ** 2 > 2**24 and made.n.max() > 255
+    calls, plain = [], made.cosines
+    monkeypatch.setattr(made, "cosines", lambda i, others: calls.append(i) or plain(i, others))
+    rows, others = np.arange(len(texts))[::-1], np.arange(len(texts))
+    one = np.outer(rows == 47, others == 40)
+    for wanted, few in ((np.ones_like(one), False), (one, True)):
+        a, b, cosine = made.among(rows, others, wanted)
+        assert bool(calls) == few and len(a) == wanted.sum()
+        assert all(abs(c - plain(i, np.array([j]))[0]) < 1e-12 for i, j, c in zip(a, b, cosine, strict=True))
+
+
+def test_profiles_of_texts_are_moved_once(spark):
+    table = spark.createDataFrame([(k, f"text {k} of some", k % 2) for k in range(20)] + [(30, "Text 3, of some.", 1)], "id long, content string, of int")
+    members, links = similarity.text_links(table, ["of"], 0.97)
+    assert {tuple(r) for r in members.collect()} >= {(3, 3), (30, 3), (4, 4)}
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1 and "SortMergeJoin" not in plan
