@@ -198,6 +198,20 @@ def test_many_near_texts_are_one_product_and_few_are_not(monkeypatch):
         a, b, cosine = made.among(rows, others, wanted)
         assert bool(calls) == few and len(a) == wanted.sum()
         assert all(abs(c - plain(i, np.array([j]))[0]) < 1e-12 for i, j, c in zip(a, b, cosine, strict=True))
+    a, b, cosine = made.among(rows, others[:5], np.ones((len(texts), 5), bool))  # fewer others than rows
+    assert len(a) == 5 * len(texts) and all(abs(c - plain(i, np.array([j]))[0]) < 1e-12 for i, j, c in zip(a, b, cosine, strict=True))
+
+
+def test_angles_with_some_texts_tell_vocabularies_apart():
+    rng = np.random.default_rng(7)
+    texts = [" ".join("".join(rng.choice(list(letters), 4)) for _ in range(300)) for letters in ("abcdef", "uvwxyz") for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 120), pa.array(range(120)), pa.array(texts)], ["of", "id", "text"])
+    made = similarity._Profiles(pa.Table.from_batches(similarity._profiled([batch])))
+    angles, some = made.angles(), np.argsort(made.norm, kind="stable")[:: 120 // similarity.CENTRES][: similarity.CENTRES]
+    want = np.arccos(np.minimum(1, [made.cosines(k, some) for k in range(120)]))
+    assert angles.shape == want.shape and np.abs(angles - want).max() < 1e-6
+    one, two = angles[:60], angles[60:]
+    assert (np.maximum(one.min(0) - two.max(0), two.min(0) - one.max(0)) > np.arccos(0.97)).any()
 
 
 def test_profiles_of_texts_are_moved_once(spark):
