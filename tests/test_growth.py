@@ -220,3 +220,14 @@ def test_profiles_of_texts_are_moved_once(spark):
     assert {tuple(r) for r in members.collect()} >= {(3, 3), (30, 3), (4, 4)}
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1 and "SortMergeJoin" not in plan
+
+
+def test_vectors_of_one_cell_are_not_checkpointed(spark, monkeypatch):
+    cuts, plain = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: cuts.append(df.columns) or plain(df))
+    x = np.random.default_rng(5).normal(size=(300, 64))
+    table = spark.createDataFrame([(k, v.tolist(), "g") for k, v in enumerate(x)], "id long, embedding array<double>, of string")
+    assert similarity.near_links(table, ["of"], 0.97, pivots=1)[1].count() == 0
+    assert cuts and not any({"embedding", "unit"} & set(columns) for columns in cuts)
+    assert similarity.near_links(table, ["of"], 0.97, pivots=4)[1].count() == 0
+    assert any("unit" in columns for columns in cuts)
